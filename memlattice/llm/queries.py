@@ -2,19 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from memlattice.llm import spotsigs, url_filter
+from memlattice.llm import langid, quality, spotsigs, toxicity, url_filter
 from memlattice.llm._shared import table
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
+def fold(n: int, held: int) -> Column:
+    """Whether a row of documents is held out: crc32 of doc_id as text, modulo n. Rows without an id are."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % n == held, F.lit(True))
+
+
+def op1_ngram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log10_perplexity", "lower", "upper")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, ~fold(5, 0))
+    out = langid.identify(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return out.select("doc_id", fold(5, 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
 def op8_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), ~fold(4, 2))
+    out = toxicity.score(docs, model, keep=["doc_id"])
+    score = F.col("toxic_score")
+    predicted = (score >= toxicity.THRESHOLD).cast("int")
+    return out.select("doc_id", fold(4, 2).alias("held_out"), score.alias("score"), predicted.alias("predicted"), "toxic_evidence", "toxic_window")
+
+
 def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edit_likeness(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
