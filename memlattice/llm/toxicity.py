@@ -13,7 +13,7 @@ which the text's language or subject can make up, and without immediate repetiti
 learning rows whose counts the models didn't see, gives a score between 0 and 1.
 
 The models are fitted on a sample of at most SAMPLE labelled texts of each class, drawn by a hash of the
-text; all texts are scored whole.
+id; all texts are scored whole.
 
 Defined cases: a null text counts as empty; empty texts (no word) have evidence 0 and get the calibration's
 score for it. With only one class (or nothing) labelled, every score is the share of toxic labels (0 if
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from memlattice.llm import _text
 
-SAMPLE = 4_000
+SAMPLE = 3_000
 WINDOW = 32
 SLIGHT = 2.0
 STEM = 4
@@ -232,13 +232,15 @@ def scores(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text: str = "text", label: str = "toxic", most: int = SAMPLE) -> Model:
     """learn: which rows of docs may teach."""
     marks = labels.where(F.col(label).isNotNull()).groupBy(id_col).agg(F.max(label).alias("_mark"))
-    rows = docs.where(learn & F.col(text).isNotNull()).select(id_col, text).join(marks, id_col)
-    n = {r[0]: r[1] for r in docs.where(learn & F.col(text).isNotNull()).select(id_col).join(marks, id_col).groupBy("_mark").count().collect()}
-    toxic, other = sum(v for k, v in n.items() if k > 0), sum(v for k, v in n.items() if k <= 0)
+    # Ids and labels alone say which texts to read; these are few, and no text is shuffled.
+    known = docs.where(learn & F.col(text).isNotNull()).select(id_col).join(marks, id_col)
+    n = {r[0]: r[1] for r in known.groupBy((F.col("_mark") > 0).alias("toxic")).count().collect()}
+    toxic, other = n.get(True, 0), n.get(False, 0)
     each = min(most, max(toxic, most // 8))  # as many ordinary as toxic texts, so that neither class knows more words
     share = F.when(F.col("_mark") > 0, F.lit(most / max(toxic, 1))).otherwise(F.lit(each / max(other, 1)))
-    rows = rows.where(F.pmod(F.xxhash64(text), F.lit(1_000_003)) < share * 1_000_003).select(text, (F.col("_mark") > 0).alias("_mark"))
-    found = rows.limit(3 * most).toArrow()  # the shares give `most` of each class; the limit is a bound beyond chance
+    drawn = known.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_003)) < share * 1_000_003).select(id_col, (F.col("_mark") > 0).alias("_mark"))
+    drawn = drawn.limit(3 * most)  # the shares give `most` of each class; the limit is a bound beyond chance
+    found = docs.where(F.col(text).isNotNull()).select(id_col, text).join(F.broadcast(drawn), id_col).select(text, "_mark").toArrow()
     order = np.argsort(np.array([hash_order(x) for x in found.column(0).to_pylist()], dtype=np.uint64), kind="stable")
     found = found.take(pa.array(order)) if len(found) else found
     column, mark = found.column(0).combine_chunks(), found.column(1).combine_chunks()
