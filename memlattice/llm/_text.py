@@ -143,3 +143,41 @@ class SortedTable:
         if not len(v):
             return np.full(len(keys), default, v.dtype)
         return np.where(hit, v[at], v.dtype.type(default))
+
+
+class IdCache:
+    """Ids of pieces of text by 64-bit hash, kept across batches and emptied when it holds `most` pieces."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint16)
+
+    def ids(self, hashes: np.ndarray, make) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces in a row, and where each piece's end. make: ids of the pieces at these indices, which are new."""
+        keys, one, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        for _ in range(2):
+            at = np.searchsorted(self.keys, keys)
+            known = np.zeros(len(keys), bool)
+            inside = at < len(self.keys)
+            known[inside] = self.keys[at[inside]] == keys[inside]
+            new = np.flatnonzero(~known)
+            if len(new) and len(self.keys) and len(self.keys) + len(new) > self.most:
+                self.clear()
+                continue
+            break
+        if len(new):
+            ids = make(one[new])
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            begin = np.cumsum(size) - size + len(self.pool)
+            self.pool = np.concatenate([self.pool, np.fromiter((x for y in ids for x in y), np.uint16, int(size.sum()))])
+            place = at[new]
+            self.keys, self.at, self.size = np.insert(self.keys, place, keys[new]), np.insert(self.at, place, begin), np.insert(self.size, place, size)
+            at = np.searchsorted(self.keys, keys)
+        begin, size = self.at[at][inverse], self.size[at][inverse]
+        end = np.cumsum(size)
+        return self.pool[np.repeat(begin - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)], end

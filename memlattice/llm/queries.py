@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlattice.llm import langid, minhash, packing, quality, spotsigs, toxicity, url_filter
+from memlattice.llm import langid, minhash, packing, piece_viterbi, quality, spotsigs, toxicity, url_filter, warc
 from memlattice.llm._shared import table
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -27,6 +27,12 @@ def op2_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(docs, words=2).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op3_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = piece_viterbi.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), F.length("decoded").cast("bigint").alias("decoded_chars"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -40,6 +46,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", fold(5, 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
 
 
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    out = warc.derivatives(warc.responses(pages))
+    text = F.when(F.col("record_type") == "conversion", F.col("block").cast("string")).alias("text")
+    return out.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "content_type", "block_digest", F.octet_length("block").cast("bigint").alias("content_length"), text)
+
+
 def op8_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")

@@ -48,12 +48,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.map = _byte_characters()
-        self._clear()
-
-    def _clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint16)
+        self.cache = _text.IdCache(CACHE)
 
     def _encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
         out: list[list[int] | None] = [None] * len(pieces)
@@ -86,27 +81,9 @@ class Encoder:
         cut = cut[~word[cut]]
         starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
         first = np.searchsorted(starts, offsets)
-        keys, one, inverse = np.unique(_text.word_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == keys[inside]
-        new = np.flatnonzero(~known)
-        if len(new):
-            if len(self.keys) + len(new) > CACHE and len(self.keys):
-                self._clear()
-                return self.encode(buf, offsets)
-            raw = buf.tobytes()
-            ids = self._encode_pieces([raw[a:b] for a, b in zip(starts[one[new]].tolist(), ends[one[new]].tolist(), strict=True)])
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            begin = np.cumsum(size) - size + len(self.pool)
-            self.pool = np.concatenate([self.pool, np.fromiter((x for y in ids for x in y), np.uint16, int(size.sum()))])
-            place = at[new]
-            self.keys, self.at, self.size = np.insert(self.keys, place, keys[new]), np.insert(self.at, place, begin), np.insert(self.size, place, size)
-            at = np.searchsorted(self.keys, keys)
-        begin, size = self.at[at][inverse], self.size[at][inverse]
-        end = np.cumsum(size)
-        ids = self.pool[np.repeat(begin - (end - size), size) + np.arange(int(end[-1]))]
+        raw = buf.tobytes()
+        make = lambda new: self._encode_pieces([raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+        ids, end = self.cache.ids(_text.word_hashes(buf, starts, ends), make)
         return ids, np.concatenate([[0], end])[first]
 
 
