@@ -7,7 +7,10 @@ bytes alone, so every executor gives the same word the same hash.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -181,3 +184,13 @@ class IdCache:
         begin, size = self.at[at][inverse], self.size[at][inverse]
         end = np.cumsum(size)
         return self.pool[np.repeat(begin - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)], end
+
+
+@lru_cache(maxsize=1)
+def one_thread() -> None:
+    """Matrix products of this process run on one thread: a task has one core, and small products gain nothing from more."""
+    for lib in Path(np.__file__).parent.parent.glob("numpy.libs/*openblas*"):
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(handle := ctypes.CDLL(str(lib)), name):
+                getattr(handle, name)(1)
+                return

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlattice.llm import langid, minhash, packing, piece_viterbi, quality, spotsigs, toxicity, url_filter, warc
+from memlattice.llm import langid, lm_score, minhash, packing, piece_viterbi, quality, spotsigs, toxicity, url_filter, warc
 from memlattice.llm._shared import table
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -33,6 +33,13 @@ def op3_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), F.length("decoded").cast("bigint").alias("decoded_chars"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, vocabulary = lm_score.fit(docs, ~fold(5, 1), public_tokenizers.path("word_bpe_49k.json"))
+    out = lm_score.scored(docs, model, vocabulary)
+    return out.select("doc_id", fold(5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))

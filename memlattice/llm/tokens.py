@@ -54,7 +54,7 @@ class Encoder:
         out: list[list[int] | None] = [None] * len(pieces)
         slow = []
         for i, b in enumerate(pieces):
-            if b.isalpha():  # ASCII letters
+            if b.isalpha():  # only ASCII letters
                 out[i] = [t.id for t in self.model.tokenize(b.lower().decode())]
                 continue
             s = b.decode("utf-8")
@@ -69,6 +69,10 @@ class Encoder:
                 out[i] = e.ids
         return out
 
+    def encode_words(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of separate texts, without the cache."""
+        return self._encode_pieces(words)
+
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin and the last's end)."""
         starts, ends, _ = _text.spans(buf, offsets)
