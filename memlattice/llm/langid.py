@@ -201,16 +201,16 @@ def hash_text(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little")
 
 
-def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds lang_pred, lang_score and lang_rejected to docs (replacing columns of these names). keep: the columns of docs to return, all by default."""
-    docs = docs.drop("lang_pred", "lang_score", "lang_rejected")
+def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None, names: tuple[str, str, str] = ("lang_pred", "lang_score", "lang_rejected")) -> DataFrame:
+    """Adds language, score and whether it is rejected to docs, as `names` (replacing columns of these names). keep: the columns of docs to return, all by default."""
+    docs = docs.drop(*names)
     told = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.columns if keep is None else keep
-    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_rejected", T.BooleanType())])
+    schema = T.StructType([*[docs.schema[c] for c in kept], *map(T.StructField, names, (T.StringType(), T.DoubleType(), T.BooleanType()))])
 
     def run(batches):
         for b in batches:
             langs, score, rejected = predict(told.value, b.column(b.schema.names.index(text)))
-            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.names.index(c)) for c in kept], pa.array(langs, pa.string()), pa.array(score), pa.array(rejected)], names=[*kept, "lang_pred", "lang_score", "lang_rejected"])
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.names.index(c)) for c in kept], pa.array(langs, pa.string()), pa.array(score), pa.array(rejected)], names=[*kept, *names])
 
     return docs.mapInArrow(run, schema)

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from memlattice.llm import _text
 from memlattice.llm._shared import written
@@ -153,7 +154,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id_col, n_shingles, node, component_id, kept) for each row of docs; node names the class of equal sets."""
+    """(id_col, n_shingles, node, root, component_id, kept) for each row of docs; node names the class of equal sets, root the component."""
     rows = written(signed(docs, id_col, text, words), "signed")
     sized = rows.where("node is not null")
     classes = written(sized.groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
@@ -184,8 +185,32 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     named = classes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    of_class = named.join(least, "root").select("node", "component_id")
+    of_class = named.join(least, "root").select("node", "root", "component_id")
     out = rows.select("id", "n_shingles", "node").where("node is not null").join(of_class, "node")
-    empty = rows.where("node is null").select("node", "id", "n_shingles", F.col("id").alias("component_id"))
+    empty = rows.where("node is null").select("node", "id", "n_shingles", F.lit(None).cast("binary").alias("root"), F.col("id").alias("component_id"))
     out = out.unionByName(empty)
-    return out.select(F.col("id").alias(id_col), "n_shingles", "node", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", "node", "root", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each group of near duplicates, that of the least id (of the least set among rows of one id; null ids last).
+
+    Rows without words are linked with nothing and all stay. Columns and their order are those of docs.
+    """
+    first = near_duplicates(docs, words, percent, id_col, text).where("root is not null").groupBy("root")
+    first = first.agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "node")).alias("x")).select(F.col("x.id").alias("_id"), F.col("x.node").alias("_set"))
+    name = "node"
+    while name in docs.columns:
+        name += "_"
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes = [node_of(x) if len(x) else None for _, _, buf, offsets in _text.blocks(b.column(b.schema.names.index(text))) for x in shingle_sets(buf, offsets, words)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes, pa.binary())], names=[*b.schema.names, name])
+
+    key = name + "key"  # the id without null, so that the join and what follows it share one shuffle
+    tagged = docs.mapInArrow(run, schema).withColumn(key, F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    first = first.select(F.col("_set").alias(name), F.coalesce(F.col("_id").cast("string"), F.lit("")).alias(key))
+    some = tagged.where(F.col(name).isNotNull()).join(first, [name, key], "left_semi")
+    return some.dropDuplicates([name, key]).unionByName(tagged.where(F.col(name).isNull())).select(*docs.columns)

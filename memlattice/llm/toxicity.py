@@ -254,17 +254,16 @@ def hash_order(text: str) -> int:
     return zlib.crc32(raw) << 32 | zlib.adler32(raw)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds toxic_score, toxic_evidence (by word) and toxic_window to docs (replacing columns of these names). keep: the columns of docs to return, all by default."""
-    new = ["toxic_score", "toxic_evidence", "toxic_window"]
-    docs = docs.drop(*new)
+def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, names: tuple[str, str, str] = ("toxic_score", "toxic_evidence", "toxic_window")) -> DataFrame:
+    """Adds score, evidence by word and largest window evidence to docs, as `names` (replacing columns of these names). keep: the columns of docs to return, all by default."""
+    docs = docs.drop(*names)
     told = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.columns if keep is None else keep
-    schema = T.StructType([*[docs.schema[c] for c in kept], *[T.StructField(c, T.DoubleType()) for c in new]])
+    schema = T.StructType([*[docs.schema[c] for c in kept], *[T.StructField(c, T.DoubleType()) for c in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p, x = scores(told.value, b.column(b.schema.names.index(text)))
-            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.names.index(c)) for c in kept], pa.array(p), pa.array(x[:, 0]), pa.array(x[:, 1])], names=[*kept, *new])
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.names.index(c)) for c in kept], pa.array(p), pa.array(x[:, 0]), pa.array(x[:, 1])], names=[*kept, *names])
 
     return docs.mapInArrow(run, schema)
