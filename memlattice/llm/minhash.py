@@ -4,13 +4,13 @@ A document's set is that of its word shingles, as 64-bit hashes. Two permutation
 make all coordinates of the signature: the first scatters the shingles, the second, circularly shifted by
 k, gives coordinate k as the least value over the set. BANDS bands of ROWS coordinates put documents into
 buckets: two documents at Jaccard similarity 0.8 miss each other in all buckets with a probability of
-(1 - 0.8 ** ROWS) ** BANDS, about 1e-7.
+(1 - 0.8 ** ROWS) ** BANDS, about 3e-7.
 
 Equal sets are one class from the start, so a group of copies is a single node. In each bucket every class
 is compared to the bucket's least class only (a star), on the full sets. Where the verified links leave a
 bucket in several components, all pairs of classes from different components of that bucket are compared
-too, so that no link is lost to the stars, and a bucket of near copies costs as many comparisons as it has
-members. Sets are fetched for candidate classes only.
+too (if their sizes admit a link), so that no link is lost to the stars, and a bucket of near copies costs
+as many comparisons as it has members. Sets are fetched for candidate classes only.
 
 Defined cases: null and empty texts have an empty set, n_shingles 0, and are linked with nothing: each is
 its own component. Texts with fewer words than a shingle are one shingle. Repeated rows are copies. A null
@@ -31,7 +31,7 @@ from memlattice.llm import _text
 from memlattice.llm._shared import written
 from memlattice.llm.graph import components
 
-ROWS, BANDS = 5, 40
+ROWS, BANDS = 7, 64
 IN_MEMORY = 400_000  # candidate classes of 16 bytes that are sent to the executors; beyond, they are joined
 
 
@@ -174,12 +174,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     roots = components(links)
     placed = written(buckets.join(roots, "node", "left").select("key", "node", "n", "centre", F.coalesce("root", "node").alias("root")), "placed")
     split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    open_ = written(placed.join(split, "key"), "open")
-    groups = open_.select("key", "root").distinct()
-    across = groups.select("key", F.col("root").alias("ra")).join(groups.select("key", F.col("root").alias("rb")), "key").where("ra < rb")
-    left = open_.select("key", F.col("root").alias("ra"), F.col("node").alias("a"), F.col("n").alias("na"), "centre")
-    right = open_.select("key", F.col("root").alias("rb"), F.col("node").alias("b"), F.col("n").alias("nb"))
-    pairs = across.join(left, ["key", "ra"]).join(right, ["key", "rb"]).where((F.col("a") != F.col("centre")) & (F.col("b") != F.col("centre")) & fits(F.col("na"), F.col("nb")))
+    # Sizes within the ratio that a link needs lie in the same or in neighbouring parts.
+    part = F.floor(F.log("n") / F.log(F.lit(101.0 / percent)))
+    open_ = written(placed.join(split, "key").withColumn("part", part), "open")
+    groups = open_.select("key", "root", "part").distinct()
+    ga = groups.select("key", F.col("root").alias("ra"), F.col("part").alias("pa"), F.explode(F.array(F.col("part") - 1, F.col("part"), F.col("part") + 1)).alias("pb"))
+    across = ga.join(groups.select("key", F.col("root").alias("rb"), F.col("part").alias("pb")), ["key", "pb"]).where("ra < rb")
+    left = open_.select("key", F.col("root").alias("ra"), F.col("part").alias("pa"), F.col("node").alias("a"), F.col("n").alias("na"), "centre")
+    right = open_.select("key", F.col("root").alias("rb"), F.col("part").alias("pb"), F.col("node").alias("b"), F.col("n").alias("nb"))
+    pairs = across.join(left, ["key", "ra", "pa"]).join(right, ["key", "rb", "pb"]).where((F.col("a") != F.col("centre")) & (F.col("b") != F.col("centre")) & fits(F.col("na"), F.col("nb")))
     more = _linked(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent)
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
