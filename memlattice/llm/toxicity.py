@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from memlattice.llm import _text
 
-SAMPLE = 3_000
+SAMPLE = 2_000
 WINDOW = 32
 SLIGHT = 2.0
 STEM = 4
@@ -239,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     each = min(most, max(toxic, most // 8))  # as many ordinary as toxic texts, so that neither class knows more words
     share = F.when(F.col("_mark") > 0, F.lit(most / max(toxic, 1))).otherwise(F.lit(each / max(other, 1)))
     drawn = known.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_003)) < share * 1_000_003).select(id_col, (F.col("_mark") > 0).alias("_mark"))
-    drawn = drawn.limit(3 * most)  # the shares give `most` of each class; the limit is a bound beyond chance
+    drawn = drawn.dropDuplicates([id_col]).limit(3 * most)  # the shares give `most` of each class; the limit is a bound beyond chance
     found = docs.where(F.col(text).isNotNull()).select(id_col, text).join(F.broadcast(drawn), id_col).select(text, "_mark").toArrow()
     order = np.argsort(np.array([hash_order(x) for x in found.column(0).to_pylist()], dtype=np.uint64), kind="stable")
     found = found.take(pa.array(order)) if len(found) else found
