@@ -97,12 +97,14 @@ def _following(buckets: DataFrame, width: int = 1_000, one_task: int = 200_000)
     return inner.join(jump, "coarse", "left").select("bucket", F.coalesce("next", "head").alias("next"))
 
 
-def with_next(docs: DataFrame, id_col: str, carried: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str, tied: list[str], derive=lambda df: df, carried: list[str] | None = None) -> DataFrame:
     """Each row with the carried columns of the row that follows in ascending id, the first following the last.
 
+    derive: adds columns to the rows before they are dealt out; carried may name them (default: tied).
+
     Ids are dealt over buckets of BUCKET consecutive values, so no task orders more than a bucket at a time;
     the first row of each bucket is repeated in the bucket before. Rows of one id (null counts as the least)
-    follow one another in the order of the carried columns' hash, then of the columns.
+    follow one another in the order of the tied columns' hash, then of the columns.
     """
     order = F.coalesce(F.col(id_col), F.lit(-(2**63)))
     rows = docs.withColumn("_o", order).withColumn("_b", F.expr(f"_o div {BUCKET}"))
@@ -114,13 +116,15 @@ def with_next(docs: DataFrame, id_col: str, carried: list[str]) -> DataFrame:
     # A bound is 16 bytes: under 4 MB they are broadcast, beyond that the rows are joined by a shuffle.
     heads = bounds.select("_b", "_o")
     heads = rows.join(F.broadcast(heads) if n <= 250_000 else heads, ["_b", "_o"])
-    ties = [F.xxhash64(*carried), *carried]
+    carried = tied if carried is None else carried
+    ties = [F.xxhash64(*tied), *tied]
     heads = heads.withColumn("_k", F.row_number().over(Window.partitionBy("_b").orderBy(*ties))).where("_k = 1").drop("_k")
     ghosts = heads.join(before, "_b").select(*docs.columns, "_o", F.col("_to").alias("_b"), F.lit(True).alias("_ghost"))
     if n:
         wrap = heads.where(F.col("_b") == first).select(*docs.columns, F.lit(2**63 - 1).alias("_o"), F.lit(last).alias("_b"), F.lit(True).alias("_ghost"))
         ghosts = ghosts.unionByName(wrap)
     every = rows.select(*docs.columns, "_o", "_b", F.lit(False).alias("_ghost")).unionByName(ghosts)
+    every = derive(every)
     window = Window.partitionBy("_b").orderBy("_o", "_ghost", *ties)
     out = every.select("*", *[F.lead(c).over(window).alias(f"next_{c}") for c in carried])
     return out.where(~F.col("_ghost")).drop("_o", "_b", "_ghost")
@@ -136,8 +140,8 @@ def edited_text(text: Column, following: Column) -> Column:
 def edit_likeness(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for doc_id and text."""
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = base.withColumn("sigs", signatures(F.col("text")))
-    rows = with_next(base, "doc_id", ["text", "sigs"])
+    signed = lambda df: df.withColumn("sigs", signatures(F.col("text")))
+    rows = with_next(base, "doc_id", ["text"], signed, ["text", "sigs"])
     rows = rows.withColumn("edited", edited_text(F.col("text"), F.col("next_text"))).withColumn("edited_sigs", signatures(F.col("edited")))
     return rows.select(
         "doc_id",
