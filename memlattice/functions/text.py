@@ -92,9 +92,9 @@ def size_bytes(x: Column) -> Column:
     number = F.regexp_extract(x, r"(?i)\A\s*\+?([0-9]+)([kmgt]?i?b?)\z", 1)
     unit = F.lower(F.regexp_extract(x, r"(?i)\A\s*\+?([0-9]+)([kmgt]?i?b?)\z", 2))
     power = F.when(unit.isin("", "b"), 0).when(unit.isin("k", "kb", "kib"), 1).when(unit.isin("m", "mb", "mib"), 2).when(unit.isin("g", "gb", "gib"), 3).when(unit.isin("t", "tb", "tib"), 4)
-    factor = F.element_at(F.array(*[F.lit(1024**i).cast("decimal(20,0)") for i in range(5)]), power + 1)
+    factor = F.element_at(F.array(*[F.lit(str(1024**i)).cast("decimal(20,0)") for i in range(5)]), power + 1)
     value = F.when(F.length(number).between(1, 18), number).try_cast("decimal(20,0)") * factor
-    return F.when(value <= F.lit(2**64 - 1).cast("decimal(20,0)"), value.cast("decimal(20,0)"))
+    return F.when(value <= F.lit(str(2**64 - 1)).cast("decimal(20,0)"), value.cast("decimal(20,0)"))
 
 
 def range_text(ranges: Column) -> Column:
