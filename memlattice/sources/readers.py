@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from memlattice.functions.text import corpus_id, header_id, memory_text
+from memlattice.shipping import ship
 
 # Folders that hold no sources, and suffixes of source files.
 SKIPPED = (".git", ".hg", ".svn", "node_modules", "build", "dist", "target", "vendor", "__pycache__", ".venv", "venv", ".idea", ".vscode", "third_party")
@@ -14,6 +15,7 @@ SUFFIXES = (".c", ".cc", ".cpp", ".cs", ".css", ".go", ".h", ".hpp", ".html", ".
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
