@@ -7,10 +7,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from memlattice.shipping import ship
+
 _OWN: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
