@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from memlattice.llm import langid, minhash, packing, toxicity
 from memlattice.llm._shared import shared_dir, table
+from memlattice.shipping import ship
 
 
 def _new_names(docs: DataFrame, *names: str) -> tuple[str, ...]:
@@ -22,6 +23,7 @@ def _new_names(docs: DataFrame, *names: str) -> tuple[str, ...]:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is identified; learns from all that have a language. Rejected: no letters, or unsure."""
+    ship(spark)
     names = _new_names(docs, "language", "likely", "rejected")
     out = langid.identify(docs, langid.fit(docs, F.lit(True)), names=names)
     return out.where(~F.col(names[2])).select(*docs.columns)
@@ -36,11 +38,13 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group linked by a Jaccard similarity of 0.8 or more on five-word shingles."""
+    ship(spark)
     return minhash.deduplicated(docs, words=5, percent=80)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed into sequences of 4096 tokens."""
+    ship(spark)
     out = packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
