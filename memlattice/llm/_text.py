@@ -8,6 +8,7 @@ bytes alone, so every executor gives the same word the same hash.
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -194,3 +195,12 @@ def one_thread() -> None:
             if hasattr(handle := ctypes.CDLL(str(lib)), name):
                 getattr(handle, name)(1)
                 return
+
+
+def give_back() -> None:
+    """Returns memory that a training has freed to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -37,7 +37,7 @@ BITS = 16
 BUCKETS = 1 << BITS
 SIZES = (2, 3, 4)
 DIM = 12
-SAMPLE = 4_000
+SAMPLE = 3_000
 REJECT = 0.0005
 
 # Bytes: letters keep their lower case, every other ASCII character reads as a blank, others stay.
@@ -111,7 +111,7 @@ def train(texts: pa.Array, langs: list[str], epochs: int = 4, seed: int = 7) ->
         for i in range(len(offsets) - 1):
             ids = np.concatenate([b[f[i] : f[i + 1]] for b, f in parts]) if parts else np.zeros(0, np.uint32)
             ids, n = np.unique(ids, return_counts=True)
-            bags.append((ids.astype(np.int64), (n / max(1, n.sum())).astype(np.float32)))
+            bags.append((ids.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(bags))
     held, fit = order[: len(bags) // 10], order[len(bags) // 10 :]
@@ -188,7 +188,10 @@ def sample(docs: DataFrame, learn: Column, label: str, most: int, text: str = "t
 def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", most: int = SAMPLE) -> Model | None:
     """Trains on a sample of the rows to learn from; rows without text or language teach nothing."""
     found = _sorted_sample(docs, learn, lang, most, text)
-    return train(found.column(0).combine_chunks(), found.column(1).to_pylist())
+    model = train(found.column(0).combine_chunks(), found.column(1).to_pylist())
+    del found
+    _text.give_back()
+    return model
 
 
 def _sorted_sample(docs: DataFrame, learn: Column, label: str, most: int, text: str) -> pa.Table:

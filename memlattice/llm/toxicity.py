@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from memlattice.llm import _text
 
-SAMPLE = 2_000
+SAMPLE = 1_500
 WINDOW = 32
 SLIGHT = 2.0
 STEM = 4
@@ -244,7 +244,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     order = np.argsort(np.array([hash_order(x) for x in found.column(0).to_pylist()], dtype=np.uint64), kind="stable")
     found = found.take(pa.array(order)) if len(found) else found
     column, mark = found.column(0).combine_chunks(), found.column(1).combine_chunks()
-    return train(column.filter(mark), column.filter(pa.array(~np.array(mark.to_pylist(), dtype=bool))), toxic / max(toxic + other, 1))
+    del found
+    model = train(column.filter(mark), column.filter(pa.array(~np.array(mark.to_pylist(), dtype=bool))), toxic / max(toxic + other, 1))
+    del column
+    _text.give_back()
+    return model
 
 
 def hash_order(text: str) -> int:
