@@ -20,8 +20,6 @@ from memlattice.plans import manifest as mf
 from memlattice.plans import planner
 from memlattice.sources.store import Store
 
-_NOW = F.unix_millis(F.current_timestamp())
-
 
 class CommandError(Exception):
     """Its message names what is wrong."""
@@ -117,9 +115,10 @@ class Engine:
     def save_session(self, session_id: str) -> None:
         """Writes the manifest of all segments, from now on kept up to date by index_session."""
         hashed = self._hashed(session_id).join(self.segments(session_id), ["session_id", "segment_id"])
+        now = F.unix_millis(F.current_timestamp())
         rows = hashed.select(
             "session_id", "segment_id", "first_idx", (F.col("last_idx") + 1).alias("last_idx_excl"), F.col("hash").alias("content_hash"), F.col("total").cast("bigint").alias("token_count"),
-            (F.col("total") * 4).cast("bigint").alias("bytes"), _NOW.alias("created_ms"), _NOW.alias("last_access_ms"),
+            (F.col("total") * 4).cast("bigint").alias("bytes"), now.alias("created_ms"), now.alias("last_access_ms"),
         )
         self.store.replace_session("manifest", session_id, rows)
         self.store.replace_session("sessions", session_id, self._session(session_id)[0].withColumn("kv_persist", F.lit(True)))

@@ -19,21 +19,31 @@ def fnv1a(data: bytes, state: int = BASIS) -> int:
         state = ((state ^ byte) * PRIME) & 0xFFFFFFFFFFFFFFFF
     return state
 
-@F.pandas_udf(T.StringType())
-def fnv_hex(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else f"{fnv1a(t.encode()):016x}")
-
-@F.pandas_udf(T.StringType())
-def _content_hash(system: pd.Series, indices: pd.Series, texts: pd.Series) -> pd.Series:
-    def one(s: str, ids, ts) -> str:
-        raw = s.encode()
-        state = fnv1a(struct.pack("<Q", len(raw)) + raw)
-        for i, t in zip(ids, ts, strict=True):
-            raw = t.encode()
-            state = fnv1a(struct.pack("<qQ", i, len(raw)) + raw, state)
-        return f"{state:016x}"
-
-    return pd.Series([one(*x) for x in zip(system, indices, texts, strict=True)])
+
+def fnv_hex(text: Column) -> Column:
+    """The hash of a text as 16 hex digits; null for null."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else f"{fnv1a(t.encode()):016x}")
+
+    return F.pandas_udf(run, T.StringType())(text)
+
+
+def _of_segment(system: str, indices, texts) -> str:
+    raw = system.encode()
+    state = fnv1a(struct.pack("<Q", len(raw)) + raw)
+    for i, t in zip(indices, texts, strict=True):
+        raw = t.encode()
+        state = fnv1a(struct.pack("<qQ", i, len(raw)) + raw, state)
+    return f"{state:016x}"
+
+
+def _content_hash(system: Column, indices: Column, texts: Column) -> Column:
+    def run(s: pd.Series, i: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series([_of_segment(*x) for x in zip(s, i, t, strict=True)])
+
+    return F.pandas_udf(run, T.StringType())(system, indices, texts)
+
 
 def segment_hashes(members: DataFrame, system: Column | None = None) -> DataFrame:
     """(session_id, segment_id, hash): over the system text and each memory's index and text; client ids don't count."""
