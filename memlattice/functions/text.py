@@ -117,7 +117,7 @@ def url_segment(x: Column) -> Column:
 def log_line(x: Column, most: int = 160) -> Column:
     """One line of at most `most` bytes (cut back to a whole character), then ..."""
     flat = F.regexp_replace(x, "[\n\r\t]", " ")
-    cut = F.regexp_replace(F.decode(F.substring(flat.cast("binary"), 1, most), "utf-8"), "�+$", "")
+    cut = F.regexp_replace(F.make_valid_utf8(F.substring(flat.cast("binary"), 1, most).cast("string")), "\ufffd+$", "")
     return F.when(F.octet_length(flat) > most, F.concat(cut, F.lit("..."))).otherwise(flat)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from memlattice.functions.text import corpus_id, header_id, memory_text
 from memlattice.shipping import ship
@@ -19,9 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def json_lines(spark: SparkSession, path: str, schema: StructType, strict: bool = True) -> DataFrame:
-    """Strict: a bad line is an error. Tolerant: bad lines are skipped."""
-    return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
+def json_lines(spark: SparkSession, path: str, schema: StructType | str, strict: bool = True) -> DataFrame:
+    """Strict: a bad line is an error. Tolerant: blank and bad lines, and those that hold no object, are skipped, whatever columns are read."""
+    if strict:
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    row = F.from_json("value", StructType([*kind.fields, StructField("_bad", StringType())]), {"columnNameOfCorruptRecord": "_bad"})
+    lines = spark.read.text(path).where(F.json_object_keys("value").isNotNull()).select(row.alias("row"))
+    return lines.where(F.col("row._bad").isNull()).select(*[F.col(f"row.{f.name}").alias(f.name) for f in kind.fields])
 
 
 def whole_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -33,7 +38,8 @@ def json_memories(spark: SparkSession, path: str) -> DataFrame:
     """(id, text) of a JSON list, or of the list `memories` of a JSON object."""
     one = "array<struct<id:string,text:string>>"
     raw = spark.read.text(path, wholetext=True)
-    listed = F.coalesce(F.from_json("value", one), F.from_json("value", f"struct<memories:{one}>")["memories"])
+    keyed = F.json_object_keys("value").isNotNull()
+    listed = F.when(keyed, F.from_json("value", f"struct<memories:{one}>")["memories"]).otherwise(F.from_json("value", one))
     return raw.select(F.explode(listed).alias("m")).select("m.*")
 
 
