@@ -572,7 +572,7 @@ def q_fuse_first(spark, sf):
     return fusion.fused(block_hits(spark, sf), "first")
 
 
-_MERGED = """, i AS (SELECT *, max(end_line) OVER (PARTITION BY {by} ORDER BY start_line, end_line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {rows}),
+_MERGED = """, i AS (SELECT *, max(end_line) OVER (PARTITION BY {by} ORDER BY start_line, end_line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT DISTINCT {by}, start_line, end_line FROM {rows})),
 j AS (SELECT *, sum(CASE WHEN reach IS NULL OR start_line > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY {by} ORDER BY start_line, end_line ROWS UNBOUNDED PRECEDING) AS isl FROM i),
 merged AS (SELECT {by}, min(start_line) AS start_line, max(end_line) AS end_line FROM j GROUP BY {by}, isl)"""
 _TEXTED = "string_agg(CASE WHEN start_line = end_line THEN CAST(start_line AS VARCHAR) ELSE start_line || '-' || end_line END, ',' ORDER BY start_line)"
@@ -663,14 +663,16 @@ def q_tool_counts(spark, sf):
     return usage.tool_counts(readers.table(spark, sf, "events"), "event_type", "user_id")
 
 
-@query("q_paired_delta", """WITH a AS (SELECT user_id, sum(v) AS x FROM (SELECT user_id, CAST(round(value * 100) AS BIGINT) / 100 AS v FROM events WHERE event_id % 2 = 0) GROUP BY user_id), b AS (SELECT user_id, sum(v) AS x FROM (SELECT user_id, CAST(round(value * 100) AS BIGINT) / 100 AS v FROM events WHERE event_id % 2 = 1) GROUP BY user_id)
-SELECT user_id AS key, round(a.x, 2) AS a, round(b.x, 2) AS b, round(b.x - a.x, 2) AS delta, CASE WHEN a.x <> 0 THEN round(100 * (b.x - a.x) / a.x, 4) END AS pct FROM a JOIN b USING (user_id)""")
+_CENTS = "SELECT user_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS x FROM events WHERE event_id % 2 = {} GROUP BY user_id"
+
+
+@query("q_paired_delta", f"""WITH a AS ({_CENTS.format(0)}), b AS ({_CENTS.format(1)})
+SELECT user_id AS key, a.x AS a, b.x AS b, b.x - a.x AS delta, CASE WHEN a.x <> 0 THEN round(100.0::DOUBLE * (b.x - a.x) / a.x, 6) END AS pct FROM a JOIN b USING (user_id)""")
 def q_paired_delta(spark, sf):
-    """The events of even and of odd numbers as two runs."""
-    e = readers.table(spark, sf, "events").select("event_id", F.col("user_id").alias("key"), (F.round(F.col("value") * 100).cast("bigint") / 100).alias("v"))
+    """The events of even and of odd numbers as two runs, in cents."""
+    e = readers.table(spark, sf, "events").select("event_id", F.col("user_id").alias("key"), F.round(F.col("value") * 100).cast("bigint").alias("v"))
     run = lambda k: e.where(F.col("event_id") % 2 == k).groupBy("key").agg(F.sum("v").alias("v"))
-    out = usage.paired(run(0), run(1), "key", "v")
-    return out.select("key", *[F.round(c, 2).alias(c) for c in ("a", "b", "delta")], F.round("pct", 4).alias("pct"))
+    return usage.paired(run(0), run(1), "key", "v")
 
 
 @query("q_incremental_equals_full", "SELECT 0::BIGINT AS only_full, 0::BIGINT AS only_incremental, (SELECT count(DISTINCT (conv_id, turn)) FROM conversations WHERE regexp_matches(lower(role || ': ' || text), '[a-z0-9]')) AS memories")

@@ -30,7 +30,7 @@ def fused(hits: DataFrame, how: str, file: str = "doc_id", top_k: int = 0) -> Da
 def merged_ranges(hits: DataFrame, by: list[str]) -> DataFrame:
     """(by, start_line, end_line): ranges that overlap or touch (a gap of at most 1) become one; empty or zero bounds are dropped."""
     w = Window.partitionBy(*by).orderBy("start_line", "end_line")
-    ok = hits.where((F.col("start_line") > 0) & (F.col("end_line") > 0) & (F.col("end_line") >= F.col("start_line")))
+    ok = hits.where((F.col("start_line") > 0) & (F.col("end_line") > 0) & (F.col("end_line") >= F.col("start_line"))).select(*by, "start_line", "end_line").distinct()
     ok = ok.withColumn("reach", F.max("end_line").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     ok = ok.withColumn("island", F.sum(F.when(F.col("reach").isNull() | (F.col("start_line") > F.col("reach") + 1), 1).otherwise(0)).over(w))
     return ok.groupBy(*by, "island").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line")).drop("island")

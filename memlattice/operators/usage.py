@@ -53,4 +53,4 @@ def paired(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     """(key, a, b, delta, pct) of the keys that both runs have."""
     both = a.select(key, F.col(value).alias("a")).join(b.select(key, F.col(value).alias("b")), key)
     delta = F.round(F.col("b") - F.col("a"), 6)
-    return both.select(key, F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), delta.alias("delta"), F.round(F.when(F.col("a") != 0, 100 * (F.col("b") - F.col("a")) / F.col("a")), 6).alias("pct"))
+    return both.select(key, F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), delta.alias("delta"), F.round(F.when(F.col("a") != 0, F.lit(100.0) * (F.col("b") - F.col("a")) / F.col("a")), 6).alias("pct"))
