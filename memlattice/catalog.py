@@ -20,7 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 SOFT = schema.soft_limit(schema.CONTEXT)
 PASSAGE = "that the of and this from with"
-TERM = 7  # the least length of a term where passages are queries
+TERM = 7  # the least length of a term where passages are queries and SQL asks the same; see the README
 SLICE = 600
 
 
@@ -421,7 +421,7 @@ def _materialise(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
 @query("q_refine")
 def q_refine(spark, sf):
     items = readers.table(spark, sf, "documents").select(F.col("doc_id").alias("memory_idx"), "text")
-    out = search.refine(passages(spark, sf), items, keep=3, passes=schema.RERANK_PASSES, segment_size=200, materialise=_materialise(spark), min_length=TERM)
+    out = search.refine(passages(spark, sf), items, keep=3, passes=schema.RERANK_PASSES, segment_size=200, materialise=_materialise(spark))
     return out.select("query_id", "rank", F.col("memory_idx").alias("doc_id"), "passes")
 
 

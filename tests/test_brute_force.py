@@ -62,3 +62,10 @@ def test_refine(spark, sf):
             got[r["query_id"]].append((r["rank"], r["memory_idx"], r["passes"]))
         for q in asked.collect():
             assert sorted(got[q["query_id"]]) == plain_refine(q["query"], items, keep, passes, size, 6)
+
+
+def test_refine_takes_terms_of_every_length(spark, tmp_path):
+    spark.createDataFrame([(0, "a cat sat"), (1, "nothing alike"), (2, "the cat")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "my cat")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r["query_id"], r["rank"], r["doc_id"]) for r in catalog.q_refine(spark, str(tmp_path)).collect())
+    assert got == [(7, r, i) for r, i, _ in plain_refine("my cat", {0: "a cat sat", 1: "nothing alike", 2: "the cat"}, 3, 2, 200, 1)] and len(got) == 2
