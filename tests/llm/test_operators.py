@@ -79,6 +79,28 @@ def test_quality(spark, sf, documents, odd):
     assert quality.judged(odd.limit(0)).count() == 0
 
 
+def test_quality_rejects_planted_junk(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng, junk = random.Random(3), []
+    for lang in ("en", "de", "es", "fr"):
+        plain = [r["text"] for r in docs.where((F.col("lang") == lang) & F.length("text").between(600, 6000)).orderBy("doc_id").limit(12).collect()]
+        for i in range(8):
+            words = plain[i].split()
+            filled = " ".join(w + rng.choice(["***", "###", "%%%", "&&&"]) for w in words)
+            garbled = "".join(rng.choice("qxzjkvwpbgfy") if c.isalpha() else c for c in plain[i])
+            repeated = " ".join(words[:12] * 20)
+            junk += [(-len(junk) - k, t, lang, name) for k, (name, t) in enumerate([("filled", filled), ("garbled", garbled), ("repeated", repeated)], 1)]
+    told = spark.createDataFrame(junk, "doc_id long, text string, lang string, kind string")
+    got = rows(quality.judged(docs.unionByName(told.drop("kind"))))
+    kept = {r["doc_id"]: r["kept"] for r in got}
+    for lang in ("en", "de", "es", "fr"):
+        for kind in ("filled", "garbled", "repeated"):
+            out = [not kept[i] for i, _, g, k in junk if (g, k) == (lang, kind)]
+            assert sum(out) >= 6, (lang, kind, sum(out))
+    plain = [r["kept"] for r in got if r["doc_id"] > 0 and not r["base_failed"]]
+    assert sum(plain) > 0.9 * len(plain)
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(1)
     text = bytes(rng.choice(list(b"abc d"), 4000).tolist())
