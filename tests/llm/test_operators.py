@@ -256,6 +256,18 @@ def test_rare_words_are_joined(spark, sf, documents, monkeypatch):
         assert r["base_score"] == pytest.approx(whole[r["doc_id"]]["base_score"], rel=1e-9) and r["n_known"] == whole[r["doc_id"]]["n_known"]
 
 
+def test_attention_learns_from_texts_outside_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SAMPLE", 0)
+    docs = spark.createDataFrame([(i, "one two three four " * 40) for i in range(6_000)], "doc_id long, text string").coalesce(1)
+    model, _ = lm_score.fit(docs, F.lit(True), BPE)
+    fresh = lm_score.Attention.fresh(np.full(lm_score.CLASSES, 1 / lm_score.CLASSES))
+    fresh.w["bias"] = model.attention.w["bias"]
+    words = [x.encode() for x in ("one two three four " * 10).split()]
+    classes = np.append(model.of_id[lm_score.first_ids(BPE, words)], lm_score.CLASSES - 1).astype(np.int16)
+    score = [lm_score.log10_classes(m, classes, np.array([0, len(classes)]))[0] for m in (model.attention, fresh)]
+    assert score[0] > score[1] + 5
+
+
 def test_windows_score_each_token_once():
     rng = np.random.default_rng(4)
     m = lm_score.Attention.fresh(np.full(lm_score.CLASSES, 1 / lm_score.CLASSES))
