@@ -10,8 +10,9 @@ Calibration: a temperature is fitted on a tenth of the sample that training did
 threshold is the largest score that REJECT of the rightly identified texts there fall under, at most 1/2:
 a text whose best language is no likelier than not, or with less support than nearly all texts, is rejected.
 
-Training takes a sample of at most SAMPLE labelled texts (drawn by a hash of the text, so all languages and
-sources stand in their proportions); a bounded sample is enough for a few thousand parameters a language.
+Training takes a sample of about SAMPLE distinct labelled texts, drawn by a hash of the text up to a bound for each
+language (what rare ones don't fill is left to the others), so that a rare language is learned and copies push
+none out; a bounded sample is enough for a few thousand parameters a language.
 Every text is scored whole.
 
 Defined cases: a null text, or one without any letter, gives `und` with score 0 and is rejected. With no
@@ -27,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +39,7 @@ BUCKETS = 1 << BITS
 SIZES = (2, 3, 4)
 DIM = 12
 SAMPLE = 3_000
+LEAST = 100  # texts of a language that are drawn however many languages there are
 REJECT = 0.0005
 
 # Bytes: letters keep their lower case, every other ASCII character reads as a blank, others stay.
@@ -175,14 +177,28 @@ LETTER = np.zeros(256, bool)  # ASCII letters; texts without any are looked at b
 LETTER[65:91] = LETTER[97:123] = True
 
 
-def sample(docs: DataFrame, learn: Column, label: str, most: int, text: str = "text") -> list:
-    """At most `most` rows (text, label) of those to learn from, drawn by a hash of the text."""
+def sample(docs: DataFrame, learn: Column, label: str, most: int, text: str = "text") -> pa.Table:
+    """Distinct (text, label) to learn from: up to a bound for each label, at most `most` in all unless LEAST for each label are more."""
     rows = docs.where(learn & F.col(label).isNotNull() & F.col(text).isNotNull())
-    n = rows.count()
-    share = min(1.0, 1.1 * most / max(n, 1))
-    if share < 1:
-        rows = rows.where(F.pmod(F.xxhash64(text), F.lit(1_000_003)) < int(share * 1_000_003))
-    return rows.select(text, label).limit(most).toArrow()
+    h = F.xxhash64(text)
+    n = {r[0]: r[1] for r in rows.groupBy(label).agg(F.approx_count_distinct(h, 0.02)).collect()}
+    each = max(LEAST, _bound(list(n.values()), most))
+    share = {k: min(1.0, 1.3 * each / max(v, 1)) for k, v in n.items() if 1.3 * each < v}  # 1.3: a label has its bound beyond chance and the count's error
+    for_label = F.coalesce(*[F.when(F.col(label) == k, F.lit(int(v * 1_000_003))) for k, v in share.items()], F.lit(1_000_003))
+    drawn = rows.where(F.pmod(h, F.lit(1_000_003)) < for_label).select(text, label).distinct()
+    rank = F.row_number().over(Window.partitionBy(label).orderBy(h, text))
+    return drawn.withColumn("_rank", rank).where(F.col("_rank") <= each).select(text, label).toArrow()
+
+
+def _bound(counts: list[int], most: int) -> int:
+    """The largest bound under which counts, cut to it, sum to `most` at most."""
+    left = most
+    for i, n in enumerate(sorted(counts)):
+        share = left // (len(counts) - i)
+        if n > share:
+            return share
+        left -= n
+    return most
 
 
 def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", most: int = SAMPLE) -> Model | None:

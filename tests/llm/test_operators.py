@@ -404,6 +404,13 @@ def test_language(spark, sf, documents, odd):
     assert langid.identify(odd.limit(0), None).count() == 0
 
 
+def test_rare_languages_are_drawn_and_copies_are_not(spark):
+    copies = [("copied text", "xx")] * 3_000
+    docs = spark.createDataFrame(copies + [(f"many words {i}", "en") for i in range(3_000)] + [(f"few {i}", "qq") for i in range(3)], "text string, lang string")
+    got = collections.Counter(langid.sample(docs, F.lit(True), "lang", 300).column(1).to_pylist())
+    assert got["qq"] == 3 and got["xx"] == 1 and 250 <= got["en"] <= 300
+
+
 # --- 7 ---
 
 
