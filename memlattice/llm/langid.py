@@ -6,9 +6,11 @@ languages. Embeddings and softmax are trained by stochastic gradient descent in
 linear, the trained model is kept as one vector of language scores for each bucket (at most BUCKETS x
 languages floats: its size does not grow with the corpus), and a text's logits are the mean of these.
 
-Calibration: a temperature is fitted on a tenth of the sample that training did not see, and the rejection
-threshold is the largest score that REJECT of the rightly identified texts there fall under, at most 1/2:
-a text whose best language is no likelier than not, or with less support than nearly all texts, is rejected.
+Calibration: a temperature is fitted on a tenth of the sample that training did not see. A text is rejected if its
+score is under a threshold, at most 1/2, or its support (the mean logarithm of its subwords' shares in the training
+texts) is under a limit: a softmax alone is sure of texts in a language that it never saw. Both are what the share
+REJECT of all rightly identified labelled texts outside the sample fall under; with fewer than 1 / REJECT of these,
+the threshold is the least score in the tenth, and there is no limit of support.
 
 Training takes a sample of about SAMPLE distinct labelled texts, drawn by a hash of the text up to a bound for each
 language (what rare ones don't fill is left to the others), so that a rare language is learned and copies push
@@ -41,6 +43,7 @@ DIM = 12
 SAMPLE = 3_000
 LEAST = 100  # texts of a language that are drawn however many languages there are
 REJECT = 0.0005
+CELLS = (0.001, 0.01)  # of the histograms of score and support
 
 # Bytes: letters keep their lower case, every other ASCII character reads as a blank, others stay.
 _FOLD = np.full(256, 32, np.uint8)
@@ -56,6 +59,8 @@ class Model:
     bias: np.ndarray
     temperature: float
     threshold: float
+    support: np.ndarray  # BUCKETS: log share of the subwords of the training texts
+    least: float
 
 
 def subwords(buf: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -85,15 +90,16 @@ def subwords(buf: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
             yield h >> np.uint32(32 - BITS), np.searchsorted(at, np.concatenate([[0], offsets[1:]]))
 
 
-def _logits(model: Model, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Mean language scores of each text; texts without subwords get the bias alone."""
+def _logits(model: Model, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean language scores and mean support of each text; texts without subwords get the bias alone."""
     k = len(model.languages)
-    total, number = np.zeros((len(offsets) - 1, k)), np.zeros(len(offsets) - 1)
+    total, support, number = np.zeros((len(offsets) - 1, k)), np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1)
     for buckets, first in subwords(buf, offsets):
         number += np.diff(first)
+        support += _text.per_text(model.support[buckets].astype(np.float64), first)
         for j in range(k):
             total[:, j] += _text.per_text(model.scores[:, j][buckets].astype(np.float64), first)
-    return total / np.maximum(number, 1)[:, None] + model.bias
+    return total / np.maximum(number, 1)[:, None] + model.bias, support / np.maximum(number, 1)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -107,12 +113,13 @@ def train(texts: pa.Array, langs: list[str], epochs: int = 4, seed: int = 7) ->
     if not languages:
         return None
     y = np.array([languages.index(x) for x in langs])
-    bags = []
+    bags, sizes = [], []
     for _, _, buf, offsets in _text.blocks(texts):
         parts = list(subwords(buf, offsets))
         for i in range(len(offsets) - 1):
             ids = np.concatenate([b[f[i] : f[i + 1]] for b, f in parts]) if parts else np.zeros(0, np.uint32)
             ids, n = np.unique(ids, return_counts=True)
+            sizes.append(n.sum())
             bags.append((ids.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(bags))
@@ -138,7 +145,10 @@ def train(texts: pa.Array, langs: list[str], epochs: int = 4, seed: int = 7) ->
             out -= rate * 0.2 * mean.T @ delta
             bias -= rate * 0.02 * delta.sum(0)
             np.add.at(emb, ids, -rate * 20 * w[:, None] * back[row])
-    model = Model(languages, emb @ out, bias, 1.0, 0.0)
+    count = np.full(BUCKETS, 0.5)
+    for j in fit:
+        count[bags[j][0]] += bags[j][1] * sizes[j]
+    model = Model(languages, emb @ out, bias, 1.0, 0.0, np.log(count / count.sum()).astype(np.float32), -np.inf)
     check = held if len(held) else fit
     logit = np.array([(model.scores[bags[j][0]] * bags[j][1][:, None]).sum(0) + bias for j in check])
     loss = [(-np.log(np.maximum(_softmax(logit / t)[np.arange(len(check)), y[check]], 1e-12)).mean(), t) for t in np.geomspace(0.1, 10, 41)]
@@ -163,16 +173,58 @@ def predict(model: Model | None, column: pa.Array) -> tuple[list[str], np.ndarra
         return langs, score, rejected
     for lo, hi, buf, offsets in _text.blocks(column):
         letters = _text.per_text(LETTER[buf], offsets)
-        p = _softmax(_logits(model, buf, offsets) / model.temperature)
+        logits, support = _logits(model, buf, offsets)
+        p = _softmax(logits / model.temperature)
         best, top = p.argmax(1), p.max(1)
         for i in range(lo, hi):
             if not letters[i - lo] and not _has_letter(column[i].as_py()):
                 continue
             langs[i], score[i] = model.languages[best[i - lo]], top[i - lo]
-            rejected[i] = score[i] < model.threshold
+            rejected[i] = score[i] < model.threshold or support[i - lo] < model.least
     return langs, score, rejected
 
 
+def calibrate(docs: DataFrame, learn: Column, label: str, text: str, model: Model, drawn: set[int]) -> None:
+    """Sets the limits of score and support to the share REJECT of all rightly identified texts that were not drawn for training.
+
+    Their cells are counted by Spark. Fewer than 1 / REJECT such texts don't tell that share, and leave the limits.
+    """
+    told = docs.sparkSession.sparkContext.broadcast((model, drawn))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, known = told.value
+        found = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        for b in batches:
+            for lo, hi, buf, offsets in _text.blocks(b.column(0)):
+                logits, support = _logits(m, buf, offsets)
+                p = _softmax(logits / m.temperature)
+                right = np.array([m.languages[k] == x for k, x in zip(p.argmax(1), b.column(1).slice(lo, hi - lo).to_pylist(), strict=True)], bool)
+                right &= np.array([hash_text(x) not in known for x in b.column(0).slice(lo, hi - lo).to_pylist()], bool)
+                for i, x in enumerate((p.max(1), support)):
+                    found[i] = np.concatenate([found[i], np.floor(x[right] / CELLS[i]).astype(np.int64)])
+            for i in range(2):
+                cells, n = np.unique(found[i], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), i, np.int32)), pa.array(cells), pa.array(n)], names=["kind", "cell", "n"])
+                found[i] = np.zeros(0, np.int64)
+
+    rows = docs.where(learn & F.col(label).isNotNull() & F.col(text).isNotNull()).select(text, label)
+    counts = rows.mapInArrow(run, "kind int, cell long, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n")).collect()  # some thousand cells
+    limits = []
+    for i in range(2):
+        cells = sorted((r["cell"], r["n"]) for r in counts if r["kind"] == i)
+        total, seen = sum(n for _, n in cells), 0
+        if total * REJECT < 1:
+            break
+        for cell, n in cells:
+            seen += n
+            if seen > REJECT * total:
+                limits.append(cell * CELLS[i])
+                break
+    if len(limits) == 2:
+        model.threshold, model.least = float(min(0.5, limits[0])), float(limits[1])
+    told.unpersist()
+
+
 LETTER = np.zeros(256, bool)  # ASCII letters; texts without any are looked at by character
 LETTER[65:91] = LETTER[97:123] = True
 
@@ -205,8 +257,11 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
     """Trains on a sample of the rows to learn from; rows without text or language teach nothing."""
     found = _sorted_sample(docs, learn, lang, most, text)
     model = train(found.column(0).combine_chunks(), found.column(1).to_pylist())
+    drawn = {hash_text(x) for x in found.column(0).to_pylist()}
     del found
     _text.give_back()
+    if model is not None:
+        calibrate(docs, learn, lang, text, model, drawn)
     return model
 
 

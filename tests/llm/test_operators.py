@@ -411,6 +411,13 @@ def test_rare_languages_are_drawn_and_copies_are_not(spark):
     assert got["qq"] == 3 and got["xx"] == 1 and 250 <= got["en"] <= 300
 
 
+def test_a_language_left_out_of_training_is_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("length(text) > 40").select("doc_id", "text", "lang")
+    model = langid.fit(docs, F.col("lang") != "en", most=900)
+    share = {r["lang"]: r["x"] for r in langid.identify(docs, model).groupBy("lang").agg(F.avg(F.col("lang_rejected").cast("int")).alias("x")).collect()}
+    assert share["en"] > 0.8 and max(share[k] for k in ("de", "es", "fr")) < 0.01
+
+
 # --- 7 ---
 
 
