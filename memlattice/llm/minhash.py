@@ -6,15 +6,19 @@ k, gives coordinate k as the least value over the set. BANDS bands of ROWS coord
 buckets: two documents at Jaccard similarity 0.8 miss each other in all buckets with a probability of
 (1 - 0.8 ** ROWS) ** BANDS, about 3e-7.
 
-Equal sets are one class from the start, so a group of copies is a single node. In each bucket every class
-is compared to the bucket's least class only (a star), on the full sets. Where the verified links leave a
-bucket in several components, all pairs of classes from different components of that bucket are compared
-too (if their sizes admit a link), so that no link is lost to the stars, and a bucket of near copies costs
-as many comparisons as it has members. Sets are fetched for candidate classes only.
+Equal sets are one class from the start, so a group of copies is a single node. Classes that share a bucket
+are candidates; only their sets are fetched. They are compared in blocks of about BLOCK bytes of sets, inside a
+task, each block's intersections by one matrix product; a block gives the links of a spanning forest, so no row
+stands for a pair of documents. First each class is compared within a slice of those that have the same centre
+(the least class of its buckets), together with the centre: one comparison block for each slice, linear in the
+members, which ties large groups of near copies together. Buckets that are still in several components, and whose
+classes were not all in one slice, are compared whole: the classes of such buckets that hang together form a group,
+a group beyond BLOCK is split into blocks by set size (a link needs a ratio of at least percent / 100) and
+component, and every pair of blocks that could hold a link is one comparison. So no candidate pair is left out.
 
 Defined cases: null and empty texts have an empty set, n_shingles 0, and are linked with nothing: each is
 its own component. Texts with fewer words than a shingle are one shingle. Repeated rows are copies. A null
-id is no id: the component is named by the least id in it that is not null.
+id is no id: the component is named by the least id in it that is not null. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,7 +36,9 @@ from memlattice.llm._shared import written
 from memlattice.llm.graph import components
 
 ROWS, BANDS = 7, 64
-IN_MEMORY = 400_000  # candidate classes of 16 bytes that are sent to the executors; beyond, they are joined
+IN_MEMORY = 2_000_000  # candidate classes of 8 bytes that are sent to the executors; beyond, they are joined
+BLOCK = 1 << 20  # bytes of sets in a block
+ROW = 2_048  # bytes that a set counts for besides its shingles, so that a block holds BLOCK / ROW sets at most
 
 
 def _mix32(x: np.ndarray) -> None:
@@ -110,87 +116,160 @@ def signed(docs: DataFrame, id_col: str, text: str, words: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, words: int) -> DataFrame:
-    """(node, n, shingles) for the wanted classes (node, id), from the row of docs that has the id."""
+    """(c, shingles) for the wanted classes (c, node, id), from the row of docs that has the id."""
     kind = docs.schema[id_col].dataType.simpleString()
     told = None
     if wanted.count() <= IN_MEMORY:
-        told = docs.sparkSession.sparkContext.broadcast(frozenset(bytes(r[0]) for r in wanted.select("node").toLocalIterator()))
+        heads = wanted.select(F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long").alias("head")).toArrow().column(0).to_numpy()
+        told = docs.sparkSession.sparkContext.broadcast(np.unique(heads.astype(np.int64).view(np.uint64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, buf, offsets in _text.blocks(b.column(1)):
                 ids, nodes, sets = [], [], []
                 for i, x in enumerate(shingle_sets(buf, offsets, words)):
-                    if len(x) and ((node := node_of(x)) in told.value if told else True):
-                        ids.append(lo + i), nodes.append(node if told else node_of(x)), sets.append(x.astype("<u8").tobytes())
+                    if not len(x):
+                        continue
+                    node = node_of(x)
+                    if told is not None:
+                        head = np.uint64(int.from_bytes(node[:8], "big"))
+                        at = int(np.searchsorted(told.value, head))
+                        if at == len(told.value) or told.value[at] != head:
+                            continue
+                    ids.append(lo + i), nodes.append(node), sets.append(x.astype("<u8").tobytes())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], names=["id", "node", "shingles"])
 
     rows = docs.select(id_col, text).mapInArrow(run, f"id {kind}, node binary, shingles binary")
     # One row of each class: its first id's. Repeated rows of that id have the same set.
-    wanted = wanted.select(F.col("node").alias("_node"), F.col("id").alias("_id"))
+    wanted = wanted.select("c", F.col("node").alias("_node"), F.col("id").alias("_id"))
     rows = rows.join(wanted, (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_id")))
-    return written(rows.select("node", "shingles").dropDuplicates(["node"]), "sets")
-
-
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
-    side = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}"))
-    full = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
+    return written(rows.select("c", "shingles").dropDuplicates(["c"]), "sets")
+
+
+def forest(sets: list[np.ndarray], percent: int, columns: int = 4_096) -> np.ndarray:
+    """For each set the least index of the sets it hangs together with by links of 100 * intersection >= percent * union."""
+    m = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(m), size)
+    _, inverse, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[inverse]
+    owner, inverse = owner[keep], number[inverse[keep]]
+    order = np.argsort(inverse, kind="stable")
+    owner, inverse = owner[order], inverse[order]
+    kinds = int(shared.sum())
+    both = np.zeros((m, m), np.float32 if size.max() < 1 << 24 else np.float64)
+    for at in range(0, kinds, columns):
+        lo, hi = np.searchsorted(inverse, (at, at + columns))
+        x = np.zeros((m, min(columns, kinds - at)), both.dtype)
+        x[owner[lo:hi], inverse[lo:hi] - at] = 1
+        both += x @ x.T
+    both = both.astype(np.int64)
+    linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    np.fill_diagonal(linked, True)
+    label = np.arange(m)
+    while True:
+        least = np.where(linked, label[None, :], m).min(1)
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
+def _compared(jobs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of a spanning forest for each job; jobs: (c, job)."""
+    rows = jobs.join(sets, "c").select("job", "c", "shingles")
+    rows = rows.repartition("job").sortWithinPartitions("job", "c")
+
+    def links(c: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if len(c) > 1:
+            _text.one_thread()
+            label, c = forest(sets, percent), np.array(c)
+            at = np.flatnonzero(label != np.arange(len(c)))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(c[label[at]]), pa.array(c[at])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, c, held = None, [], []
         for batch in batches:
-            keep = []
-            for i in range(len(batch)):
-                x, y = (np.frombuffer(batch.column(k)[i].as_buffer(), "<u8") for k in (2, 3))
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int((y[at] == x).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i == j:
+                    continue
+                if keys[i] != job:
+                    yield from links(c, held)
+                    job, c, held = keys[i], [], []
+                c += ids[i:j].tolist()
+                held += [np.frombuffer(batch.column(2)[k].as_buffer().to_pybytes(), "<u8") for k in range(i, j)]
+        yield from links(c, held)
+
+    return written(rows.mapInArrow(run, "a long, b long"), "linked")
+
 
-    return written(full.mapInArrow(run, "a binary, b binary"), "linked")
+def _slices(home: DataFrame) -> DataFrame:
+    """(c, job) for classes (c, centre, weight): the members of a centre, dealt over slices of about BLOCK bytes, and the centre in each."""
+    many = home.groupBy("centre").agg(F.ceil(F.sum("weight") / BLOCK).alias("slices"))
+    return home.join(many, "centre").select("c", "centre", F.xxhash64("centre", F.pmod(F.xxhash64("c"), F.col("slices"))).alias("job"))
+
+
+def _blocks(classes: DataFrame, percent: int) -> DataFrame:
+    """(c, job) for classes (c, root, n, weight, g): every two classes of a group g that could be linked, and aren't yet, meet in a job.
+
+    A group of up to BLOCK bytes is a job. Larger ones are cut by size (parts in which sets differ by less than a link
+    allows, so that linked sets lie in the same or in neighbouring parts) and by component where that alone exceeds BLOCK.
+    """
+    group = classes.groupBy("g").agg((F.sum("weight") > BLOCK).alias("large"))
+    told = classes.join(group, "g")
+    small = told.where(~F.col("large")).select("c", F.xxhash64("g").alias("job"))
+    part = F.floor(F.log("n") / F.log(F.lit(101.0 / percent))).cast("long")
+    large = told.where("large").select("c", "root", "weight", "g", part.alias("part"))
+    pure = large.groupBy("g", "part", "root").agg(F.when(F.sum("weight") > BLOCK, F.col("root")).otherwise(F.lit(-1)).alias("mark"))
+    large = large.join(pure, ["g", "part", "root"])
+    cells = large.groupBy("g", "part", "mark").agg(F.ceil(F.sum("weight") / BLOCK).alias("blocks"))
+    large = written(large.join(cells, ["g", "part", "mark"]).select("c", "g", "part", "mark", F.xxhash64("g", "part", "mark", F.pmod(F.xxhash64("c"), F.col("blocks"))).alias("block")), "blocks")
+    blocks = large.select("g", "part", "mark", "block").distinct()
+    one = blocks.select("g", F.explode(F.array("part", F.col("part") + 1)).alias("part"), F.col("part").alias("p"), F.col("mark").alias("m"), F.col("block").alias("x"))
+    pairs = one.join(blocks.withColumnRenamed("block", "y"), ["g", "part"])
+    pairs = pairs.where((F.col("m") != F.col("mark")) | (F.col("m") == -1)).where((F.col("p") < F.col("part")) | (F.col("x") <= F.col("y")))
+    pairs = pairs.select("x", "y", F.xxhash64("x", "y").alias("job"))
+    sides = pairs.select("job", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    return small.unionByName(large.select("c", "block").join(sides, "block").select("c", "job"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id_col, n_shingles, node, root, component_id, kept) for each row of docs; node names the class of equal sets, root the component."""
     rows = written(signed(docs, id_col, text, words), "signed")
     sized = rows.where("node is not null")
-    classes = written(sized.groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
-    spread = classes.select("node", "n", F.explode("bands").alias("key"))
-    centres = spread.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("_many")).where("_many > 1").drop("_many")
-    buckets = written(spread.join(centres, "key"), "buckets")
-    sizes = classes.select("node", "n")
-    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    # Stars: each class against the least of its bucket.
-    of_centre = sizes.select(F.col("node").alias("centre"), F.col("n").alias("nc"))
-    stars = buckets.where("node <> centre").select(F.col("centre"), "node", "n").distinct().join(of_centre, "centre")
-    stars = stars.where(fits(F.col("n"), F.col("nc"))).select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    candidates = buckets.select("node").distinct().join(classes.select("node", "id"), "node")
-    sets = _sets(docs, candidates, id_col, text, words)
-    links = _linked(stars, sets, percent)
-    # Buckets which the stars leave in several components: every pair across them.
-    roots = components(links)
-    placed = written(buckets.join(roots, "node", "left").select("key", "node", "n", "centre", F.coalesce("root", "node").alias("root")), "placed")
-    split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    # Sizes within the ratio that a link needs lie in the same or in neighbouring parts.
-    part = F.floor(F.log("n") / F.log(F.lit(101.0 / percent)))
-    open_ = written(placed.join(split, "key").withColumn("part", part), "open")
-    groups = open_.select("key", "root", "part").distinct()
-    ga = groups.select("key", F.col("root").alias("ra"), F.col("part").alias("pa"), F.explode(F.array(F.col("part") - 1, F.col("part"), F.col("part") + 1)).alias("pb"))
-    across = ga.join(groups.select("key", F.col("root").alias("rb"), F.col("part").alias("pb")), ["key", "pb"]).where("ra < rb")
-    left = open_.select("key", F.col("root").alias("ra"), F.col("part").alias("pa"), F.col("node").alias("a"), F.col("n").alias("na"), "centre")
-    right = open_.select("key", F.col("root").alias("rb"), F.col("part").alias("pb"), F.col("node").alias("b"), F.col("n").alias("nb"))
-    pairs = across.join(left, ["key", "ra", "pa"]).join(right, ["key", "rb", "pb"]).where((F.col("a") != F.col("centre")) & (F.col("b") != F.col("centre")) & fits(F.col("na"), F.col("nb")))
-    more = _linked(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent)
-    if not more.isEmpty():
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    named = classes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
+    classes = sized.groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = written(classes.withColumn("c", F.monotonically_increasing_id()), "classes")  # numbered once: the table is written
+    bucket = Window.partitionBy("key").orderBy("c")
+    spread = classes.select("c", F.explode("bands").alias("key"))
+    spread = spread.select("key", "c", F.lag("c").over(bucket).alias("_before"), F.lead("c").over(bucket).alias("_after"), F.first("c").over(bucket).alias("centre"))
+    buckets = written(spread.where("_before is not null or _after is not null").select("key", "c", "centre"), "buckets")
+    sizes = classes.select("c", "n", (8 * F.col("n") + ROW).alias("weight"))
+    home = buckets.groupBy("c").agg(F.min("centre").alias("centre"))
+    sets = _sets(docs, home.select("c").join(classes.select("c", "node", "id"), "c"), id_col, text, words)
+    sliced = written(_slices(home.join(sizes, "c")), "slices")
+    jobs = sliced.where("c <> centre").select("c", "job").unionByName(sliced.select(F.col("centre").alias("c"), "job").distinct())
+    roots = components(_compared(jobs, sets, percent))
+    # Buckets in several components, whose classes were not all compared with one another.
+    placed = buckets.join(roots, F.col("c") == F.col("node"), "left").select("key", "c", "centre", F.coalesce("root", "c").alias("root"))
+    placed = written(placed.join(sliced.select("c", "job"), "c"), "placed")
+    split = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min("job").alias("i"), F.max("job").alias("j"))
+    left = written(placed.join(split.where("a <> b and i <> j").select("key"), "key").select("c", "centre", "root").distinct(), "open")
+    if not left.isEmpty():
+        groups = components(left.select(F.col("centre").alias("a"), F.col("c").alias("b"))).select(F.col("node").alias("c"), F.col("root").alias("g"))
+        grouped = left.select("c", "root").distinct().join(groups, "c", "left").withColumn("g", F.coalesce("g", "c"))
+        more = _compared(_blocks(grouped.join(sizes, "c"), percent), sets, percent)
+        if not more.isEmpty():
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    named = classes.select("c", "node", "id").join(roots.select(F.col("node").alias("c"), "root"), "c", "left").select("node", "id", F.coalesce("root", "c").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     of_class = named.join(least, "root").select("node", "root", "component_id")
     out = rows.select("id", "n_shingles", "node").where("node is not null").join(of_class, "node")
-    empty = rows.where("node is null").select("node", "id", "n_shingles", F.lit(None).cast("binary").alias("root"), F.col("id").alias("component_id"))
+    empty = rows.where("node is null").select("node", "id", "n_shingles", F.lit(None).cast("long").alias("root"), F.col("id").alias("component_id"))
     out = out.unionByName(empty)
     return out.select(F.col("id").alias(id_col), "n_shingles", "node", "root", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
@@ -203,7 +282,7 @@ def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     first = near_duplicates(docs, words, percent, id_col, text).where("root is not null").groupBy("root")
     first = first.agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "node")).alias("x")).select(F.col("x.id").alias("_id"), F.col("x.node").alias("_set"))
     name = "node"
-    while name in docs.columns:
+    while name in docs.columns or name + "key" in docs.columns:
         name += "_"
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())])
 

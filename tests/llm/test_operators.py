@@ -164,6 +164,50 @@ def test_chains_of_links(spark):
     assert [got[k] for k in range(8)] == roots
 
 
+def passage_texts(n=70, seed=4):
+    """Texts around one passage, with sets at similarities on either side of 0.8, and a few groups of near copies."""
+    rnd = random.Random(seed)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [passage + [f"q{rnd.randint(0, 25)}" for _ in range(rnd.randint(4, 14))] for _ in range(n)]
+    copies = [f"c{i}" for i in range(80)]
+    texts += [copies[:k] + ["x"] + copies[k:] for k in range(0, 80, 2)]
+    return [(k, " ".join(t)) for k, t in enumerate(texts)]
+
+
+def test_blocks_leave_no_link_out(spark, monkeypatch):
+    docs = spark.createDataFrame(passage_texts(), "doc_id long, text string")
+    _, roots = plain_components(passage_texts(), 2)
+    for block in (1 << 20, 9_000, 3_000):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        got = {r["doc_id"]: r["component_id"] for r in rows(minhash.near_duplicates(docs, 2))}
+        assert [got[k] for k in range(len(roots))] == roots
+
+
+def test_forest():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(1, 40)).astype(np.uint64)) for _ in range(80)]
+    sets += [np.sort(rng.integers(0, 2**63, 9_000).astype(np.uint64))] * 2
+    label = minhash.forest(sets, 60, columns=16)
+    parent = list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        x, y = set(sets[a].tolist()), set(sets[b].tolist())
+        if 100 * len(x & y) >= 60 * len(x | y):
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert label.tolist() == [root(i) for i in range(len(sets))]
+
+
+def test_clashing_names_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "keep"), (2, "a b c d e f", "keep"), (3, "x", "keep")], "doc_id long, text string, nodekey string")
+    got = rows(minhash.deduplicated(docs))
+    assert sorted((r["doc_id"], r["nodekey"]) for r in got) == [(1, "keep"), (3, "keep")]
+
+
 def test_components(spark):
     rnd = random.Random(3)
     links = [(rnd.randint(0, 300), rnd.randint(0, 300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)]
