@@ -20,7 +20,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 SOFT = schema.soft_limit(schema.CONTEXT)
 PASSAGE = "that the of and this from with"
-TERM = 7  # the least length of a term where passages are queries and SQL asks the same; see the README
 SLICE = 600
 
 
@@ -71,12 +70,12 @@ SLICES = f"""mem AS (SELECT session_id, memory_idx, text, CAST(ceil(strlen(text)
   FROM (SELECT doc_id, text, unnest(range(0, (length(text) - 1) // {SLICE} + 1)) AS i FROM documents WHERE length(text) > 0)))"""
 
 
-def plan_cte(mem: str) -> str:
-    """mem, placed (a row for each memory) and segs, to follow WITH RECURSIVE."""
+def plan_cte(mem: str, x: str = "") -> str:
+    """mem, placed (a row for each memory) and segs, to follow WITH RECURSIVE; x: a suffix of all names but mem's own."""
     return f"""{mem},
-o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY memory_idx) AS rn FROM mem),
-p AS (
-  SELECT session_id, memory_idx, rn, 0 AS seg, 0 AS loc, tokens + 10 AS est, tokens + 10 AS exact, tokens + 10 AS total, manual AS m, false AS a FROM o WHERE rn = 1
+o{x} AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY memory_idx) AS rn FROM mem{x}),
+p{x} AS (
+  SELECT session_id, memory_idx, rn, 0 AS seg, 0 AS loc, tokens + 10 AS est, tokens + 10 AS exact, tokens + 10 AS total, manual AS m, false AS a FROM o{x} WHERE rn = 1
   UNION ALL
   SELECT session_id, memory_idx, rn, CASE WHEN manual OR auto THEN seg + 1 ELSE seg END, CASE WHEN manual OR auto THEN 0 ELSE loc + 1 END,
     CASE WHEN manual OR auto THEN tokens + 10 WHEN guess > {SOFT} THEN total + tokens ELSE guess END,
@@ -85,13 +84,13 @@ p AS (
     CASE WHEN manual OR auto THEN manual ELSE m END, CASE WHEN manual OR auto THEN auto AND NOT manual ELSE a END
   FROM (SELECT o.session_id, o.memory_idx, o.rn, o.tokens, o.manual, p.seg, p.loc, p.total, p.m, p.a, p.est + greatest(1, o.tokens) + 4 AS guess,
           (p.est + greatest(1, o.tokens) + 4 > {SOFT} AND p.total + o.tokens > {SOFT}) AS auto
-        FROM p JOIN o ON o.session_id = p.session_id AND o.rn = p.rn + 1)
+        FROM p{x} p JOIN o{x} o ON o.session_id = p.session_id AND o.rn = p.rn + 1)
 ),
-placed AS (SELECT p.session_id, p.memory_idx, CAST(seg AS BIGINT) AS segment_id, CAST(loc AS BIGINT) AS local_idx, mem.text, mem.tokens,
+placed{x} AS (SELECT p.session_id, p.memory_idx, CAST(seg AS BIGINT) AS segment_id, CAST(loc AS BIGINT) AS local_idx, mem.text, mem.tokens,
     last_value(est) OVER w AS est, last_value(exact) OVER w AS exact, last_value(total) OVER w AS total, m, a
-  FROM p JOIN mem ON p.session_id = mem.session_id AND p.memory_idx = mem.memory_idx
+  FROM p{x} p JOIN mem{x} mem ON p.session_id = mem.session_id AND p.memory_idx = mem.memory_idx
   WINDOW w AS (PARTITION BY p.session_id, seg ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
-segs AS (SELECT session_id, segment_id, min(memory_idx) AS first_idx, max(memory_idx) AS last_idx, count(*) AS n, any_value(est) AS est, any_value(exact) AS exact, any_value(total) AS total FROM placed GROUP BY session_id, segment_id)"""
+segs{x} AS (SELECT session_id, segment_id, min(memory_idx) AS first_idx, max(memory_idx) AS last_idx, count(*) AS n, any_value(est) AS est, any_value(exact) AS exact, any_value(total) AS total FROM placed{x} GROUP BY session_id, segment_id)"""
 
 
 PLAN = "WITH RECURSIVE " + plan_cte(MEMORIES.format(manual="false"))
@@ -283,19 +282,24 @@ def q_lru_keep(spark, sf):
 # --- search ------------------------------------------------------------------------------------------
 
 
-def bm25_cte(rows: str, least: int) -> str:
-    """sc: scores of qs (query_id, query) over rows (session_id, segment_id, memory_idx, text)."""
-    return f"""tok AS (SELECT session_id, segment_id, memory_idx, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM {rows}),
-sz AS (SELECT session_id, segment_id, count(*) AS n, avg(len(t)) AS mean FROM tok GROUP BY ALL),
-post AS (SELECT session_id, segment_id, memory_idx, len, term, count(*) AS tf FROM (SELECT session_id, segment_id, memory_idx, len(t) AS len, unnest(t) AS term FROM tok) WHERE length(term) >= {least} GROUP BY ALL),
-dfs AS (SELECT session_id, segment_id, term, count(*) AS df FROM post GROUP BY ALL),
-qt AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM qs) WHERE length(term) >= {least}),
-sc AS (SELECT query_id, session_id, segment_id, memory_idx, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score
-  FROM post JOIN qt USING (term) JOIN dfs USING (session_id, segment_id, term) JOIN sz USING (session_id, segment_id) GROUP BY ALL)"""
+def bm25_cte(rows: str, asked: str = "qs", x: str = "") -> str:
+    """sc: scores of asked (query_id, query) over rows (session_id, segment_id, memory_idx, text); x: a suffix of all names."""
+    return f"""tok{x} AS (SELECT session_id, segment_id, memory_idx, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM {rows}),
+sz{x} AS (SELECT session_id, segment_id, count(*) AS n, avg(len(t)) AS mean FROM tok{x} GROUP BY ALL),
+post{x} AS (SELECT session_id, segment_id, memory_idx, len, term, count(*) AS tf FROM (SELECT session_id, segment_id, memory_idx, len(t) AS len, unnest(t) AS term FROM tok{x}) GROUP BY ALL),
+dfs{x} AS (SELECT session_id, segment_id, term, count(*) AS df FROM post{x} GROUP BY ALL),
+qt{x} AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM {asked})),
+sc{x} AS (SELECT query_id, session_id, segment_id, memory_idx, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score
+  FROM post{x} JOIN qt{x} USING (term) JOIN dfs{x} USING (session_id, segment_id, term) JOIN sz{x} USING (session_id, segment_id) GROUP BY ALL)"""
 
 
-TOP = """top AS (SELECT *, row_number() OVER (PARTITION BY query_id, session_id, segment_id ORDER BY score DESC, memory_idx) AS sr FROM sc),
-res AS (SELECT query_id, session_id, row_number() OVER (PARTITION BY query_id, session_id ORDER BY segment_id, sr) AS rank, memory_idx, segment_id FROM top WHERE sr <= 3)"""
+def top_cte(x: str = "") -> str:
+    """res: the three best of each segment, merged by segment."""
+    return f"""top{x} AS (SELECT *, row_number() OVER (PARTITION BY query_id, session_id, segment_id ORDER BY score DESC, memory_idx) AS sr FROM sc{x}),
+res{x} AS (SELECT query_id, session_id, row_number() OVER (PARTITION BY query_id, session_id ORDER BY segment_id, sr) AS rank, memory_idx, segment_id FROM top{x} WHERE sr <= 3)"""
+
+
+TOP = top_cte()
 _BENCH = "qs AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 _FOUND = "SELECT query_id, session_id, rank, memory_idx, segment_id, text FROM res JOIN placed USING (session_id, memory_idx, segment_id)"
 
@@ -304,16 +308,16 @@ def passages(spark: SparkSession, sf: str) -> DataFrame:
     return readers.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-@query("q_search_bm25", PLAN + f", qs AS (SELECT CAST(0 AS BIGINT) AS query_id, '{PASSAGE}' AS query), {bm25_cte('placed', 1)}, {TOP} {_FOUND}")
+@query("q_search_bm25", PLAN + f", qs AS (SELECT CAST(0 AS BIGINT) AS query_id, '{PASSAGE}' AS query), {bm25_cte('placed')}, {TOP} {_FOUND}")
 def q_search_bm25(spark, sf):
     asked = spark.range(1).select(F.col("id").alias("query_id"), F.lit(PASSAGE).alias("query"))
     out = search.search(asked, placed(spark, sf), schema.TOP_K)
     return out.select("query_id", "session_id", "rank", *_long("memory_idx", "segment_id"), "text")
 
 
-@query("q_search_batch", PLAN + f", {_BENCH}, {bm25_cte('placed', TERM)}, {TOP} {_FOUND}")
+@query("q_search_batch", PLAN + f", {_BENCH}, {bm25_cte('placed')}, {TOP} {_FOUND}")
 def q_search_batch(spark, sf):
-    out = search.search(passages(spark, sf), placed(spark, sf), schema.TOP_K, TERM)
+    out = search.search(passages(spark, sf), placed(spark, sf), schema.TOP_K)
     return out.select("query_id", "session_id", "rank", *_long("memory_idx", "segment_id"), "text")
 
 
@@ -336,7 +340,7 @@ def by_lang(spark, sf):
     return search.ranked(search.bm25(asked, d), ["query_id", "segment_id"])
 
 
-_LANG = f"""WITH qs AS (SELECT 0 AS query_id, '{PASSAGE}' AS query), rows_ AS (SELECT 'all' AS session_id, lang AS segment_id, doc_id AS memory_idx, text FROM documents), {bm25_cte('rows_', 1)}
+_LANG = f"""WITH qs AS (SELECT 0 AS query_id, '{PASSAGE}' AS query), rows_ AS (SELECT 'all' AS session_id, lang AS segment_id, doc_id AS memory_idx, text FROM documents), {bm25_cte('rows_')}
 SELECT segment_id AS lang, row_number() OVER (PARTITION BY segment_id ORDER BY score DESC, memory_idx) AS rank, memory_idx AS doc_id, score FROM sc"""
 
 
@@ -362,20 +366,18 @@ def q_merge_dedup(spark, sf):
     return search.merged(rows, ["query_id"]).select("rank", *_long("memory_idx", "segment_id"))
 
 
-_HITS = PLAN + f", {_BENCH}, {bm25_cte('placed', TERM)}, {TOP}"
+_HITS = PLAN + f", {_BENCH}, {bm25_cte('placed')}, {TOP}"
 
 
-@query("q_oneshot", PLAN + f""", {_BENCH}, {bm25_cte('placed', TERM)}, {TOP},
-hit AS (SELECT DISTINCT session_id, memory_idx FROM res),
-mem2 AS (SELECT session_id, memory_idx, text, tokens, false AS manual FROM mem JOIN hit USING (session_id, memory_idx)),
-""" + plan_cte("mem3 AS (SELECT * FROM mem2)").replace("FROM mem)", "FROM mem3)").replace("JOIN mem ON p.session_id = mem.session_id AND p.memory_idx = mem.memory_idx", "JOIN mem3 ON p2.session_id = mem3.session_id AND p2.memory_idx = mem3.memory_idx").replace("mem.text, mem.tokens", "mem3.text, mem3.tokens").replace("\no AS", "\no2 AS").replace("FROM o WHERE", "FROM o2 WHERE").replace("FROM p JOIN o ON o.session_id = p.session_id AND o.rn = p.rn + 1", "FROM p2 p JOIN o2 o ON o.session_id = p.session_id AND o.rn = p.rn + 1").replace("\np AS (", "\np2 AS (").replace("placed AS (SELECT p.session_id, p.memory_idx", "placed2 AS (SELECT p2.session_id, p2.memory_idx").replace("FROM p JOIN mem3", "FROM p2 JOIN mem3").replace("PARTITION BY p.session_id", "PARTITION BY p2.session_id").replace("segs AS", "segs2 AS").replace("FROM placed GROUP", "FROM placed2 GROUP") + f""",
-one AS (SELECT 0 AS query_id, '{PASSAGE}' AS query), {bm25_cte('placed2', 1).replace('tok ', 'tok2 ').replace('FROM tok', 'FROM tok2').replace('tok22', 'tok2').replace('sz ', 'sz2 ').replace('post ', 'post2 ').replace('dfs ', 'dfs2 ').replace('qt ', 'qt2 ').replace('sc AS', 'sc2 AS').replace('FROM qs', 'FROM one').replace('JOIN qt2 USING', 'JOIN qt2 USING')},
-top2 AS (SELECT *, row_number() OVER (PARTITION BY session_id, segment_id ORDER BY score DESC, memory_idx) AS sr FROM sc2)
-SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY segment_id, sr) AS rank, memory_idx, segment_id, text FROM (SELECT * FROM top2 WHERE sr <= 3) JOIN placed2 USING (session_id, segment_id, memory_idx)""")
+@query("q_oneshot", f"""{_HITS}, hit AS (SELECT DISTINCT session_id, memory_idx FROM res),
+one AS (SELECT 0 AS query_id, '{PASSAGE}' AS query),
+{plan_cte("mem2 AS (SELECT session_id, memory_idx, text, tokens, false AS manual FROM mem JOIN hit USING (session_id, memory_idx))", "2")},
+{bm25_cte("placed2", "one", "2")}, {top_cte("2")}
+SELECT session_id, rank, memory_idx, segment_id, text FROM res2 JOIN placed2 USING (session_id, segment_id, memory_idx)""")
 def q_oneshot(spark, sf):
     """The hits of the batch search, planned anew by the whole context and asked another query."""
     rows = memories(spark, sf)
-    hits = search.search(passages(spark, sf), placed(spark, sf), schema.TOP_K, TERM).select("session_id", "memory_idx").distinct()
+    hits = search.search(passages(spark, sf), placed(spark, sf), schema.TOP_K).select("session_id", "memory_idx").distinct()
     own = planner.member_rows(rows.join(hits, ["session_id", "memory_idx"], "left_semi"), oneshot=True)
     asked = spark.range(1).select(F.col("id").alias("query_id"), F.lit(PASSAGE).alias("query"))
     return search.search(asked, own, schema.TOP_K).select("session_id", "rank", *_long("memory_idx", "segment_id"), "text")
@@ -385,7 +387,7 @@ def q_oneshot(spark, sf):
 both_ AS (SELECT session_id, memory_idx, session_id || '_' || (memory_idx + 1) AS id, text FROM mem JOIN hit USING (session_id, memory_idx) UNION ALL SELECT DISTINCT session_id, -1, NULL, 'session ' || session_id FROM hit)
 SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY memory_idx) AS pos, id, text FROM both_""")
 def q_rebuild_context(spark, sf):
-    hits = search.search(passages(spark, sf), placed(spark, sf), schema.TOP_K, TERM)
+    hits = search.search(passages(spark, sf), placed(spark, sf), schema.TOP_K)
     rows = memories(spark, sf).withColumn("id", text.corpus_id(F.col("session_id"), F.col("memory_idx") + 1, F.lit(True)))
     return search.rebuilt(hits, rows)
 
@@ -428,21 +430,29 @@ def q_refine(spark, sf):
 def ranking(spark, sf):
     """Documents for each passage, by BM25 within their language, then by score."""
     d = readers.table(spark, sf, "documents").select(F.lit("all").alias("session_id"), F.col("lang").alias("segment_id"), F.col("doc_id").alias("memory_idx"), "text")
-    scored = search.bm25(passages(spark, sf), d, TERM)
+    scored = search.bm25(passages(spark, sf), d)
     return search.ranked(scored, ["query_id"], rank="rank").select("query_id", "rank", F.col("memory_idx").alias("doc_id"), F.col("segment_id").alias("lang"))
 
 
 def gold(spark, sf):
-    """(query_id, doc_id): documents that hold a passage verbatim. Candidates share the passage's second to fourth word."""
-    d = readers.table(spark, sf, "documents").select("doc_id", "text").withColumn("w", F.split("text", r"\s+"))
-    grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
-    d = d.select("doc_id", "text", F.explode(F.array_distinct(grams)).alias("g"))
+    """(query_id, doc_id): documents that hold a passage verbatim.
+
+    Candidates share the passage's second to fourth word, which stand whole in a text that holds it. Passages of under five
+    words have no such words; they are a query set that is asked of every row.
+    """
+    d = readers.table(spark, sf, "documents").select("doc_id", "text").withColumn("t", F.split("text", r"\s+"))
     w = F.split("query", r"\s+")
-    b = passages(spark, sf).select("query_id", "query", F.xxhash64(F.get(w, F.lit(1)), F.get(w, F.lit(2)), F.get(w, F.lit(3))).alias("g"))
-    return d.join(b, "g").where(F.contains("text", "query")).select("query_id", "doc_id").distinct()
+    asked = passages(spark, sf).withColumn("g", F.when(F.size(w) >= 5, F.xxhash64(F.get(w, F.lit(1)), F.get(w, F.lit(2)), F.get(w, F.lit(3)))))
+    grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size("t") - 3, F.lit(0))), lambda i: F.xxhash64(F.get("t", i), F.get("t", i + 1), F.get("t", i + 2)))
+    long = d.select("doc_id", "text", F.explode(F.array_distinct(grams)).alias("g")).join(search.told(asked.where("g is not null")), "g")
+    found = long.where(F.contains("text", "query")).select("query_id", "doc_id")
+    short = asked.where("g is null").select("query_id", "query")
+    if not short.isEmpty():
+        found = found.unionByName(d.join(search.told(short), F.contains("text", "query")).select("query_id", "doc_id"))
+    return found.distinct()
 
 
-_RANKING = f"""WITH {_BENCH}, rows_ AS (SELECT 'all' AS session_id, lang AS segment_id, doc_id AS memory_idx, text FROM documents), {bm25_cte('rows_', TERM)},
+_RANKING = f"""WITH {_BENCH}, rows_ AS (SELECT 'all' AS session_id, lang AS segment_id, doc_id AS memory_idx, text FROM documents), {bm25_cte('rows_')},
 ranking AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_idx) AS rank, memory_idx AS doc_id, segment_id AS lang FROM sc),
 gold AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
 ks AS (SELECT item_id AS query_id, unnest([1, 3, 5, 10, 30, 50]) AS k FROM benchmark),
@@ -487,14 +497,14 @@ def q_session_rank(spark, sf):
     return metrics.parent_ranks(ranking(spark, sf).join(sources, "doc_id"), "source").select("query_id", "rank", F.col("source").alias("session_id"))
 
 
-@query("q_full_permutation", f"""WITH qs AS (SELECT min(item_id) AS query_id, arg_min(text, item_id) AS query FROM benchmark), rows_ AS (SELECT 'all' AS session_id, 'all' AS segment_id, doc_id AS memory_idx, text FROM documents), {bm25_cte('rows_', TERM)},
+@query("q_full_permutation", f"""WITH qs AS (SELECT min(item_id) AS query_id, arg_min(text, item_id) AS query FROM benchmark), rows_ AS (SELECT 'all' AS session_id, 'all' AS segment_id, doc_id AS memory_idx, text FROM documents), {bm25_cte('rows_')},
 r AS (SELECT memory_idx AS doc_id, row_number() OVER (ORDER BY score DESC, memory_idx) AS rank FROM sc),
 u AS (SELECT doc_id, 0 AS t, rank AS p FROM r UNION ALL SELECT doc_id, 1, doc_id FROM documents ANTI JOIN r USING (doc_id))
 SELECT row_number() OVER (ORDER BY t, p) AS rank, doc_id FROM u""")
 def q_full_permutation(spark, sf):
     d = readers.table(spark, sf, "documents").select(F.lit("all").alias("session_id"), F.lit("all").alias("segment_id"), F.col("doc_id").alias("memory_idx"), "text")
     one = passages(spark, sf).agg(F.min(F.struct("query_id", "query")).alias("q")).select("q.*")
-    r = search.ranked(search.bm25(one, d, TERM), ["query_id"], rank="rank").select(F.col("memory_idx").alias("doc_id"), "rank")
+    r = search.ranked(search.bm25(one, d), ["query_id"], rank="rank").select(F.col("memory_idx").alias("doc_id"), "rank")
     return metrics.complete(r, d.select(F.col("memory_idx").alias("doc_id"), F.col("memory_idx").alias("pos")), "doc_id")
 
 
@@ -538,16 +548,16 @@ def q_line_blocks_forward(spark, sf):
 def block_hits(spark, sf):
     """(query_id, rank, doc_id, start_line, end_line): a passage's 20 best blocks by the number of its terms that they hold."""
     b = chunker.blocks(spaced(spark, sf), "nearest")
-    terms = b.select("doc_id", "start_line", "end_line", F.explode(F.array_distinct(text.words(F.col("text")))).alias("term")).where(F.length("term") >= TERM)
-    asked = passages(spark, sf).select("query_id", F.explode(F.array_distinct(text.words(F.col("query")))).alias("term")).where(F.length("term") >= TERM)
-    n = terms.join(asked, "term").groupBy("query_id", "doc_id", "start_line", "end_line").agg(F.count("*").alias("n"))
+    terms = b.select("doc_id", "start_line", "end_line", F.explode(F.array_distinct(text.words(F.col("text")))).alias("term"))
+    asked = search.asked_terms(passages(spark, sf))
+    n = terms.join(search.told(asked), "term").groupBy("query_id", "doc_id", "start_line", "end_line").agg(F.count("*").alias("n"))
     w = Window.partitionBy("query_id").orderBy(F.desc("n"), "doc_id", "start_line")
     return n.withColumn("rank", F.row_number().over(w).cast("bigint")).where("rank <= 20").drop("n")
 
 
 _BLOCK_HITS = "WITH RECURSIVE " + blocks_cte("nearest") + f""", {_BENCH},
-bt AS (SELECT DISTINCT doc_id, start_line, end_line, term FROM (SELECT doc_id, start_line, end_line, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM blocks) WHERE length(term) >= {TERM}),
-qt AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM qs) WHERE length(term) >= {TERM}),
+bt AS (SELECT DISTINCT doc_id, start_line, end_line, term FROM (SELECT doc_id, start_line, end_line, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM blocks)),
+qt AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM qs)),
 hits AS (SELECT query_id, doc_id, start_line, end_line, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, doc_id, start_line) AS rank FROM bt JOIN qt USING (term) GROUP BY query_id, doc_id, start_line, end_line QUALIFY rank <= 20)"""
 
 

@@ -15,23 +15,44 @@ from memlattice.functions.text import words
 K1, B = 1.2, 0.75
 
 
-def bm25(queries: DataFrame, members: DataFrame, min_length: int = 1) -> DataFrame:
+TOLD = 200_000  # rows of a table (of terms or queries) up to which it is sent to all tasks
+
+
+def told(small: DataFrame, most: int = TOLD) -> DataFrame:
+    """A table to join with: broadcast if it has at most `most` rows, else left to the planner."""
+    return F.broadcast(small) if small.limit(most + 1).count() <= most else small
+
+
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term): the distinct terms of each query."""
+    return queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("term"))
+
+
+def bm25(queries: DataFrame, members: DataFrame, own: bool = False) -> DataFrame:
     """queries: (query_id, query); members: (session_id, segment_id, memory_idx, text). Memories that share no term have no row.
 
-    min_length: the least length of a query's terms. Terms meet postings by an equi-join on the term;
-    scores are rounded to 6 places so that every plan orders alike.
+    Terms that no query asks for are dropped as they are read (a broadcast semi join if the asked terms are few
+    enough), before anything is counted or shuffled. A term's weight in a memory is worked out once and then handed to the
+    queries that ask for it. own: a session is the memories of the one query of its id. Scores are rounded to 6 places so
+    that every plan orders alike.
     """
     key = ["session_id", "segment_id"]
-    tokens = members.select(*key, "memory_idx", words(F.col("text")).alias("terms"))
-    sized = tokens.withColumn("length", F.size("terms"))
+    asked = asked_terms(queries)
+    if own:
+        asked = asked.withColumnRenamed("query_id", "session_id")
+    on = ["session_id", "term"] if own else ["term"]
+    wanted = told(asked.select(*on).distinct())
+    sized = members.select(*key, "memory_idx", words(F.col("text")).alias("terms")).withColumn("length", F.size("terms"))
     sizes = sized.groupBy(*key).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    postings = sized.select(*key, "memory_idx", "length", F.explode("terms").alias("term")).where(F.length("term") >= min_length).groupBy(*key, "memory_idx", "length", "term").agg(F.count("*").alias("tf"))
+    flat = sized.select(*key, "memory_idx", "length", F.explode("terms").alias("term")).join(wanted, on, "left_semi")
+    postings = flat.groupBy(*key, "memory_idx", "length", "term").agg(F.count("*").alias("tf"))
     df = postings.groupBy(*key, "term").agg(F.count("*").alias("df"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("term")).where(F.length("term") >= min_length)
-    found = postings.join(asked, "term").join(df, [*key, "term"]).join(sizes, key)
+    found = postings.join(df, [*key, "term"]).join(sizes, key)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return found.groupBy("query_id", *key, "memory_idx").agg(F.round(F.sum(part), 6).alias("score"))
+    weighed = found.select(*key, "memory_idx", "term", part.alias("part"))
+    matched = weighed.withColumn("query_id", F.col("session_id")) if own else weighed.join(told(asked), "term")
+    return matched.groupBy("query_id", *key, "memory_idx").agg(F.round(F.sum("part"), 6).alias("score"))
 
 
 def attention(queries: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -75,9 +96,9 @@ def resolved(ranked_local: DataFrame, members: DataFrame) -> DataFrame:
     return found.where((F.col("memory_idx") >= 0) & (F.col("memory_idx") < 2**31))
 
 
-def search(queries: DataFrame, members: DataFrame, top_k: int, min_length: int = 1) -> DataFrame:
+def search(queries: DataFrame, members: DataFrame, top_k: int) -> DataFrame:
     """(query_id, session_id, rank, memory_idx, segment_id, text): the top_k of each segment, merged."""
-    order = ranked(bm25(queries, members, min_length), ["query_id", "session_id", "segment_id"])
+    order = ranked(bm25(queries, members), ["query_id", "session_id", "segment_id"])
     out = merged(limited(order, top_k), ["query_id", "session_id"])
     texts = members.select("session_id", "memory_idx", "text")
     return out.join(texts, ["session_id", "memory_idx"], "left").select("query_id", "session_id", "rank", "memory_idx", "segment_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -102,7 +123,7 @@ def distinct_segments(hits: DataFrame, by: list[str]) -> DataFrame:
     return hits.groupBy(*by).agg(F.count_distinct("segment_id").alias("segments"))
 
 
-def refine(queries: DataFrame, items: DataFrame, keep: int, passes: int, segment_size: int, materialise, min_length: int = 1) -> DataFrame:
+def refine(queries: DataFrame, items: DataFrame, keep: int, passes: int, segment_size: int, materialise) -> DataFrame:
     """(query_id, rank, item, passes): rerank passes over ever fewer items.
 
     In each pass a query's items are dealt over segments of segment_size, in their original order, and
@@ -111,7 +132,7 @@ def refine(queries: DataFrame, items: DataFrame, keep: int, passes: int, segment
     does not repeat it. items: (memory_idx, text).
     """
     pool = items.withColumn("segment_id", F.expr(f"cast(memory_idx div {segment_size} as int)")).withColumn("session_id", F.lit(0).cast("bigint"))
-    scored, done = bm25(queries, pool, min_length), None
+    scored, done = bm25(queries, pool), None
     for n in range(1, passes + 1):
         hits = materialise(merged(limited(ranked(scored, ["query_id", "session_id", "segment_id"]), keep), ["query_id"]))
         many = distinct_segments(hits, ["query_id"])
@@ -123,5 +144,5 @@ def refine(queries: DataFrame, items: DataFrame, keep: int, passes: int, segment
             return done
         place = (F.row_number().over(Window.partitionBy("query_id").orderBy("memory_idx")) - 1) / segment_size
         own = left.join(items, "memory_idx").withColumn("segment_id", place.cast("int")).withColumn("session_id", F.col("query_id"))
-        scored = bm25(queries, own, min_length).where(F.col("query_id") == F.col("session_id"))  # a session for each query
+        scored = bm25(queries, own, own=True)  # a session for each query
     return done
