@@ -2,13 +2,15 @@
 
 Each common word (an anchor) starts a chain: the anchor and the next CHAIN content words, that is words
 which are no anchors. The set of a document's chains is its signature set: prose carries many anchors,
-navigation and lists few, so the set describes the prose. The fingerprint is the sorted set of 32-bit chain
-hashes in hex, without separators. Likeness is the Jaccard similarity of two sets.
+navigation and lists few, so the set describes the prose. A signature is the first 8 hex digits of the MD5 of
+a chain's words; the fingerprint is the sorted set of signatures without separators. Likeness is the Jaccard
+similarity of two sets.
 
 Defined cases: words are runs of letters and digits after lower-casing. A text
 without any chain is described by one signature over its whole word sequence; a text without words has the
 empty fingerprint. Two empty sets have likeness 1, an empty and a non-empty one 0. Null text counts as
-empty. DataFrame functions only.
+empty. Repeated rows are fingerprinted alike and follow one another. Only doc_id and text are read, so further columns
+can't clash. An empty table gives no rows. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ def normalized(text: Column) -> Column:
 
 
 def signatures(text: Column, anchors: list[str] = ANCHORS, chain: int = CHAIN) -> Column:
-    """The sorted distinct chain hashes of a text, as array<int>."""
+    """The sorted distinct signatures of a text, as array<string>."""
     return _let(normalized(text), lambda norm: _let(_glued(norm, anchors), lambda tokens: _chains(norm, tokens, chain)))
 
 
@@ -59,15 +61,19 @@ def _chains(norm: Column, tokens: Column, chain: int) -> Column:
     anchor = lambda t: F.substring_index(F.substring_index(t, MARK, -2), MARK, 1)
     found = F.array_compact(F.transform(
         tokens,
-        lambda t, i: F.when(F.instr(t, MARK) > 0, F.hash(anchor(t), *[follow(i + k) for k in range(chain)])),
+        lambda t, i: F.when(F.instr(t, MARK) > 0, _hashed(F.concat_ws(MARK, anchor(t), *[follow(i + k) for k in range(chain)]))),
     ))
-    whole = F.when(norm == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(norm)))
+    whole = F.when(norm == "", F.array().cast("array<string>")).otherwise(F.array(_hashed(norm)))
     return _let(F.array_sort(F.array_distinct(found)), lambda f: F.when(F.size(f) > 0, f).otherwise(whole))
 
 
+def _hashed(words: Column) -> Column:
+    return F.substring(F.md5(words), 1, 8)
+
+
 def fingerprint(sigs: Column) -> Column:
-    """array<int> -> 8 hex digits for each signature, in the order of the set."""
-    return F.lower(F.array_join(F.transform(sigs, lambda s: F.lpad(F.hex(s.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), ""))
+    """The signatures in the order of the set."""
+    return F.array_join(sigs, "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -78,7 +84,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", anchors: list[str] = ANCHORS, chain: int = CHAIN) -> DataFrame:
-    """Adds signatures array<int> and fingerprint string to docs (replacing columns of these names)."""
+    """Adds signatures array<string> and fingerprint string to docs (replacing columns of these names)."""
     return docs.withColumn("signatures", signatures(F.col(text), anchors, chain)).withColumn("fingerprint", fingerprint(F.col("signatures")))
 
 
@@ -97,10 +103,8 @@ def _following(buckets: DataFrame, width: int = 1_000, one_task: int = 200_000)
     return inner.join(jump, "coarse", "left").select("bucket", F.coalesce("next", "head").alias("next"))
 
 
-def with_next(docs: DataFrame, id_col: str, tied: list[str], derive=lambda df: df, carried: list[str] | None = None) -> DataFrame:
-    """Each row with the carried columns of the row that follows in ascending id, the first following the last.
-
-    derive: adds columns to the rows before they are dealt out; carried may name them (default: tied).
+def with_next(docs: DataFrame, id_col: str, tied: list[str]) -> DataFrame:
+    """Each row with the tied columns of the row that follows in ascending id, the first following the last.
 
     Ids are dealt over buckets of BUCKET consecutive values, so no task orders more than a bucket at a time;
     the first row of each bucket is repeated in the bucket before. Rows of one id (null counts as the least)
@@ -116,7 +120,6 @@ def with_next(docs: DataFrame, id_col: str, tied: list[str], derive=lambda df: d
     # A bound is 16 bytes: under 4 MB they are broadcast, beyond that the rows are joined by a shuffle.
     heads = bounds.select("_b", "_o")
     heads = rows.join(F.broadcast(heads) if n <= 250_000 else heads, ["_b", "_o"])
-    carried = tied if carried is None else carried
     ties = [F.xxhash64(*tied), *tied]
     heads = heads.withColumn("_k", F.row_number().over(Window.partitionBy("_b").orderBy(*ties))).where("_k = 1").drop("_k")
     ghosts = heads.join(before, "_b").select(*docs.columns, "_o", F.col("_to").alias("_b"), F.lit(True).alias("_ghost"))
@@ -124,9 +127,8 @@ def with_next(docs: DataFrame, id_col: str, tied: list[str], derive=lambda df: d
         wrap = heads.where(F.col("_b") == first).select(*docs.columns, F.lit(2**63 - 1).alias("_o"), F.lit(last).alias("_b"), F.lit(True).alias("_ghost"))
         ghosts = ghosts.unionByName(wrap)
     every = rows.select(*docs.columns, "_o", "_b", F.lit(False).alias("_ghost")).unionByName(ghosts)
-    every = derive(every)
     window = Window.partitionBy("_b").orderBy("_o", "_ghost", *ties)
-    out = every.select("*", *[F.lead(c).over(window).alias(f"next_{c}") for c in carried])
+    out = every.select("*", *[F.lead(c).over(window).alias(f"next_{c}") for c in tied])
     return out.where(~F.col("_ghost")).drop("_o", "_b", "_ghost")
 
 
@@ -140,17 +142,17 @@ def edited_text(text: Column, following: Column) -> Column:
 def edit_likeness(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for doc_id and text."""
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    signed = lambda df: df.withColumn("sigs", signatures(F.col("text")))
-    rows = with_next(base, "doc_id", ["text"], signed, ["text", "sigs"])
-    rows = rows.withColumn("edited", edited_text(F.col("text"), F.col("next_text"))).withColumn("edited_sigs", signatures(F.col("edited")))
+    # Only texts are dealt out; signatures are made after that, so no sort carries them.
+    rows = with_next(base, "doc_id", ["text"]).withColumn("edited", edited_text(F.col("text"), F.col("next_text")))
+    rows = rows.select("doc_id", "text", "edited", *[signatures(F.col(c)).alias(f"{c}_sigs") for c in ("text", "edited", "next_text")])
     return rows.select(
         "doc_id",
         F.length("text").cast("bigint").alias("n_chars"),
         F.sha2(F.col("edited"), 256).alias("edited_sha256"),
-        fingerprint(F.col("sigs")).alias("fingerprint"),
+        fingerprint(F.col("text_sigs")).alias("fingerprint"),
         fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
-        likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
-        likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+        likeness(F.col("text_sigs"), F.col("edited_sigs")).alias("near_edited"),
+        likeness(F.col("text_sigs"), F.col("next_text_sigs")).alias("near_next"),
     )
 
 
