@@ -1,40 +1,50 @@
 """Toxicity by two class-conditional Kneser-Ney models.
 
 A bigram model of toxic and one of ordinary labelled texts, over continuation counts (in how many different
-contexts an expression occurs, so that copies of a text add nothing). Both back off to one shared
-distribution, that of the word's first STEM bytes, and this to the number of classes in which such a stem
-occurs: rare expressions, about which a class knows
-little, get nearly the same probability from both and say nothing. Words are runs of letters and digits in lower case.
+contexts an expression occurs, so that copies of a text add nothing), with the absolute discounts of modified
+Kneser-Ney. Both back off to one shared distribution, that of the word's first STEM bytes, and this to the number of
+classes in which such a stem occurs. Expressions that a class knows from fewer than LEAST contexts are left to the
+shared backoff whole, as a count cutoff does: what is known of them is chance, and of thousands of such words the
+chance differences would outweigh an insult. Probabilities sum to one over the known words and one unseen word for each
+stem. Words are runs of letters and digits in lower case.
 
 A text's evidence is the difference of its log-likelihoods under the two models divided by its number of
 words; and, as an insult in a long text would vanish in the mean, the largest such difference over windows
 of WINDOW words (every word lies in one or two), there without the first SLIGHT of each word's difference,
-which the text's language or subject can make up, and without immediate repetitions. A logistic calibration of the two numbers, fitted on a part of the
-learning rows whose counts the models didn't see, gives a score between 0 and 1.
+which the text's language or subject can make up, and without immediate repetitions. A logistic calibration of the
+two numbers, fitted on a part of the learning rows whose counts the models didn't see, gives a score between 0 and 1.
 
-The models are fitted on a sample of at most SAMPLE labelled texts of each class, drawn by a hash of the
-id; all texts are scored whole.
+The models are fitted on a sample: at most SAMPLE toxic texts and ORDINARY times as many ordinary ones, up to BYTES
+bytes of text, the first in order of a hash of the id (so that no partitioning changes them). One task counts and
+calibrates; only the tables of expressions beyond the cutoff reach the driver and the executors. All texts are scored
+whole.
 
 Defined cases: a null text counts as empty; empty texts (no word) have evidence 0 and get the calibration's
 score for it. With only one class (or nothing) labelled, every score is the share of toxic labels (0 if
-there are none). Several labels for one id: the largest counts. Null labels teach nothing.
+there are none). Several labels for one id: the largest counts. Several texts of one id: the least teaches. Null labels
+and ids teach nothing. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from memlattice.llm import _text
 
 SAMPLE = 1_500
-WINDOW = 32
+ORDINARY = 4
+BYTES = 48 << 20
+LEAST = 5
+WINDOW = 24
 SLIGHT = 2.0
 STEM = 4
 UNKNOWN = -16.0
@@ -71,12 +81,11 @@ def _pairs(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _discounted(n: np.ndarray) -> tuple[np.ndarray, float]:
-    """Counts less an absolute discount of twice their standard error, 2 sqrt n, and the mass taken off.
-
-    With the usual discounts, which only suit prediction, the chance differences of thousands of words seen
-    a few times in one class outweigh an insult.
-    """
-    cut = np.minimum(n, 2 * np.sqrt(n))
+    """Counts less their discount, and the mass taken off: D3+ of the counts of counts from LEAST on, and all of what is below."""
+    twos, threes, fours = [max(1.0, float((n == k).sum())) for k in (2, 3, 4)]
+    ones = max(1.0, float((n == 1).sum()))
+    d = float(np.clip(3 - 4 * ones / (ones + 2 * twos) * fours / threes, 0.5, 2.9))
+    cut = np.where(n < LEAST, n, d)
     return n - cut, float(cut.sum())
 
 
@@ -142,14 +151,16 @@ def fit_counts(texts: list[pa.Array]) -> tuple[_text.SortedTable, _text.SortedTa
         bi.append(np.log(left / behind[inverse] + lam[inverse] * uni[c][w_at]))
         weights.append(small(np.log(np.where(heads[v_at] == vocabulary, lam[v_at], 1.0))) if len(heads) else small(np.zeros(len(vocabulary))))
         keep |= left > 0
-    table = _text.SortedTable(vocabulary, toxic=small(np.log(uni[0])), ordinary=small(np.log(uni[1])), toxic_weight=weights[0], ordinary_weight=weights[1])
+    # A word below the cutoff in both classes has the probability of an unseen word of its stem; it is known only if it weighs as a context.
+    own = (contexts[0] >= LEAST) | (contexts[1] >= LEAST) | (weights[0] != 0) | (weights[1] != 0)
+    table = _text.SortedTable(vocabulary[own], toxic=small(np.log(uni[0][own])), ordinary=small(np.log(uni[1][own])), toxic_weight=weights[0][own], ordinary_weight=weights[1][own])
     return table, _text.SortedTable(pool[keep], toxic=small(bi[0][keep]), ordinary=small(bi[1][keep])), stem_table
 
 
 def log_likelihoods(model: Model, h: np.ndarray, stem: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log probability of each word under the toxic and under the ordinary model. Words of unknown stem: the same for both."""
     before, g = _pairs(h, first)
-    if not len(model.unigrams.keys) or not len(h):
+    if not len(model.stems.keys) or not len(h):
         return np.zeros(len(h)), np.zeros(len(h))
     at, hit = model.bigrams.find(g)
     u, known = model.unigrams.find(h)
@@ -160,9 +171,10 @@ def log_likelihoods(model: Model, h: np.ndarray, stem: np.ndarray, first: np.nda
     seen &= before != 0
     out = []
     for name in ("toxic", "ordinary"):
-        lower = model.unigrams.values[name][u].astype(np.float64)
+        lower = model.unigrams.values[name][u].astype(np.float64) if len(model.unigrams.keys) else np.zeros(len(h))
         lower[new] = np.where(stemmed, model.stems.values[name][p], UNKNOWN)
-        lower += np.where(seen, model.unigrams.values[f"{name}_weight"][c], 0.0)
+        if len(model.unigrams.keys):
+            lower += np.where(seen, model.unigrams.values[f"{name}_weight"][c], 0.0)
         if len(model.bigrams.keys):
             lower[hit] = model.bigrams.values[name][at[hit]]
         out.append(lower)
@@ -231,31 +243,37 @@ def scores(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text: str = "text", label: str = "toxic", most: int = SAMPLE) -> Model:
     """learn: which rows of docs may teach."""
-    marks = labels.where(F.col(label).isNotNull()).groupBy(id_col).agg(F.max(label).alias("_mark"))
-    # Ids and labels alone say which texts to read; these are few, and no text is shuffled.
-    known = docs.where(learn & F.col(text).isNotNull()).select(id_col).join(marks, id_col)
-    n = {r[0]: r[1] for r in known.groupBy((F.col("_mark") > 0).alias("toxic")).count().collect()}
+    marks = labels.where(F.col(label).isNotNull()).groupBy(id_col).agg((F.max(label) > 0).alias("_mark"))
+    # Ids, labels and lengths alone say which texts to read; these are few, and no other text is shuffled.
+    known = docs.where(learn & F.col(text).isNotNull()).groupBy(id_col).agg(F.max(F.octet_length(text)).cast("bigint").alias("_bytes")).join(marks, id_col)
+    n = {r[0]: r[1] for r in known.groupBy("_mark").count().collect()}
     toxic, other = n.get(True, 0), n.get(False, 0)
-    each = min(most, max(toxic, most // 8))  # as many ordinary as toxic texts, so that neither class knows more words
-    share = F.when(F.col("_mark") > 0, F.lit(most / max(toxic, 1))).otherwise(F.lit(each / max(other, 1)))
-    drawn = known.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_003)) < share * 1_000_003).select(id_col, (F.col("_mark") > 0).alias("_mark"))
-    drawn = drawn.dropDuplicates([id_col]).limit(3 * most)  # the shares give `most` of each class; the limit is a bound beyond chance
-    found = docs.where(F.col(text).isNotNull()).select(id_col, text).join(F.broadcast(drawn), id_col).select(text, "_mark").toArrow()
-    order = np.argsort(np.array([hash_order(x) for x in found.column(0).to_pylist()], dtype=np.uint64), kind="stable")
-    found = found.take(pa.array(order)) if len(found) else found
-    column, mark = found.column(0).combine_chunks(), found.column(1).combine_chunks()
-    del found
-    model = train(column.filter(mark), column.filter(pa.array(~np.array(mark.to_pylist(), dtype=bool))), toxic / max(toxic + other, 1))
-    del column
-    _text.give_back()
-    return model
+    order = [F.xxhash64(id_col), F.col(id_col)]
+    first = lambda mark, k: known.where(F.col("_mark") == mark).orderBy(*order).limit(k)
+    drawn = first(True, most).unionByName(first(False, ORDINARY * min(most, max(toxic, most // 8))))
+    sofar = F.sum("_bytes").over(Window.orderBy(*order))  # over the few drawn rows
+    drawn = drawn.withColumn("_sofar", sofar).where(F.col("_sofar") <= BYTES).select(id_col, "_mark")
+    found = docs.where(learn & F.col(text).isNotNull()).select(id_col, text).join(F.broadcast(drawn), id_col)
+    found = found.groupBy(id_col, "_mark").agg(F.min(text).alias("_text")).select("_mark", "_text").repartition(1)
+    prior = toxic / max(toxic + other, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches, pa.schema([("_mark", pa.bool_()), ("_text", pa.string())]))
+        t = t.take(pa.array(np.argsort([hash_order(x) for x in t.column(1).to_pylist()], kind="stable"), pa.int64()))
+        mark, column = np.array(t.column(0).to_pylist(), bool), t.column(1).combine_chunks()
+        model = pickle.dumps(train(column.filter(pa.array(mark)), column.filter(pa.array(~mark)), prior))
+        del t, column
+        _text.give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
+    got = found.mapInArrow(run, "model binary").first()
+    none = pa.array([], pa.string())
+    return pickle.loads(got[0]) if got else train(none, none, prior)
 
-def hash_order(text: str) -> int:
-    import zlib
 
+def hash_order(text: str) -> int:
     raw = text.encode()
-    return zlib.crc32(raw) << 32 | zlib.adler32(raw)
+    return zlib.crc32(raw) << 31 | zlib.adler32(raw) >> 1
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, names: tuple[str, str, str] = ("toxic_score", "toxic_evidence", "toxic_window")) -> DataFrame:
