@@ -146,8 +146,9 @@ def oracle_sql() -> dict[str, str]:
 WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 named AS (SELECT page_id, lower(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1)) AS host,
                  regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
-ruled AS (SELECT *, CASE {_WHEN} END AS rule FROM named)
-SELECT page_id, host, path, rule,
-       CASE WHEN rule IN ({", ".join(f"'{h}{p}'" for v, h, p in URL_RULES if v == "block")}) THEN 'block' ELSE 'allow' END AS verdict
-FROM ruled""",
+ruled AS (SELECT *, CASE {_WHEN} END AS rule FROM named),
+told AS (SELECT *, CASE WHEN rule IS NULL THEN NULL WHEN rule IN ({", ".join(f"'{h}{p}'" for v, h, p in URL_RULES if v == "block")}) THEN 'block' ELSE 'allow' END AS said FROM ruled),
+bad AS (SELECT host FROM told WHERE host <> '' AND said IS NOT NULL GROUP BY host HAVING count(*) FILTER (said = 'block') > count(*) FILTER (said = 'allow'))
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict
+FROM told""",
     }

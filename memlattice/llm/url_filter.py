@@ -7,7 +7,8 @@ first level that refuses it: exact over the universe, without a join and without
 
 Sizes: with r listed keys and u keys in the universe, the first level gets a false-positive rate of about
 r / (u * sqrt 2), so that all later levels hold O(r) keys. The cascade therefore needs O(r log(u / r)) bits;
-r is bounded by MAX_LISTED (a ValueError beyond), u is not, and nothing of size u reaches the driver.
+u is not bounded, and nothing of size u reaches the driver. The filters travel in the plan, so more than MAX_LISTED
+listed keys are told by an equi-join with the list instead, which is as exact.
 
 Everything is DataFrame functions. Rows with a null key are in no list; an empty universe or an empty
 list gives a cascade that refuses everything; repeated keys count once.
@@ -15,6 +16,7 @@ list gives a cascade that refuses everything; repeated keys count once.
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -80,20 +82,21 @@ def _level(keys: DataFrame, number: int, n: int, rate: float) -> Level:
     return Level(number, bits, hashes, tuple(words))
 
 
-def build_cascade(spark: SparkSession, universe: DataFrame, listed: list[str], max_levels: int = 64) -> Cascade:
-    """universe: one column `key`, repeats and nulls allowed. listed: the keys to recognise."""
-    listed = sorted({k for k in listed if k is not None})
-    if len(listed) > MAX_LISTED:
-        raise ValueError(f"{len(listed)} listed keys; at most {MAX_LISTED}")
-    if not listed:
+def keys_of(spark: SparkSession, listed: list[str]) -> DataFrame:
+    """A short list as a table of one column, key."""
+    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(listed)), "array<string>")).alias("key"))
+
+
+def build_cascade(universe: DataFrame, listed: DataFrame, n: int, max_levels: int = 64) -> Cascade:
+    """universe, listed: one column `key`, nulls allowed; repeats allowed in the universe. n: the number of listed keys, which are distinct."""
+    if not n:
         return Cascade(())
-    r = spark.range(1).select(F.explode(F.array(*map(F.lit, listed))).alias("key"))
     universe = universe.where(F.col("key").isNotNull())
     u = max(1, universe.select(F.approx_count_distinct("key")).first()[0])
-    levels = [_level(r, 0, len(listed), min(0.5, len(listed) / (u * math.sqrt(2))))]
+    levels = [_level(listed, 0, n, min(0.5, n / (u * math.sqrt(2))))]
     # What the first level accepts of the universe: the listed keys in it and O(r) others.
     accepted = written(universe.where(levels[0].has(F.col("key"))).distinct(), "accepted")
-    ins, outs = accepted.join(r, "key", "left_semi"), accepted.join(r, "key", "left_anti")
+    ins, outs = accepted.join(listed, "key", "left_semi"), accepted.join(listed, "key", "left_anti")
     encode, other = outs, ins
     for number in range(1, max_levels):
         n = encode.count()
@@ -104,6 +107,24 @@ def build_cascade(spark: SparkSession, universe: DataFrame, listed: list[str], m
     raise RuntimeError(f"no exact cascade within {max_levels} levels")
 
 
+def _new_name(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name = "_" + name
+    return name
+
+
+def with_membership(rows: DataFrame, key: str, listed: DataFrame, name: str) -> DataFrame:
+    """rows with a boolean column name: whether their key (a column) is among the listed (one column, key)."""
+    listed = written(listed.where(F.col("key").isNotNull()).distinct(), "listed")
+    n = listed.count()
+    if n <= MAX_LISTED:
+        cascade = build_cascade(rows.select(F.col(key).alias("key")), listed, n)
+        return rows.withColumn(name, cascade.contains(F.col(key)))
+    other = _new_name(rows, "key")
+    found = rows.join(listed.select(F.col("key").alias(other), F.lit(True).alias(name)), F.col(key) == F.col(other), "left")
+    return found.drop(other).withColumn(name, F.coalesce(name, F.lit(False)))
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host: after the first :// up to / ? # or the end, A-Z in lower case; path: on to ? # or the end. Null or no ://: both empty."""
     at = F.instr(url, "://")
@@ -126,27 +147,52 @@ def rule_keys(host: Column, path: Column, rules: list[tuple[str, str]]) -> Colum
     return F.array_compact(F.array(*keys)) if keys else F.array().cast("array<string>")
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", default: str = "allow") -> DataFrame:
-    """Adds host, path, rule and verdict. rules: (verdict allow|block, host, path).
+def ruled(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url") -> DataFrame:
+    """Adds host, path, rule and verdict (null without a rule). rules: (verdict allow|block, host, path).
 
     A rule fits its host and all subdomains if the path starts with the rule's; the longest fitting rule
     wins. One cascade per verdict, both over the universe of candidate keys of all pages, decides which
-    candidate keys are rules. Without a fitting rule no listed key covers the url, and the verdict is
-    `default`. Columns of the input named like the four new ones are replaced. Null urls have empty host
-    and path, no rule and the default verdict.
+    candidate keys are rules.
     """
     spark = pages.sparkSession
     h, p = host_and_path(F.col(url))
-    shapes = [(a, b) for _, a, b in rules]
-    keyed = pages.withColumn("host", h).withColumn("path", p)
-    keys = rule_keys(F.col("host"), F.col("path"), shapes)
+    keyed = pages.drop(*{"rule", "verdict"} - {url}).withColumns({"host": h, "path": p})
+    keys = rule_keys(F.col("host"), F.col("path"), [(a, b) for _, a, b in rules])
     universe = keyed.select(F.explode(keys).alias("key"))
-    cascades = {v: build_cascade(spark, universe, [a + b for w, a, b in rules if w == v]) for v in ("allow", "block")}
     longest = lambda c: F.reduce(
         F.filter(keys, c.contains), F.lit(None).cast("string"),
         lambda best, k: F.when(best.isNull() | (F.length(k) > F.length(best)), k).otherwise(best))
-    out = keyed.withColumn("_allow", longest(cascades["allow"])).withColumn("_block", longest(cascades["block"]))
-    blocks = F.col("_block").isNotNull() & (F.col("_allow").isNull() | (F.length("_block") >= F.length("_allow")))
-    rule = F.when(blocks, F.col("_block")).otherwise(F.col("_allow"))
-    verdict = F.when(rule.isNull(), F.lit(default)).when(blocks, F.lit("block")).otherwise(F.lit("allow"))
-    return out.withColumn("rule", rule).withColumn("verdict", verdict).drop("_allow", "_block")
+    names = {}
+    for verdict in ("allow", "block"):
+        listed = sorted({a + b for w, a, b in rules if w == verdict})
+        if len(listed) > MAX_LISTED:
+            raise ValueError(f"{len(listed)} rules; longer lists are tables, see with_membership")
+        names[verdict] = _new_name(keyed, verdict)
+        keyed = keyed.withColumn(names[verdict], longest(build_cascade(universe, keys_of(spark, listed), len(listed))))
+    allow, block = (F.col(names[v]) for v in ("allow", "block"))
+    blocks = block.isNotNull() & (allow.isNull() | (F.length(block) >= F.length(allow)))
+    rule = F.when(blocks, block).otherwise(allow)
+    verdict = F.when(rule.isNull(), F.lit(None).cast("string")).when(blocks, F.lit("block")).otherwise(F.lit("allow"))
+    return keyed.withColumn("rule", rule).withColumn("verdict", verdict).drop(*names.values())
+
+
+def bad_hosts(judged: DataFrame) -> DataFrame:
+    """(key): hosts more of whose ruled pages are blocked than allowed."""
+    block = F.count_if(F.col("verdict") == "block") > F.count_if(F.col("verdict") == "allow")
+    return judged.where((F.col("host") != "") & F.col("rule").isNotNull()).groupBy(F.col("host").alias("key")).agg(block.alias("bad")).where("bad").select("key")
+
+
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame | None = None, url: str = "url", default: str = "allow") -> DataFrame:
+    """Adds host, path, rule and verdict: the longest fitting rule's, else block if the host is listed, else `default`.
+
+    listed: a table of hosts (one column, key) of any length; without one, the hosts more of whose ruled pages are blocked
+    than allowed. A cascade over the universe of all hosts of the pages tells which are listed.
+
+    Columns of the input named like the four new ones are replaced, no other is touched. Null urls have empty host
+    and path, no rule and the default verdict. Repeated pages are judged alike; an empty table gives no rows.
+    """
+    out = ruled(pages, rules, url)
+    name = _new_name(out, "listed")
+    out = with_membership(out, "host", bad_hosts(out) if listed is None else listed, name)
+    other = F.when(F.col(name) & (F.col("host") != ""), F.lit("block")).otherwise(F.lit(default))
+    return out.withColumn("verdict", F.coalesce("verdict", other)).drop(name)

@@ -1,11 +1,14 @@
 """The ten operators against brute force, exact round trips and held-out accuracy; and their odd cases."""
 
+import base64
 import collections
 import hashlib
+import html.parser
 import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -480,40 +483,131 @@ def test_warc_round_trip():
     assert [b for _, b in warc.read_records(both)] == [block, about, text]
 
 
+class PlainPage(html.parser.HTMLParser):
+    """Text, title and links of a well-formed page, by the standard library's parser."""
+
+    HIDDEN = {"head", "script", "style", "noscript", "template"}
+    BLOCKS = set("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.out, self.hidden, self.title, self.in_title, self.links = [], 0, "", False, []
+        self.feed(page)
+        self.close()
+        self.text = "\n".join(x for x in (" ".join(y.split()) for y in "".join(self.out).split("\0")) if x)
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in self.HIDDEN
+        self.in_title = tag == "title"
+        self.out += ["\0"] * (tag in self.BLOCKS)
+        if tag == "a" and dict(attrs).get("href") is not None and dict(attrs)["href"] not in self.links:
+            self.links.append(dict(attrs)["href"])
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in self.HIDDEN
+        self.in_title = False
+        self.out += ["\0"] * (tag in self.BLOCKS)
+
+    def handle_data(self, data):
+        if self.in_title:
+            self.title += data
+        if not self.hidden:
+            self.out.append(data)
+
+
+def sha(x):
+    return "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+
+
 def test_warc_query(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
-    got = rows(queries.op7_warc_derivatives(spark, sf))
-    assert len(got) == 2 * pages.count() and len({r["record_id"] for r in got}) == len(got)
+    got = collections.defaultdict(dict)
+    for r in rows(queries.op7_warc_derivatives(spark, sf)):
+        assert got[r["page_id"]].setdefault(r["record_type"], r) is r
+    assert len(got) == pages.count() and len({x["record_id"] for r in got.values() for x in r.values()}) == 2 * len(got)
+    assert len({r["metadata"]["refers_to"] for r in got.values()}) == len(got)
     for p in pages.collect():
-        h, block = warc.response_of(str(p["page_id"]), p["url"], p["html"])
-        want = {(x["WARC-Record-ID"], x["WARC-Block-Digest"], len(b)) for x, b in warc.derived(h, block)}
-        assert want == {(r["record_id"], r["block_digest"], r["content_length"]) for r in got if r["page_id"] == p["page_id"]}
-    odd = spark.createDataFrame([(1, None, None), (None, "u", ""), (2, "http://a/", "<p>x"), (2, "http://a/", "<p>x")], "page_id long, url string, html string")
+        payload = (p["html"] or "").encode()
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
+        plain, about, text = PlainPage(p["html"] or ""), got[p["page_id"]]["metadata"], got[p["page_id"]]["conversion"]
+        fields = [("title", " ".join(plain.title.split())), ("http-status", "200 OK"), ("http-header-content-type", "text/html; charset=utf-8"), ("http-header-content-length", str(len(payload)))]
+        fields += [("source-payload-digest", sha(payload)), ("source-block-digest", sha(block)), ("text-digest", sha(plain.text.encode()))] + [("outlink", x) for x in plain.links]
+        want = "".join(f"{k}: {v}\r\n" for k, v in fields).encode()
+        assert text["text"] == plain.text and (text["block_digest"], text["content_length"]) == (sha(plain.text.encode()), len(plain.text.encode()))
+        assert (about["block_digest"], about["content_length"]) == (sha(want), len(want))
+        assert about["refers_to"] == text["refers_to"] and {about["target_uri"], text["target_uri"]} == {p["url"]}
+    odd = spark.createDataFrame([(1, None, None), (None, "u", ""), (2, "http://a/", "<p>x"), (2, "http://a/", "<p>x")], "page_id long, url string, html string").withColumn("block", F.lit(1))
     assert warc.derivatives(warc.responses(odd)).count() == 8
     assert warc.derivatives(warc.responses(odd.limit(0))).count() == 0
 
 
+def test_warc_files(spark, sf, tmp_path):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").limit(20)
+    responses = warc.responses(pages)
+    records = responses.unionByName(warc.derivatives(responses)).drop("page_id")
+    files = warc.as_files(records, most=20_000).collect()
+    assert len(files) > 1
+    for f in files:
+        (tmp_path / f"{f['part']}-{f['number']}.warc.gz").write_bytes(f["content"])
+    again = warc.from_files(spark.read.format("binaryFile").load(str(tmp_path)))
+    key = lambda df: sorted((tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in df.collect()), key=str)
+    assert key(again) == key(records)
+    assert again.where("refers_to_target_uri = target_uri and refers_to_date = date").count() == 40
+    assert warc.as_files(records.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a href=", "<div ", "<script ", "<title ", "<!--", "<", "&#99999", "</script", "<a href='", '<p title="', "<head>", "<svg><title>"])
+def test_warc_time_grows_with_the_length(part):
+    page = part * (1_000_000 // len(part))
+    begin = time.time()
+    warc.derived(*warc.response_of("1", "u", page))
+    warc.derived(*warc.response_of("1", "u", page + ">"))
+    warc.derived(*warc.response_of("1", "u", "&#" + "9" * 10_000 + ";" + page.replace(" ", "> ")))
+    assert time.time() - begin < 6
+
+
+def test_warc_charset():
+    page = "<p>Grüße</p>"
+    block = warc.http_response(page.encode("latin-1"), {"Content-Type": "text/html; charset=ISO-8859-1"})
+    (_, _), (_, text) = warc.derived({"WARC-Record-ID": "x"}, block)
+    assert text.decode() == "Grüße"
+    for said in ("no-such", "base64"):
+        assert warc.decoded(page.encode(), [("Content-Type", f"text/html; charset={said}")]) == page
+
+
 # --- 8 ---
 
 
-def test_cascade_is_exact(spark):
+def test_cascade_is_exact(spark, monkeypatch):
     keys = [f"k{i}" for i in range(5000)]
-    listed = keys[::7] + ["absent"]
-    universe = spark.createDataFrame([(k,) for k in keys] + [(None,), ("k1",)], "key string")
-    cascade = url_filter.build_cascade(spark, universe, listed)
+    universe = spark.createDataFrame([(k,) for k in keys] + [(None,), ("k1",)], "key string").withColumn("listed", F.lit(1))
+    listed = url_filter.keys_of(spark, keys[::7] + ["absent"])
+    cascade = url_filter.build_cascade(universe, listed, listed.count())
     assert len(cascade.levels) > 1
     got = {r["key"] for r in rows(universe.where(cascade.contains(F.col("key"))))}
     assert got == set(keys[::7])
-    assert not url_filter.build_cascade(spark, universe, []).levels
-    url_filter.build_cascade(spark, universe.limit(0), ["a"])
+    assert not url_filter.build_cascade(universe, listed.limit(0), 0).levels
+    url_filter.build_cascade(universe.limit(0), url_filter.keys_of(spark, ["a"]), 1)
+    for most in (10**6, 100):  # a longer list is joined
+        monkeypatch.setattr(url_filter, "MAX_LISTED", most)
+        told = rows(url_filter.with_membership(universe, "key", listed.unionAll(listed), "there"))
+        assert len(told) == 5002 and all(r["there"] == (r["key"] in set(keys[::7])) and r["listed"] == 1 for r in told)
 
 
 def test_url_rules(spark):
-    urls = ["http://EXAMPLE.org/es/1", "https://a.example.org/en/12?x", "example.org/es/", None, "http://org", "x://b.com/fr/#", "x://com/de/1", "x://nocom/de/1", "ftp://example.org/fr/", "://", "http://example.org/es"]
-    got = rows(url_filter.judge_urls(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id int, url string").withColumn("rule", F.lit(1)), queries.URL_RULES))
-    want = ["example.org/es/", "example.org/en/1", None, None, None, "com/fr/", "com/de/", None, "org/", None, "org/"]
-    assert [r["rule"] for r in sorted(got, key=lambda r: r["page_id"])] == want
-    assert [r["verdict"] for r in sorted(got, key=lambda r: r["page_id"])] == ["block", "block", "allow", "allow", "allow", "allow", "block", "allow", "allow", "allow", "allow"]
+    urls = ["http://EXAMPLE.org/es/1", "https://a.example.org/en/12?x", "example.org/es/", None, "http://org", "x://b.com/fr/#", "x://com/de/1", "x://nocom/de/1", "ftp://example.org/fr/", "://", "http://example.org/es", "http://b.com/", "http://com/en/"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id int, url string")
+    pages = pages.withColumns({c: F.lit("mine") for c in ("rule", "allow", "block", "_allow", "_block", "listed", "key")})
+    got = sorted(rows(url_filter.judge_urls(pages, queries.URL_RULES)), key=lambda r: r["page_id"])
+    want = ["example.org/es/", "example.org/en/1", None, None, None, "com/fr/", "com/de/", None, "org/", None, "org/", None, None]
+    assert [r["rule"] for r in got] == want
+    # com has one ruled page, which is blocked, so its other page goes with it; b.com has one that is allowed
+    assert [r["verdict"] for r in got] == ["block", "block", "allow", "allow", "allow", "allow", "block", "allow", "allow", "allow", "allow", "allow", "block"]
+    assert all(r[c] == "mine" for r in got for c in ("allow", "block", "_allow", "_block", "listed", "key"))
+    listed = url_filter.keys_of(spark, ["org", "b.com"])
+    got = sorted(rows(url_filter.judge_urls(pages, queries.URL_RULES, listed)), key=lambda r: r["page_id"])
+    assert [r["page_id"] for r in got if r["verdict"] == "block"] == [0, 1, 4, 6, 11]
+    assert url_filter.judge_urls(pages.limit(0), queries.URL_RULES).count() == 0
 
 
 # --- 9 ---
@@ -538,6 +632,43 @@ def test_toxicity(spark, documents, labels, odd):
         assert len(got) == d.count() and all(0 <= r["toxic_score"] <= 1 for r in got)
 
 
+def test_class_models_sum_to_one():
+    rnd = random.Random(4)
+    vocabulary = [f"{a}{b}word{i}" for i, (a, b) in enumerate(itertools.product("abcdef", "ghij"))]
+    texts = [[" ".join(rnd.choices(vocabulary, range(1, len(vocabulary) + 1), k=300)) for _ in range(6)] for _ in range(2)]
+    texts[0].append("rare once " + texts[0][0])
+    uni, bi, stems = toxicity.fit_counts([pa.array(t) for t in texts])
+    model = toxicity.Model(uni, bi, stems, np.zeros(3), 0.5)
+    known = sorted({w for t in texts for x in t for w in x.split()})
+    words = known + sorted({w[: toxicity.STEM] + "~" for w in known})  # one unseen word for each stem
+    words = [w.replace("~", "zzz") for w in words]
+    for before in (None, vocabulary[-1], "rare"):
+        total = np.zeros(2)
+        for w in words:
+            raw = f"{before} {w}".encode() if before else w.encode()
+            h, stem, first = toxicity._words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+            total += [np.exp(x[-1]) for x in toxicity.log_likelihoods(model, h, stem, first)]
+        assert total == pytest.approx([1, 1], abs=1e-4)
+
+
+def test_toxicity_model_depends_on_no_partitioning(spark):
+    rnd = random.Random(6)
+    docs = spark.createDataFrame([(i, " ".join(rnd.choice("abcdefgh") * rnd.randint(1, 3) for _ in range(60))) for i in range(600)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(600)], "doc_id long, toxic int")
+    one, seven = (toxicity.fit(docs.repartition(n), known.repartition(n), F.lit(True), most=40) for n in (1, 7))
+    assert np.array_equal(one.scale, seven.scale) and np.array_equal(one.unigrams.keys, seven.unigrams.keys)
+    assert all(np.array_equal(one.bigrams.values[k], seven.bigrams.values[k]) for k in ("toxic", "ordinary"))
+
+
+def test_toxicity_query_finds_held_out_texts(spark):
+    got = {r["doc_id"]: r for r in rows(queries.op9_toxicity(spark, "/root/testdata/sf0.1"))}
+    marks = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("toxic is not null").collect()}
+    out = [(marks[i], r["predicted"]) for i, r in got.items() if r["held_out"] and i in marks]
+    toxic = [p for m, p in out if m]
+    assert sum(toxic) >= 0.75 * len(toxic)
+    assert sum(p for m, p in out if not m) <= 0.03 * sum(not m for m, _ in out)
+
+
 # --- 10 ---
 
 
