@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,6 +12,7 @@ from memlattice import schema
 from memlattice.functions import hashing, text
 from memlattice.operators import chunker, fusion, metrics, search, usage
 from memlattice.plans import manifest, planner
+from memlattice.shipping import shared_folder
 from memlattice.sources import readers, requests
 from memlattice.streaming import append
 
@@ -255,6 +255,39 @@ def q_reconcile_manifest(spark, sf):
     return manifest.reconciled(_hashed(spark, sf), _entries(spark, sf)).select("session_id", *_long("segment_id"), "state")
 
 
+@query("q_plan_restore", PLAN + """, s AS (SELECT session_id, CAST(session_id AS BIGINT) % 7 AS k, count(*) AS segments, CAST(sum(n) AS BIGINT) AS memories, CAST(max_by(n, segment_id) AS BIGINT) AS last_n FROM segs GROUP BY session_id)
+SELECT session_id, CASE WHEN k = 6 OR (k = 1 AND segments = 1) THEN 'manifest has no segments' WHEN k = 1 THEN 'partial manifest coverage: covered=' || (memories - last_n) || '/' || memories
+  WHEN k = 2 THEN 'segment content hash mismatch: segment=0' WHEN k = 3 THEN 'segment exceeds context limit: segment=0' WHEN k = 4 THEN 'invalid segment range: segment=0' WHEN k = 5 THEN 'segment memory coverage is invalid: segment=0' END AS reason FROM s""")
+def q_plan_restore(spark, sf):
+    """Manifests of every plan, each seventh session's spoilt in another way."""
+    p = placed(spark, sf)
+    k, at0 = F.expr("cast(session_id as bigint) % 7"), F.col("segment_id") == 0
+    s = segs(spark, sf).join(hashing.segment_digests(p), ["session_id", "segment_id"])
+    last = F.max("segment_id").over(Window.partitionBy("session_id"))
+    s = s.withColumn("last", last).where((k != 6) & ~((k == 1) & (F.col("segment_id") == F.col("last"))))
+    end = F.when((k == 4) & at0, F.col("first_idx")).when((k == 5) & at0, F.col("last_idx") + 101).otherwise(F.col("last_idx") + 1)
+    entries = s.select(
+        "session_id", "segment_id", "first_idx", end.alias("last_idx_excl"), F.when((k == 2) & at0, F.lit("stale")).otherwise(F.col("sha")).alias("hash"),
+        F.when((k == 3) & at0, F.lit(schema.CONTEXT + 1)).otherwise(F.col("total")).alias("token_count"),
+    )
+    m = memories(spark, sf)
+    digest = lambda rows: hashing.segment_digests(rows).withColumnRenamed("sha", "hash")
+    return manifest.restored(m.select("session_id").distinct(), m, entries, digest, schema.CONTEXT)
+
+
+@query("q_status_unplanned", PLAN + f""", s AS (SELECT *, ({_N}) AS k, CASE WHEN exact > 0 THEN exact ELSE est END AS t FROM segs), m AS (SELECT * FROM s WHERE CAST(session_id AS BIGINT) % 5 <> 0),
+e AS (SELECT session_id, count(*) AS n, count(*) FILTER (k % 2 = 0) AS saved, sum(t) AS total FROM m GROUP BY session_id), r AS (SELECT session_id, count(*) AS n FROM s WHERE k % 3 = 0 GROUP BY session_id),
+j AS (SELECT c.session_id, c.n AS memory_count, coalesce(e.n, 0) AS segment_count, coalesce(r.n, 0) AS resident_segments, coalesce(e.saved, 0) AS saved_segments, CAST(coalesce(e.total, 0) AS BIGINT) AS total_tokens
+  FROM (SELECT session_id, count(*) AS n FROM mem GROUP BY session_id) c LEFT JOIN e USING (session_id) LEFT JOIN r USING (session_id))
+SELECT *, greatest(resident_segments, saved_segments) AS indexed_segments, segment_count > 0 AND greatest(resident_segments, saved_segments) = segment_count AS indexed, segment_count > 0 AND saved_segments = segment_count AS disk_cached FROM j""")
+def q_status_unplanned(spark, sf):
+    m = memories(spark, sf)
+    s = segs(spark, sf).withColumn("k", F.expr(_N))
+    tokens = F.when(F.col("exact_tokens") > 0, F.col("exact_tokens")).otherwise(F.col("estimated_tokens"))
+    entries = s.where("cast(session_id as bigint) % 5 <> 0").select("session_id", "segment_id", tokens.alias("token_count"), F.expr("k % 2 = 0").alias("on_disk"))
+    return manifest.status_unplanned(m.select("session_id").distinct(), m, entries, s.where("k % 3 = 0").select("session_id", "segment_id"))
+
+
 @query("q_index_delta", _STATED + " SELECT session_id, segment_id FROM h WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.session_id = h.session_id AND e.segment_id = h.segment_id AND e.hash = h.hash AND e.on_disk)")
 def q_index_delta(spark, sf):
     return manifest.to_build(_hashed(spark, sf), _entries(spark, sf)).select("session_id", *_long("segment_id"))
@@ -315,6 +348,15 @@ def q_search_bm25(spark, sf):
     return out.select("query_id", "session_id", "rank", *_long("memory_idx", "segment_id"), "text")
 
 
+@query("q_index_search", PLAN + f", qs AS (SELECT CAST(0 AS BIGINT) AS query_id, '{PASSAGE}' AS query), {bm25_cte('placed')}, {TOP} {_FOUND}")
+def q_index_search(spark, sf):
+    """The same search over postings that were written before."""
+    members = placed(spark, sf)
+    index = _materialise(spark)(search.postings(members))
+    asked = spark.range(1).select(F.col("id").alias("query_id"), F.lit(PASSAGE).alias("query"))
+    return search.search_index(asked, index, members, schema.TOP_K).select("query_id", "session_id", "rank", *_long("memory_idx", "segment_id"), "text")
+
+
 @query("q_search_batch", PLAN + f", {_BENCH}, {bm25_cte('placed')}, {TOP} {_FOUND}")
 def q_search_batch(spark, sf):
     out = search.search(passages(spark, sf), placed(spark, sf), schema.TOP_K)
@@ -410,7 +452,7 @@ def q_merge_rerank(spark, sf):
 
 def _materialise(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
     """Writes a pass to the folder that executors share, spark.checkpoint.dir, or where that is unset to one of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="memlattice-")
+    root = shared_folder(spark)
 
     def write(df: DataFrame) -> DataFrame:
         path = f"{root}/pass-{uuid.uuid4().hex}"
@@ -631,7 +673,7 @@ def q_classify_errors(spark, sf):
     return _literals(spark, "message", MESSAGES).select("message", code.alias("code"), text.http_status(code).cast("bigint").alias("status"))
 
 
-SIZES = ["7", "10b", "3k", "3KB", "2KiB", "5m", "1GiB", "4tb", "x", "", "5q", "12 mb", "-1"]
+SIZES = ["7", "10b", "3k", "3KB", "2KiB", "5m", "1GiB", "4tb", "x", "", "5q", "12 mb", "-1", "007", "0000000000000000000000012k"]
 
 
 @query("q_parse_sizes", f"""SELECT text, CAST(CAST(num AS BIGINT) * (1024 ** CASE WHEN u IN ('', 'b') THEN 0 WHEN u[1] = 'k' THEN 1 WHEN u[1] = 'm' THEN 2 WHEN u[1] = 'g' THEN 3 ELSE 4 END) AS BIGINT) AS bytes FROM (

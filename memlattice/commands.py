@@ -18,7 +18,9 @@ from memlattice.functions.text import token_estimate
 from memlattice.operators import search as ops
 from memlattice.plans import manifest as mf
 from memlattice.plans import planner
-from memlattice.sources.store import Store
+from memlattice.sources.store import Store, read_index, session_index, write_index
+
+SCORER = "bm25"
 
 
 class CommandError(Exception):
@@ -28,6 +30,7 @@ class CommandError(Exception):
 class Engine:
     def __init__(self, spark: SparkSession, root: str, context: int = schema.CONTEXT, top_k: int = 0):
         self.spark, self.store, self.context, self.top_k = spark, Store(spark, root), context, top_k
+        self.index_root = f"{self.store.root}/index"
         self.resident: set[tuple[str, int]] = set()
 
     # --- sessions ---
@@ -44,16 +47,16 @@ class Engine:
     def create_session(self, session_id: str, kv_persist: bool = False) -> None:
         if not re.fullmatch(r"[A-Za-z0-9._-]+", session_id) or session_id in (".", ".."):
             raise CommandError("invalid session id")
-        if not self.store.read("sessions").where(F.col("session_id") == session_id).isEmpty():
+        if not self.store.read("sessions", session_id).isEmpty():
             raise CommandError(f"session already exists: {session_id}")
         row = self.spark.createDataFrame([(session_id, "", False, kv_persist, 0, [])], schema.SESSIONS)
-        self.store.replace_session("sessions", session_id, row)
+        self.store.replace("sessions", session_id, row)
 
     def add_system(self, session_id: str, text: str) -> None:
         s, m = self._session(session_id)
         if not m.isEmpty():
             raise CommandError("system text requires a session without memories")
-        self.store.replace_session("sessions", session_id, s.withColumn("system_text", F.lit(text)).withColumn("system_locked", F.lit(True)))
+        self.store.replace("sessions", session_id, s.withColumn("system_text", F.lit(text)).withColumn("system_locked", F.lit(True)))
 
     def add_memories(self, session_id: str, memories: Iterable[tuple[str | None, str]]) -> list[int]:
         """Appends (id, text); the plan is checked before anything is written. Indices of the new memories."""
@@ -61,17 +64,16 @@ class Engine:
         start = s.first()["next_memory_idx"]
         rows = [(session_id, start + i, key, text, None) for i, (key, text) in enumerate(memories)]
         new = self.spark.createDataFrame(rows, schema.MEMORIES).withColumn("estimated_tokens", token_estimate(F.col("text")))
-        both = m.unionByName(new)
         try:
-            planner.plan(self._planned_input(both, s), self.context).collect()  # at most 100 segments of one session
+            planner.plan(self._planned_input(m.unionByName(new), s), self.context, boundary=F.col("cut")).collect()  # at most 100 segments of one session
         except Exception as e:
             for said in ("memory is too large for a fresh segment", "segment limit exceeded"):
                 if said in str(e):
                     raise CommandError(said) from None
             raise
         changed = self.segments(session_id).agg(F.max("segment_id")).first()[0] if start else None
-        self.store.replace_session("memories", session_id, both)
-        self.store.replace_session("sessions", session_id, s.withColumn("next_memory_idx", F.lit(start + len(rows)).cast("bigint")))
+        self.store.append("memories", session_id, new)
+        self.store.replace("sessions", session_id, s.withColumn("next_memory_idx", F.lit(start + len(rows)).cast("bigint")))
         self.resident -= {(session_id, changed)}
         return [r[1] for r in rows]
 
@@ -83,7 +85,7 @@ class Engine:
         row = s.first()
         if m.isEmpty() or row["next_memory_idx"] in row["boundaries"]:
             raise CommandError("next segment requires a memory since the last one")
-        self.store.replace_session("sessions", session_id, s.withColumn("boundaries", F.array_append("boundaries", F.col("next_memory_idx"))))
+        self.store.replace("sessions", session_id, s.withColumn("boundaries", F.array_append("boundaries", F.col("next_memory_idx"))))
         return row["next_memory_idx"]
 
     # --- plans and indexes ---
@@ -105,8 +107,11 @@ class Engine:
         return segment_hashes(self.members(session_id), F.lit(system))
 
     def index_session(self, session_id: str) -> int:
-        """Marks every segment indexed; the number of segments that had to be built."""
+        """Builds the postings of the segments that have none of their content; the number of these segments."""
         missing = [r["segment_id"] for r in self.status(session_id)["states"] if r["state"] == "MISSING"]
+        if missing:
+            members = self.members(session_id).where(F.col("segment_id").isin(missing))
+            write_index(ops.postings(members), self.index_root, SCORER)
         self.resident |= {(session_id, r) for r in missing}
         if self._session(session_id)[0].first()["kv_persist"]:
             self.save_session(session_id)
@@ -120,23 +125,38 @@ class Engine:
             "session_id", "segment_id", "first_idx", (F.col("last_idx") + 1).alias("last_idx_excl"), F.col("hash").alias("content_hash"), F.col("total").cast("bigint").alias("token_count"),
             (F.col("total") * 4).cast("bigint").alias("bytes"), now.alias("created_ms"), now.alias("last_access_ms"),
         )
-        self.store.replace_session("manifest", session_id, rows)
-        self.store.replace_session("sessions", session_id, self._session(session_id)[0].withColumn("kv_persist", F.lit(True)))
+        self.store.replace("manifest", session_id, rows)
+        self.store.replace("sessions", session_id, self._session(session_id)[0].withColumn("kv_persist", F.lit(True)))
 
     def status(self, session_id: str) -> dict:
         hashed = self._hashed(session_id)
         mine = [seg for s, seg in self.resident if s == session_id]
         plan = hashed.withColumn("resident", F.col("segment_id").isin(mine) if mine else F.lit(False))
-        entries = self.store.read("manifest").where(F.col("session_id") == session_id).select("session_id", "segment_id", F.col("content_hash").alias("hash"), F.lit(True).alias("on_disk"))
+        there = [int(x.removeprefix("segment_id=")) for x in self.store.names_in(session_index(self.index_root, SCORER, session_id)) if x.startswith("segment_id=")]
+        stored = F.col("segment_id").isin(there) if there else F.lit(False)
+        entries = self.store.read("manifest", session_id).select("session_id", "segment_id", F.col("content_hash").alias("hash"), stored.alias("on_disk"))
         states = mf.reconciled(plan, entries).orderBy("segment_id").collect()  # at most 100 segments
         tokens = self.segments(session_id).agg(F.sum("total")).first()[0] or 0
         return {"states": states, "segment_count": len(states), "indexed": bool(states) and all(r["state"] != "MISSING" for r in states), "total_tokens": tokens}
 
     def list_sessions(self) -> list[str]:
-        return [r[0] for r in self.store.scan().select("session_id").orderBy("session_id").toLocalIterator()]
+        """Names of the sessions that can be loaded, in order."""
+        return [r[0] for r in self.store.loadable().select("session_id").orderBy("session_id").toLocalIterator()]
+
+    def list_statuses(self) -> DataFrame:
+        """Counts and flags of each session that can be loaded, from its manifest, in order of name."""
+        sessions = self.store.loadable()
+        entries = self.store.read("manifest").select("session_id", "segment_id", "token_count", F.lit(True).alias("on_disk"))
+        resident = self.spark.createDataFrame(sorted(self.resident), "session_id string, segment_id int")
+        return mf.status_unplanned(sessions, self.store.read("memories"), entries, resident).orderBy("session_id")
 
     def restore_session(self, session_id: str) -> dict:
-        return self.status(session_id)
+        """The session's status, and why its plan can't be taken from its manifest (null if it can)."""
+        s, m = self._session(session_id)
+        system = F.lit(s.first()["system_text"])
+        entries = self.store.read("manifest", session_id).withColumnRenamed("content_hash", "hash")
+        reason = mf.restored(s.select("session_id"), m, entries, lambda rows: segment_hashes(rows, system), self.context).first()["reason"]
+        return self.status(session_id) | {"reason": reason}
 
     def clear_session(self, session_id: str) -> None:
         self._session(session_id)
@@ -145,7 +165,8 @@ class Engine:
     def delete_session(self, session_id: str) -> None:
         self._session(session_id)
         for name in ("sessions", "memories", "manifest"):
-            self.store.replace_session(name, session_id, None)
+            self.store.replace(name, session_id, None)
+        self.store.remove(session_index(self.index_root, SCORER, session_id))
         self.clear_resident(session_id)
 
     def clear_resident(self, session_id: str) -> None:
@@ -158,7 +179,8 @@ class Engine:
         if not self.status(session_id)["indexed"]:
             raise CommandError("search requires an indexed session")
         asked = self.spark.createDataFrame([(0, query)], "query_id long, query string")
-        found = ops.search(asked, self.members(session_id), self.top_k if top_k is None else top_k)
+        index = read_index(self.spark, self.index_root, SCORER, ops.POSTINGS).where(F.col("session_id") == session_id)
+        found = ops.search_index(asked, index, self.members(session_id), self.top_k if top_k is None else top_k)
         ids = self._session(session_id)[1].select("memory_idx", "id")
         return found.join(ids, "memory_idx", "left").select("rank", "memory_idx", "segment_id", "id", "text").orderBy("rank")
 

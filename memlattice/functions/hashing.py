@@ -57,4 +57,4 @@ def segment_digests(members: DataFrame) -> DataFrame:
     folded = members.groupBy("session_id", "segment_id").agg(F.sort_array(F.collect_list(F.struct("memory_idx", part.alias("part")))).alias("m"))
     return folded.select("session_id", "segment_id", F.sha2(F.array_join(F.col("m.part"), "\n"), 256).alias("sha"))
 
-__all__ = ["BASIS", "PRIME", "Iterator", "fnv1a", "fnv_hex", "segment_digests", "segment_hashes"]
+__all__ = ["BASIS", "PRIME", "fnv1a", "fnv_hex", "segment_digests", "segment_hashes"]

@@ -38,8 +38,8 @@ def within_bytes(x: Column, most: int) -> Column:
 
 
 def media_type_is_json(x: Column) -> Column:
-    """Parameters are ignored, case and outer blanks too; absent is accepted."""
-    return x.isNull() | (F.lower(F.trim(F.substring_index(x, ";", 1))) == "application/json")
+    """Parameters are ignored, case and outer blanks and tabs too; absent or empty is refused."""
+    return F.coalesce(F.lower(F.btrim(F.substring_index(x, ";", 1), F.lit(" \t"))) == "application/json", F.lit(False))
 
 
 def memory_text(role: Column, text: Column) -> Column:
@@ -88,13 +88,15 @@ def is_procedural(x: Column) -> Column:
 
 
 def size_bytes(x: Column) -> Column:
-    """Bytes of a size such as 10k, 4GiB or 7; null if it isn't one or doesn't fit."""
-    number = F.regexp_extract(x, r"(?i)\A\s*\+?([0-9]+)([kmgt]?i?b?)\z", 1)
+    """Bytes of a size such as 10k, 4GiB or 7; null if it isn't one or doesn't fit 64 bits. A number beyond 64 bits counts as their largest."""
+    number = F.regexp_extract(x, r"(?i)\A\s*\+?0*([0-9]+)([kmgt]?i?b?)\z", 1)
     unit = F.lower(F.regexp_extract(x, r"(?i)\A\s*\+?([0-9]+)([kmgt]?i?b?)\z", 2))
     power = F.when(unit.isin("", "b"), 0).when(unit.isin("k", "kb", "kib"), 1).when(unit.isin("m", "mb", "mib"), 2).when(unit.isin("g", "gb", "gib"), 3).when(unit.isin("t", "tb", "tib"), 4)
     factor = F.element_at(F.array(*[F.lit(str(1024**i)).cast("decimal(20,0)") for i in range(5)]), power + 1)
-    value = F.when(F.length(number).between(1, 18), number).try_cast("decimal(20,0)") * factor
-    return F.when(value <= F.lit(str(2**64 - 1)).cast("decimal(20,0)"), value.cast("decimal(20,0)"))
+    most = F.lit(str(2**64 - 1)).cast("decimal(20,0)")
+    told = F.when(F.length(number) > 20, most).when(number != "", F.least(number.try_cast("decimal(20,0)"), most))
+    value = told * factor
+    return F.when(value <= most, value.cast("decimal(20,0)"))
 
 
 def range_text(ranges: Column) -> Column:

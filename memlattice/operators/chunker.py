@@ -29,26 +29,36 @@ def blocks(docs: DataFrame, rule: str, id_col: str = "doc_id", text: str = "text
     shortest = max(1, target - window) if rule == "nearest" else target
 
     def ends(total: Column, blank: Column) -> Column:
-        def step(found: Column, _: Column) -> Column:
+        """Block ends. A step looks at the blank lines after the last end, of which few lie within its reach: at most one a line."""
+        reach = target + window
+
+        def step(state: Column, _: Column) -> Column:
+            found, at = state["found"], state["at"]
             start = F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(0)) + 1
             want = F.least(start + target - 1, total)
-            if rule == "nearest":
-                near = F.filter(blank, lambda b: b.between(F.greatest(start, want - window), F.least(total, want + window)))
-                best = F.array_min(F.transform(near, lambda b: F.struct(F.abs(b - want).alias("d"), b.alias("b"))))["b"]
-            else:
-                best = F.array_min(F.filter(blank, lambda b: b.between(want, F.least(total, want + window))))
-            end = F.when(want == total, total).otherwise(F.coalesce(best, want))
-            return F.when(start > total, found).otherwise(F.concat(found, F.array(end)))
+            return let(F.slice(blank, at, F.lit(reach)), lambda near: let(_end(start, want, total, near), lambda end: F.when(start > total, state).otherwise(
+                F.struct(F.concat(found, F.array(end)).alias("found"), (at + F.size(F.filter(near, lambda b: b <= end))).alias("at")))))
 
         steps = F.when(total > 0, F.sequence(F.lit(1), F.ceil(total / shortest).cast("int"))).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(steps, F.array().cast("array<int>"), step)
+        begin = F.struct(F.array().cast("array<int>").alias("found"), F.lit(1).alias("at"))
+        return F.aggregate(steps, begin, step, lambda state: state["found"])
+
+    def _end(start: Column, want: Column, total: Column, near: Column) -> Column:
+        if rule == "nearest":
+            ok = F.filter(near, lambda b: b.between(F.greatest(start, want - window), F.least(total, want + window)))
+            best = F.array_min(F.transform(ok, lambda b: F.struct(F.abs(b - want).alias("d"), b.alias("b"))))["b"]
+        else:
+            best = F.array_min(F.filter(near, lambda b: b.between(want, F.least(total, want + window))))
+        return F.when(want == total, total).otherwise(F.coalesce(best, want))
 
-    # Lines without a non-blank character, then the fold; each computed once (see let).
+    # Lines without a non-blank character, then the fold, then the texts of the blocks; each computed once (see let).
     is_blank = lambda x: ~x.rlike(r"\S")
     blanks = lambda lines: F.filter(F.transform(lines, lambda x, i: F.when(is_blank(x), i + 1)), lambda i: i.isNotNull())
-    both = let(_lines(F.col(text)), lambda lines: F.struct(lines.alias("lines"), let(blanks(lines), lambda blank: ends(F.size(lines), blank)).alias("ends")))
-    cut = docs.select(id_col, both.alias("x")).select(id_col, "x.lines", "x.ends")
-    out = cut.select(id_col, "lines", F.posexplode("ends").alias("i", "end_line"), F.col("ends"))
-    out = out.withColumn("start_line", F.coalesce(F.get("ends", F.col("i") - 1), F.lit(0)) + 1)
-    out = out.select(id_col, F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"), F.array_join(F.slice("lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n").alias("text"))
+
+    def texts(lines: Column, found: Column) -> Column:
+        first = lambda i: F.coalesce(F.get(found, i - 1), F.lit(0)) + 1
+        return F.transform(found, lambda e, i: F.struct(first(i).cast("bigint").alias("start_line"), e.cast("bigint").alias("end_line"), F.array_join(F.slice(lines, first(i), e - first(i) + 1), "\n").alias("text")))
+
+    cut = let(_lines(F.col(text)), lambda lines: let(let(blanks(lines), lambda blank: ends(F.size(lines), blank)), lambda found: texts(lines, found)))
+    out = docs.select(id_col, F.explode(cut).alias("x")).select(id_col, "x.start_line", "x.end_line", "x.text")
     return out.where(F.col("text").rlike(r"\S")) if drop_blank else out

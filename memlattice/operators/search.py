@@ -28,6 +28,38 @@ def asked_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("term"))
 
 
+POSTINGS = "memory_idx long, length int, term string, tf long, scorer_key string, session_id string, segment_id int"
+
+
+def postings(members: DataFrame) -> DataFrame:
+    """(session_id, segment_id, memory_idx, length, term, tf): the index of members; a memory without terms has one row without a term."""
+    sized = members.select("session_id", "segment_id", "memory_idx", words(F.col("text")).alias("terms"))
+    flat = sized.select("session_id", "segment_id", "memory_idx", F.size("terms").alias("length"), F.explode_outer("terms").alias("term"))
+    return flat.groupBy("session_id", "segment_id", "memory_idx", "length", "term").agg(F.count("*").alias("tf"))
+
+
+def search_index(queries: DataFrame, index: DataFrame, members: DataFrame, top_k: int) -> DataFrame:
+    """search() over postings() that are stored: no text is cut into terms again."""
+    key = ["session_id", "segment_id"]
+    lengths = index.select(*key, "memory_idx", "length").distinct()
+    sizes = lengths.groupBy(*key).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    asked = asked_terms(queries)
+    found = index.where(F.col("term").isNotNull()).join(told(asked.select("term").distinct()), "term", "left_semi")
+    return _best(_scored(found, sizes, asked, False), members, top_k)
+
+
+def _scored(found: DataFrame, sizes: DataFrame, asked: DataFrame, own: bool) -> DataFrame:
+    """Scores from the postings of asked terms and the sizes of segments."""
+    key = ["session_id", "segment_id"]
+    df = found.groupBy(*key, "term").agg(F.count("*").alias("df"))
+    found = found.join(df, [*key, "term"]).join(sizes, key)
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    weighed = found.select(*key, "memory_idx", "term", part.alias("part"))
+    matched = weighed.withColumn("query_id", F.col("session_id")) if own else weighed.join(told(asked), "term")
+    return matched.groupBy("query_id", *key, "memory_idx").agg(F.round(F.sum("part"), 6).alias("score"))
+
+
 def bm25(queries: DataFrame, members: DataFrame, own: bool = False) -> DataFrame:
     """queries: (query_id, query); members: (session_id, segment_id, memory_idx, text). Memories that share no term have no row.
 
@@ -45,14 +77,8 @@ def bm25(queries: DataFrame, members: DataFrame, own: bool = False) -> DataFrame
     sized = members.select(*key, "memory_idx", words(F.col("text")).alias("terms")).withColumn("length", F.size("terms"))
     sizes = sized.groupBy(*key).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     flat = sized.select(*key, "memory_idx", "length", F.explode("terms").alias("term")).join(wanted, on, "left_semi")
-    postings = flat.groupBy(*key, "memory_idx", "length", "term").agg(F.count("*").alias("tf"))
-    df = postings.groupBy(*key, "term").agg(F.count("*").alias("df"))
-    found = postings.join(df, [*key, "term"]).join(sizes, key)
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    weighed = found.select(*key, "memory_idx", "term", part.alias("part"))
-    matched = weighed.withColumn("query_id", F.col("session_id")) if own else weighed.join(told(asked), "term")
-    return matched.groupBy("query_id", *key, "memory_idx").agg(F.round(F.sum("part"), 6).alias("score"))
+    found = flat.groupBy(*key, "memory_idx", "length", "term").agg(F.count("*").alias("tf"))
+    return _scored(found, sizes, asked, own)
 
 
 def attention(queries: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -98,7 +124,11 @@ def resolved(ranked_local: DataFrame, members: DataFrame) -> DataFrame:
 
 def search(queries: DataFrame, members: DataFrame, top_k: int) -> DataFrame:
     """(query_id, session_id, rank, memory_idx, segment_id, text): the top_k of each segment, merged."""
-    order = ranked(bm25(queries, members), ["query_id", "session_id", "segment_id"])
+    return _best(bm25(queries, members), members, top_k)
+
+
+def _best(scored: DataFrame, members: DataFrame, top_k: int) -> DataFrame:
+    order = ranked(scored, ["query_id", "session_id", "segment_id"])
     out = merged(limited(order, top_k), ["query_id", "session_id"])
     texts = members.select("session_id", "memory_idx", "text")
     return out.join(texts, ["session_id", "memory_idx"], "left").select("query_id", "session_id", "rank", "memory_idx", "segment_id", F.coalesce("text", F.lit("")).alias("text"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,11 +34,65 @@ def coverage(plan: DataFrame, manifest: DataFrame) -> DataFrame:
     return each.select("session_id", reason.isNull().alias("ok"), F.coalesce(reason, F.lit("")).alias("reason"))
 
 
-def restorable(plan_rows: DataFrame, manifest: DataFrame, context: int) -> DataFrame:
-    """Sessions whose plan a manifest restores: every segment covered once, equal hashes, no segment above the whole context."""
-    good = coverage(plan_rows, manifest).where("ok").select("session_id")
-    bad = plan_rows.join(manifest.select(*KEY, F.col("hash").alias("_h"), "token_count"), KEY).where((F.col("hash") != F.col("_h")) | (F.col("token_count") > context)).select("session_id").distinct()
-    return good.join(bad, "session_id", "left_anti")
+def restored(sessions: DataFrame, memories: DataFrame, manifest: DataFrame, hashes: Callable[[DataFrame], DataFrame], context: int, scorer: str = "") -> DataFrame:
+    """(session_id, reason) for each session: why its plan can't be taken from its manifest, or null if it can.
+
+    sessions: (session_id[, scorer, owner]); memories: (session_id, memory_idx, text); manifest: (session_id, segment_id, first_idx,
+    last_idx_excl, hash, token_count[, scorer, owner]). hashes: content hashes (key, hash) of segment members (key, memory_idx, text).
+    Sessions without memories need no manifest. Segments are looked at in order of their id, and each by all rules, before the
+    coverage of the whole; the first broken rule is the reason, with its segment where it has one.
+    """
+    spans = manifest.withColumn("_place", F.row_number().over(Window.partitionBy("session_id").orderBy("segment_id", "first_idx")))
+    ok = (F.col("segment_id") >= 0) & (F.col("first_idx") >= 0) & (F.col("last_idx_excl") > F.col("first_idx"))
+    own = spans.where(ok).select(*KEY, "_place", "first_idx", "last_idx_excl")
+    # A memory's segments: met by the range of indices; a session's segments are few (at most MAX_SEGMENTS), its memories lie in one task each.
+    listed = own.groupBy("session_id").agg(F.collect_list(F.struct("_place", "segment_id", "first_idx", "last_idx_excl")).alias("_spans"))
+    inside = lambda s: (s["first_idx"] <= F.col("memory_idx")) & (F.col("memory_idx") < s["last_idx_excl"])
+    hit = memories.select("session_id", "memory_idx", "text").join(listed, "session_id").withColumn("_own", F.array_sort(F.filter("_spans", inside)))
+    taken = hit.select("session_id", "memory_idx", "text", F.posexplode("_own").alias("_nth", "_s")).select("session_id", "memory_idx", "text", "_nth", F.col("_s._place").alias("_place"))
+    found = taken.groupBy("session_id", "_place").agg(F.count("*").alias("_held"), F.count_if(F.col("_nth") > 0).alias("_again"))
+    digest = hashes(taken.select("session_id", F.col("_place").alias("segment_id"), "memory_idx", "text")).select("session_id", F.col("segment_id").alias("_place"), F.col("hash").alias("_content"))
+    each = spans.join(found, ["session_id", "_place"], "left").join(digest, ["session_id", "_place"], "left")
+    said = lambda text: F.concat(F.lit(f"{text}: segment="), F.col("segment_id").cast("string"))
+    covered = F.coalesce("_held", F.lit(0))
+    broken = (
+        F.when(~ok, said("invalid segment range"))
+        .when(F.col("token_count") > context, said("segment exceeds context limit"))
+        .when((covered != F.col("last_idx_excl") - F.col("first_idx")) | (F.coalesce("_again", F.lit(0)) > 0), said("segment memory coverage is invalid"))
+        .when(~F.col("_content").eqNullSafe(F.col("hash")), said("segment content hash mismatch"))
+    )
+    per = each.select("session_id", "_place", broken.alias("_broken"), covered.alias("_held")).groupBy("session_id")
+    per = per.agg(F.min(F.when(F.col("_broken").isNotNull(), F.struct("_place", "_broken"))).alias("_first"), F.sum("_held").alias("_covered"))
+    n = memories.groupBy("session_id").agg(F.count("*").alias("_memories"))
+    rows = sessions.join(n, "session_id", "left").join(per, "session_id", "left")
+    if "scorer" in manifest.columns:
+        keys = manifest.groupBy("session_id").agg(F.min("scorer").alias("_scorer"), *([F.min("owner").alias("_owner")] if "owner" in manifest.columns else []))
+        rows = rows.join(keys, "session_id", "left")
+    wrong_scorer = (F.col("_scorer") != scorer) if "scorer" in manifest.columns else F.lit(False)
+    wrong_owner = (F.col("_owner") != F.col("session_id")) if "owner" in manifest.columns else F.lit(False)
+    reason = (
+        F.when(F.coalesce("_memories", F.lit(0)) == 0, F.lit(None).cast("string"))
+        .when(F.col("_covered").isNull(), "manifest has no segments")
+        .when(wrong_scorer, "model cache key mismatch")
+        .when(wrong_owner, "session id mismatch")
+        .when(F.lit(context) <= 0, "failed to resolve effective context length")
+        .when(F.col("_first").isNotNull(), F.col("_first._broken"))
+        .when(F.col("_covered") != F.col("_memories"), F.concat(F.lit("partial manifest coverage: covered="), F.col("_covered").cast("string"), F.lit("/"), F.col("_memories").cast("string")))
+    )
+    return rows.select("session_id", reason.alias("reason"))
+
+
+def status_unplanned(sessions: DataFrame, memories: DataFrame, manifest: DataFrame, resident: DataFrame) -> DataFrame:
+    """The counts and flags of sessions that have no plan yet: from the manifest alone. manifest: key, token_count, on_disk; resident: key."""
+    m = memories.groupBy("session_id").agg(F.count("*").alias("memory_count"))
+    e = manifest.groupBy("session_id").agg(F.count("*").alias("segment_count"), F.count_if("on_disk").alias("saved_segments"), F.sum(F.greatest("token_count", F.lit(0))).alias("total_tokens"))
+    r = resident.groupBy("session_id").agg(F.count("*").alias("resident_segments"))
+    z = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    out = sessions.select("session_id").join(m, "session_id", "left").join(e, "session_id", "left").join(r, "session_id", "left")
+    n = out.select("session_id", *[z(c).alias(c) for c in ("memory_count", "segment_count", "resident_segments", "saved_segments", "total_tokens")])
+    n = n.withColumn("indexed_segments", F.greatest("resident_segments", "saved_segments"))
+    has = F.col("segment_count") > 0
+    return n.withColumn("indexed", has & (F.col("indexed_segments") == F.col("segment_count"))).withColumn("disk_cached", has & (F.col("saved_segments") == F.col("segment_count")))
 
 
 def status(segments: DataFrame, memories: DataFrame) -> DataFrame:
@@ -83,6 +139,10 @@ def kept_within(entries: DataFrame, budget: int, protected: Column, by: list[str
     return entries.withColumn("kept", protected | (total <= budget))
 
 
+# What a store can break, in the order in which it is looked at.
+STORE_RULES = ("invalid next memory index", "invalid memory index", "duplicate memory index", "invalid manual segment boundary")
+
+
 def invalid_stores(sessions: DataFrame, memories: DataFrame) -> DataFrame:
     """(session_id, error): repeated indices, indices outside [0, next), boundaries outside [0, next]."""
     dup = memories.groupBy("session_id", "memory_idx").count().where("count > 1").select("session_id", F.lit("duplicate memory index").alias("error"))

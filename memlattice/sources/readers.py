@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -9,9 +11,19 @@ from pyspark.sql.types import StringType, StructField, StructType
 from memlattice.functions.text import corpus_id, header_id, memory_text
 from memlattice.shipping import ship
 
-# Folders that hold no sources, and suffixes of source files.
-SKIPPED = (".git", ".hg", ".svn", "node_modules", "build", "dist", "target", "vendor", "__pycache__", ".venv", "venv", ".idea", ".vscode", "third_party")
-SUFFIXES = (".c", ".cc", ".cpp", ".cs", ".css", ".go", ".h", ".hpp", ".html", ".java", ".js", ".json", ".kt", ".lua", ".md", ".php", ".pl", ".py", ".rb", ".rs", ".scala", ".sh", ".sql", ".swift", ".toml", ".ts", ".tsx", ".txt", ".yaml", ".yml", ".zig")
+# Folders that hold no sources, suffixes of source files, and names of source files without such a suffix; and
+# what is added to each where a whole repository is indexed.
+SKIPPED = (
+    ".git", ".hg", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".svn", ".tox", ".venv", "__pycache__", "build", "dist", "node_modules", "venv",
+)
+SUFFIXES = (
+    ".bash", ".c", ".cc", ".cmake", ".cpp", ".cs", ".css", ".cts", ".cxx", ".ex", ".exs", ".go", ".h", ".hh", ".hpp", ".hs", ".htm", ".html", ".hxx", ".java", ".js", ".jsx", ".kt", ".kts",
+    ".less", ".lhs", ".lua", ".mjs", ".mts", ".php", ".py", ".pyi", ".rb", ".rs", ".sass", ".sc", ".scala", ".scss", ".sh", ".svelte", ".swift", ".ts", ".tsx", ".vue", ".zig",
+)
+NAMES = ("CMakeLists.txt",)
+REPOSITORY_SKIPPED = ("site-packages",)
+REPOSITORY_SUFFIXES = (".pxd", ".pxi", ".pyx")
+REPOSITORY_NAMES = ("BUILD", "BUILD.bazel", "WORKSPACE")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,13 +55,16 @@ def json_memories(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode(listed).alias("m")).select("m.*")
 
 
-def source_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
-    """(path, text) of source files below root, in order of path; skipped folders and other suffixes are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def source_files(spark: SparkSession, root: str, repository: bool = False) -> DataFrame:
+    """(path, text) of source files below root, in order of path; skipped folders and other names are left out, and other names are not even read."""
+    suffixes, names, skipped = (x + (y if repository else ()) for x, y in ((SUFFIXES, REPOSITORY_SUFFIXES), (NAMES, REPOSITORY_NAMES), (SKIPPED, REPOSITORY_SKIPPED)))
+    either = lambda x: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in x)
+    glob = "{" + ",".join([*(f"*{either(x)}" for x in suffixes), *names]) + "}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     inside = F.regexp_replace("path", r"^[a-z]+:/*", "/")
-    folders = "|".join(x.replace(".", r"\.") for x in SKIPPED)
-    name = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    return files.where(~inside.rlike(f"/({folders})/") & name.isin(*suffixes)).select(inside.alias("path"), F.decode("content", "utf-8").alias("text")).orderBy("path")
+    below = F.substring(inside, F.lit(len(re.sub(r"^[a-z]+:/*", "/", root).rstrip("/")) + 1), F.length(inside))
+    folders = "|".join(x.replace(".", r"\.") for x in skipped)
+    return files.where(~below.rlike(f"/({folders})/")).select(inside.alias("path"), F.decode("content", "utf-8").alias("text")).orderBy("path")
 
 
 def sectioned(lines: DataFrame, by: list[str], position: str = "pos", line: str = "line") -> DataFrame:

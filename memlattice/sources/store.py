@@ -1,7 +1,9 @@
-"""Stored sessions, memories, index manifests and index rows: Parquet, partitioned by session.
+"""Stored sessions, memories, index manifests and index rows: Parquet, a folder for each session.
 
-A write goes to a new version folder, and a small version file names the current one last, so readers see
-either the old or the new state, and no table is overwritten while it is read.
+A session's rows of a table lie in root/table/session_id=<id>/v<n>. A write goes to the next version's folder, which
+counts from when Spark marks it as complete, so readers see either the old or the new state, no table is overwritten
+while it is read, and a command touches the rows of its own session only. New memories are appended to the version
+in use: nothing that is stored is written again.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from memlattice import schema
 from memlattice.functions.text import valid_session_id
-from memlattice.plans.manifest import invalid_stores
+from memlattice.plans.manifest import STORE_RULES, invalid_stores
 
 TABLES = {"sessions": schema.SESSIONS, "memories": schema.MEMORIES, "manifest": schema.MANIFEST}
 
@@ -34,48 +36,66 @@ class Store:
         fs, p = self._fs(path)
         fs.delete(p, True)
 
-    def _version(self, name: str) -> int:
-        fs, p = self._fs(f"{self.root}/{name}")
-        if not fs.exists(p):
-            return -1
-        done = [s.getPath().getName() for s in fs.listStatus(p)]
-        return max((int(x[1:]) for x in done if x.startswith("v") and self.exists(f"{self.root}/{name}/{x}/_SUCCESS")), default=-1)
-
-    def read(self, name: str) -> DataFrame:
-        version = self._version(name)
-        if version < 0:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/v{version}")
-
-    def write(self, name: str, rows: DataFrame) -> None:
-        """A new version; the one before stays for readers that still use it, older ones go."""
-        version = self._version(name) + 1
-        rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name]]).write.mode("overwrite").parquet(f"{self.root}/{name}/v{version}")
+    def _folder(self, name: str, session_id: str) -> str:
+        return f"{self.root}/{name}/session_id={session_id}"
+
+    def names_in(self, path: str) -> list[str]:
+        fs, p = self._fs(path)
+        return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+    def _version(self, folder: str) -> int:
+        done = [x for x in self.names_in(folder) if x.startswith("v") and self.exists(f"{folder}/{x}/_SUCCESS")]
+        return max((int(x[1:]) for x in done), default=-1)
+
+    def read(self, name: str, session_id: str | None = None) -> DataFrame:
+        """The rows of a session, or of all."""
+        ids = [x.removeprefix("session_id=") for x in self.names_in(f"{self.root}/{name}") if x.startswith("session_id=")] if session_id is None else [session_id]
+        paths = [f"{f}/v{v}" for f in (self._folder(name, i) for i in ids) if (v := self._version(f)) >= 0]
+        return self.spark.read.schema(TABLES[name]).parquet(*paths) if paths else self.spark.createDataFrame([], TABLES[name])
+
+    def _typed(self, name: str, rows: DataFrame) -> DataFrame:
+        return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name]])
+
+    def append(self, name: str, session_id: str, rows: DataFrame) -> None:
+        """Adds rows to a session's; what is stored stays as it is."""
+        folder = self._folder(name, session_id)
+        self._typed(name, rows).write.mode("append").parquet(f"{folder}/v{max(0, self._version(folder))}")
+
+    def replace(self, name: str, session_id: str, rows: DataFrame | None) -> None:
+        """A session's rows replaced, or removed. The version before stays for readers that still use it, older ones go."""
+        folder = self._folder(name, session_id)
+        if rows is None:
+            return self.remove(folder)
+        version = self._version(folder) + 1
+        self._typed(name, rows).write.mode("overwrite").parquet(f"{folder}/v{version}")
         if version > 1:
-            self.remove(f"{self.root}/{name}/v{version - 2}")
+            self.remove(f"{folder}/v{version - 2}")
 
     def scan(self) -> DataFrame:
         """Sessions with a valid id, others are skipped silently."""
         return self.read("sessions").where(valid_session_id(F.col("session_id")))
 
     def load(self, session_id: str) -> tuple[DataFrame, DataFrame]:
-        """A session's row and memories; an error if it is not there or breaks a rule."""
-        s, m = (self.read(n).where(F.col("session_id") == session_id) for n in ("sessions", "memories"))
+        """A session's row and memories; an error if it is not there, or the first rule that it breaks."""
+        s, m = (self.read(n, session_id) for n in ("sessions", "memories"))
         if s.isEmpty():
             raise KeyError(f"session not found: {session_id}")
-        wrong = invalid_stores(s, m).orderBy("error").first()
+        wrong = invalid_stores(s, m).orderBy(F.array_position(F.array(*map(F.lit, STORE_RULES)), F.col("error"))).first()
         if wrong:
-            raise ValueError(wrong["error"])
+            raise ValueError(f"{wrong['error']} in store")
+        if m.limit(schema.MAX_SESSION_RECORDS + 1).count() > schema.MAX_SESSION_RECORDS:
+            raise ValueError("too many memories in store")
         return s, m
 
-    def replace_session(self, name: str, session_id: str, rows: DataFrame | None) -> None:
-        """The table with one session's rows replaced, or removed."""
-        rest = self.read(name).where(F.col("session_id") != session_id)
-        self.write(name, rest if rows is None else rest.unionByName(rows))
+    def loadable(self) -> DataFrame:
+        """The sessions that load() takes; others are skipped silently."""
+        s, m = self.scan(), self.read("memories")
+        return s.join(invalid_stores(s, m).select("session_id").distinct(), "session_id", "left_anti")
 
 
-def index_path(root: str, scorer: str, session_id: str, segment_id: int) -> str:
-    return f"{root}/scorer_key={scorer}/session_id={session_id}/segment_id={segment_id}"
+def session_index(root: str, scorer: str, session_id: str) -> str:
+    """Where the index rows of a session lie, in a folder segment_id=<n> for each segment."""
+    return f"{root}/scorer_key={scorer}/session_id={session_id}"
 
 
 def write_index(rows: DataFrame, root: str, scorer: str) -> None:

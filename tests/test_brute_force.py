@@ -58,10 +58,10 @@ def test_refine(spark, sf):
     items = {r["memory_idx"]: r["text"] for r in docs.collect()}
     for keep, passes, size in ((3, 2, 50), (2, 3, 20)):
         got = collections.defaultdict(list)
-        for r in search.refine(asked, docs, keep, passes, size, catalog._materialise(spark), 6).collect():
+        for r in search.refine(asked, docs, keep, passes, size, catalog._materialise(spark)).collect():
             got[r["query_id"]].append((r["rank"], r["memory_idx"], r["passes"]))
         for q in asked.collect():
-            assert sorted(got[q["query_id"]]) == plain_refine(q["query"], items, keep, passes, size, 6)
+            assert sorted(got[q["query_id"]]) == plain_refine(q["query"], items, keep, passes, size, 1)
 
 
 def test_refine_takes_terms_of_every_length(spark, tmp_path):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from memlattice import schema
 from memlattice.commands import CommandError, Engine
 from memlattice.functions import hashing, text
-from memlattice.operators import fusion, metrics, search, usage
+from memlattice.operators import chunker, fusion, metrics, search, usage
 from memlattice.plans import manifest, planner
 from memlattice.sources import readers, requests
 from memlattice.streaming import append
@@ -89,10 +89,94 @@ def test_commands(spark, tmp_path):
     one = e.oneshot_search(spark.createDataFrame([(0, "k", "an apple"), (1, None, "a pear")], "pos long, id string, text string"), "apple").collect()
     assert [(r["rank"], r["id"]) for r in one] == [(1, "k")]
     assert e.list_sessions() == ["demo"]
+    assert e.restore_session("demo")["reason"] == "partial manifest coverage: covered=4/5"
+    (row,) = e.list_statuses().collect()
+    assert (row["session_id"], row["memory_count"], row["segment_count"], row["saved_segments"], row["indexed"]) == ("demo", 5, 2, 2, True)
     e.delete_session("demo")
+    assert not (tmp_path / "store" / "index" / "scorer_key=bm25" / "session_id=demo").exists()
     assert e.list_sessions() == []
 
 
+def test_indexes_are_stored_and_built_once(spark, tmp_path):
+    root = str(tmp_path / "store")
+    e = Engine(spark, root)
+    e.create_session("a", kv_persist=True)
+    e.add_memories("a", [(None, "red apples " * 60), (None, "green pears " * 60), (None, "apples and pears " * 60)])
+    first = {f: f.stat().st_mtime_ns for f in (tmp_path / "store" / "memories").rglob("part-*.parquet")}
+    n = e.index_session("a")
+    assert n == len(e.status("a")["states"]) > 1
+    again = Engine(spark, root)  # nothing is resident here
+    assert {r["state"] for r in again.status("a")["states"]} == {"DISK_ONLY"} and again.index_session("a") == 0
+    assert again.restore_session("a")["reason"] is None
+    want = [(r["rank"], r["memory_idx"]) for r in search.search(spark.createDataFrame([(0, "apples")], "query_id long, query string"), again.members("a"), 0).orderBy("rank").collect()]
+    assert [(r["rank"], r["memory_idx"]) for r in again.search("a", "apples").collect()] == want
+    again.add_memory("a", "plums")
+    now = {f: f.stat().st_mtime_ns for f in (tmp_path / "store" / "memories").rglob("part-*.parquet")}
+    assert first.items() < now.items()  # appended, not written again
+    assert again.index_session("a") == 1
+
+
+def test_manual_cuts_count_when_memories_are_added(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"))
+    e.create_session("a")
+    e.add_memories("a", [(None, f"memory {i}") for i in range(101)])
+    s, _ = e.store.load("a")
+    e.store.replace("sessions", "a", s.withColumn("boundaries", F.sequence(F.lit(1).cast("long"), F.lit(99).cast("long"))))
+    assert e.segments("a").count() == 100
+    e.next_segment("a")
+    with pytest.raises(CommandError, match="segment limit exceeded"):
+        e.add_memory("a", "one more")
+    assert e.segments("a").count() == 100
+
+
+def test_store_rules(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"))
+    for name in ("good", "bad"):
+        e.create_session(name)
+        e.add_memories(name, [(None, "x"), (None, "y")])
+    m = e.store.read("memories", "bad")
+    e.store.append("memories", "bad", m.unionByName(m.withColumn("memory_idx", F.lit(9).cast("long"))))
+    with pytest.raises(ValueError, match="^invalid memory index in store$"):
+        e.store.load("bad")
+    assert e.list_sessions() == ["good"]
+
+
+def test_restore_order_of_rules(spark):
+    sessions = spark.createDataFrame([(x,) for x in "abcde"], "session_id string")
+    memories = spark.createDataFrame([(s, i, f"t{i}") for s in "abcd" for i in range(4)], "session_id string, memory_idx long, text string")
+    digest = lambda rows: hashing.segment_digests(rows).withColumnRenamed("sha", "hash")
+    cut = spark.createDataFrame([(s, k, 2 * k, 2 * k + 2) for s in "abcd" for k in (0, 1)], "session_id string, segment_id int, first_idx long, last_idx_excl long")
+    held = memories.join(cut, "session_id").where("memory_idx between first_idx and last_idx_excl - 1")
+    entries = cut.join(digest(held.select("session_id", "segment_id", "memory_idx", "text")), ["session_id", "segment_id"]).withColumn("token_count", F.lit(5))
+    entries = entries.withColumn("scorer", F.when(F.col("session_id") == "b", "other").otherwise("mine"))
+    entries = entries.withColumn("first_idx", F.expr("CASE WHEN session_id = 'c' AND segment_id = 1 THEN 1 ELSE first_idx END"))  # overlaps
+    entries = entries.withColumn("hash", F.expr("CASE WHEN session_id IN ('c', 'd') AND segment_id = 1 THEN 'x' ELSE hash END"))
+    got = {r["session_id"]: r["reason"] for r in manifest.restored(sessions, memories, entries, digest, 700, "mine").collect()}
+    assert got == {"a": None, "b": "model cache key mismatch", "c": "segment memory coverage is invalid: segment=1", "d": "segment content hash mismatch: segment=1", "e": None}
+
+
+def plain_blocks(lines, rule, target=30, window=10):
+    out, at = [], 0
+    blank = [i + 1 for i, x in enumerate(lines) if not x.strip()]
+    while at < len(lines):
+        want = min(at + target, len(lines))
+        near = [b for b in blank if (max(at + 1, want - window) if rule == "nearest" else want) <= b <= min(len(lines), want + window)]
+        end = len(lines) if want == len(lines) else (min(near, key=lambda b: (abs(b - want), b)) if rule == "nearest" else min(near)) if near else want
+        out.append((at + 1, end, "\n".join(lines[at:end])))
+        at = end
+    return [x for x in out if x[2].strip()]
+
+
+def test_blocks(spark):
+    rnd = random.Random(5)
+    texts = [[rnd.choice(["", " ", "x", "y z"]) if rnd.random() < p else f"line {i}" for i in range(n)] for p in (0.0, 0.1, 0.9, 1.0) for n in (1, 29, 31, 200, 3_000)]
+    docs = spark.createDataFrame([(i, "\n".join(t) + "\n") for i, t in enumerate(texts)], "doc_id long, text string")
+    for rule in ("nearest", "forward"):
+        got = chunker.blocks(docs, rule).orderBy("doc_id", "start_line").collect()
+        for i, t in enumerate(texts):
+            assert [(r["start_line"], r["end_line"], r["text"]) for r in got if r["doc_id"] == i] == plain_blocks(t, rule)
+
+
 def test_merge_and_limits(spark):
     rows = spark.createDataFrame([(0, 2, 1, 7), (0, 1, 1, 7), (0, 1, 2, 8), (0, 2, 2, 9)], "query_id int, segment_id int, seg_rank int, memory_idx long")
     assert [(r["rank"], r["memory_idx"], r["segment_id"]) for r in search.merged(rows, ["query_id"]).orderBy("rank").collect()] == [(1, 7, 1), (2, 8, 1), (3, 9, 2)]
@@ -152,10 +236,11 @@ def test_readers(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"memories":[{"text":"a"},{"id":"b","text":"c"}]}')
     assert readers.json_memories(spark, str(tmp_path / "m.json")).count() == 2
     src = tmp_path / "src"
-    for p in ("a.py", "node_modules/b.py", "c.bin", "d/e.go"):
+    for p in ("a.py", "node_modules/b.py", "c.bin", "d/e.go", "d/F.TSX", "CMakeLists.txt", "notes.txt", "WORKSPACE", "x.pyx", "site-packages/y.py", "target/z.rs"):
         (src / p).parent.mkdir(parents=True, exist_ok=True)
         (src / p).write_text("x\n")
-    assert [r["path"].split("/src/")[1] for r in readers.source_files(spark, str(src)).collect()] == ["a.py", "d/e.go"]
+    assert [r["path"].split("/src/")[1] for r in readers.source_files(spark, str(src)).collect()] == ["CMakeLists.txt", "a.py", "d/F.TSX", "d/e.go", "site-packages/y.py", "target/z.rs"]
+    assert [r["path"].split("/src/")[1] for r in readers.source_files(spark, str(src), repository=True).collect()] == ["CMakeLists.txt", "WORKSPACE", "a.py", "d/F.TSX", "d/e.go", "target/z.rs", "x.pyx"]
     readers.write_sidecar(spark.createDataFrame([("1", "x")], kind), str(tmp_path / "side"))
     assert readers.read_sidecar(spark, str(tmp_path / "side"), kind).count() == 1
     lines = spark.createDataFrame([(0, i, x) for i, x in enumerate(["[Mon]", "", " a ", "[Tue]", "b"])], "d int, pos int, line string")
@@ -172,6 +257,8 @@ def test_text(spark):
     assert one(text.is_procedural, "") and one(text.is_procedural, "Let me see") and not one(text.is_procedural, "It is 4")
     assert one(lambda c: text.invokes(c, "rg"), "cd x && rg foo") and not one(lambda c: text.invokes(c, "rg"), "argh")
     assert one(text.media_type_is_json, " Application/JSON ; charset=x") and not one(text.media_type_is_json, "text/plain")
+    assert one(text.media_type_is_json, "\tapplication/json\t") and not one(text.media_type_is_json, "") and not one(text.media_type_is_json, None)
+    assert [one(text.size_bytes, x) for x in ("18446744073709551615", "0018446744073709551615", "16777215tib", "16777216tib", "99999999999999999999999", "99999999999999999999999k")] == [2**64 - 1, 2**64 - 1, 16777215 * 1024**4, None, 2**64 - 1, None]
     assert one(lambda c: text.abbreviated(F.length(c) * 1000), "abc") == "3.0k"
 
 
