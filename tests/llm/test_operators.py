@@ -2,13 +2,16 @@
 
 import base64
 import collections
+import functools
 import hashlib
 import html.parser
 import itertools
 import math
 import random
 import re
+import statistics
 import time
+import unicodedata
 import zlib
 
 import numpy as np
@@ -104,15 +107,114 @@ def test_quality_rejects_planted_junk(spark):
     assert sum(plain) > 0.9 * len(plain)
 
 
-def test_kneser_ney_sums_to_one():
+def one_language(text):
+    """(alphabet, codes) of a text under an alphabet of its own letters."""
+    letters = [c for c, _ in collections.Counter(c for c in text.lower() if c.isalpha()).most_common(quality.OWN)]
+    alphabet = np.zeros((1, 1 << 16), np.uint8) + quality._SIGN
+    alphabet[0, [ord(c) for c in letters]] = quality._LETTERS + np.arange(len(letters))
+    alphabet[0, 32] = 0
+    raw = text.lower().encode()
+    return alphabet, quality._codes(alphabet, np.zeros(1, np.int64), np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+
+
+@pytest.mark.parametrize("letters", ["abc d", "абв г", "漢字仮 名"])
+def test_kneser_ney_sums_to_one(letters):
     rng = np.random.default_rng(1)
-    text = bytes(rng.choice(list(b"abc d"), 4000).tolist())
-    buf, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
-    code, n = np.unique(quality._codes(buf, offsets), return_counts=True)
-    m = quality.kneser_ney(["en"], np.zeros(len(code), np.int64), code, n)
+    alphabet, codes = one_language("".join(rng.choice(list(letters), 4000)))
+    code, n = np.unique(codes, return_counts=True)
+    m = quality.kneser_ney(["x"], alphabet, np.zeros(len(code), np.int64), code, n)
     for context in (code[5] >> 5, np.uint32(7 << 10 | 9 << 5 | 3)):
         every = np.array([(int(context) << 5 | s) & 0xFFFFF for s in range(32)], np.uint32)
-        assert (10 ** m.log10(np.zeros(32, np.int64), every)).sum() == pytest.approx(1, abs=0.03)
+        assert (10 ** m.log10(np.zeros(32, np.int64), every)).sum() == pytest.approx(1, abs=1e-5)
+
+
+def plain_symbols(text, own):
+    out = []
+    for c in text or "":
+        kind, low = unicodedata.category(c)[0], c.lower()
+        low = low if len(low) == 1 else c
+        if kind in "LM":
+            out.append(3 + own.index(low) if low in own else 3 + (ord(low) * 0x9E3779B1 % 2**32 >> 16) % 29)
+        else:
+            out.append(0 if kind == "Z" or c.isspace() else 1 if kind == "N" else 2)
+    return out
+
+
+def plain_model(texts):
+    """A function from four symbols to the log10 probability of the last, by modified Kneser-Ney."""
+    counts = {4: collections.Counter(tuple(([0, 0, 0] + s)[i : i + 4]) for s in texts for i in range(len(s)))}
+    for k in (3, 2, 1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+    counts[1].update({(x,): 0 for x in range(32)})
+    parts = {}
+    for k, c in counts.items():
+        ones, twos, threes, fours = [max(1, sum(v == j for v in c.values())) for j in (1, 2, 3, 4)]
+        y = ones / (ones + 2 * twos)
+        d = [min(hi, max(0.1, x)) for x, hi in ((1 - 2 * y * twos / ones, 0.9), (2 - 3 * y * threes / twos, 1.8), (3 - 4 * y * fours / threes, 2.7))]
+        total, mass = collections.Counter(), collections.Counter()
+        for g, v in c.items():
+            cut = min(v, d[0] if v == 1 else d[1] if v == 2 else d[2])
+            total[g[:-1]] += v
+            mass[g[:-1]] += cut
+        parts[k] = (d, total, mass)
+
+    @functools.cache
+    def p(g):
+        if not g:
+            return 1 / 32
+        d, total, mass = parts[len(g)]
+        v = counts[len(g)].get(g, 0)
+        if not total[g[:-1]]:
+            return p(g[1:])
+        cut = min(v, d[0] if v == 1 else d[1] if v == 2 else d[2])
+        return (v - cut) / total[g[:-1]] + mass[g[:-1]] / total[g[:-1]] * p(g[1:])
+
+    return lambda g: math.log10(p(g))
+
+
+def test_perplexity_and_bands(spark, documents):
+    docs = documents.select("doc_id", "text", "lang")
+    got = {r["doc_id"]: r for r in rows(quality.judged(docs))}
+    texts = docs.collect()
+    for lang in {r["lang"] for r in texts}:
+        mine = [r for r in texts if r["lang"] == lang]
+        n = collections.Counter(c.lower() if len(c.lower()) == 1 else c for r in mine for c in r["text"] or "" if unicodedata.category(c)[0] in "LM")
+        own = sorted(n, key=lambda c: (-n[c], c))[: quality.OWN]
+        symbols = {r["doc_id"]: plain_symbols(r["text"], own) for r in mine}
+        log10 = plain_model(symbols.values())
+        for i, s in symbols.items():
+            if got[i]["log10_perplexity"] is None:
+                assert not got[i]["n_words"]
+                continue
+            want = -sum(log10(tuple(([0, 0, 0] + s)[k : k + 4])) for k in range(len(s))) / len(s)
+            assert got[i]["log10_perplexity"] == pytest.approx(want, abs=2e-5)
+        passed = [got[i] for i in symbols if not got[i]["base_failed"]]
+        median = lambda xs, cell: (math.floor(statistics.median_low(xs) / cell) + 0.5) * cell if xs else 0.0
+        middle = median([r["log10_perplexity"] for r in passed], quality.CELL)
+        root = lambda r: math.sqrt(r["word_chars"] + r["n_words"])
+        below = max(median([(middle - r["log10_perplexity"]) * root(r) for r in passed if r["log10_perplexity"] < middle], quality.ROOT_CELL), quality.ROOT_CELL / 2)
+        above = max(median([r["log10_perplexity"] - middle for r in passed if r["log10_perplexity"] > middle], quality.CELL), quality.CELL / 2)
+        for r in passed:
+            assert r["upper"] == pytest.approx(middle + quality.UPPER * above)
+            assert r["lower"] == pytest.approx(middle - quality.LOWER * below / root(r))
+            assert r["kept"] == (r["lower"] <= r["log10_perplexity"] <= r["upper"])
+
+
+def test_quality_sees_other_scripts(spark):
+    rnd = random.Random(12)
+    cases = {"ru": "абвгдежзиклмнопрстуфхцчшщыьэюя", "el": "αβγδεζηθικλμνξοπρστυφχψω", "zh": "的一是不了在人有我他这个们中来上大为和国地到以说时要就出会可也你对生能而子那得于着下自之年过发后作里"}
+    docs, planted = [], []
+    for g, letters in cases.items():
+        parts = ["".join(rnd.choice(letters) for _ in range(2)) for _ in range(25)]
+        for k in range(80):
+            text = " ".join("".join(rnd.choice(parts) for _ in range(rnd.randint(1, 3))) for _ in range(120))
+            docs.append((len(docs), text, g))
+        for k in range(6):
+            text = " ".join("".join(rnd.choice(letters) for _ in range(5)) for _ in range(120))
+            planted.append((-1 - len(planted), text, g))
+    got = {r["doc_id"]: r["kept"] for r in rows(quality.judged(spark.createDataFrame(docs + planted, "doc_id long, text string, lang string")))}
+    assert not any(got[i] for i, _, _ in planted)
+    assert sum(got[i] for i, _, _ in docs) > 0.95 * len(docs)
 
 
 # --- 2 ---
