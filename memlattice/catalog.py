@@ -405,7 +405,7 @@ def q_merge_dedup(spark, sf):
     first = d.groupBy(F.xxhash64("text").alias("h"), F.sha1("text").alias("s")).agg(F.min("doc_id").alias("memory_idx"))
     rows = d.select(F.xxhash64("text").alias("h"), F.sha1("text").alias("s"), "doc_id").join(first, ["h", "s"])
     rows = rows.select(F.lit(0).alias("query_id"), (F.col("doc_id") % 8).alias("segment_id"), F.col("doc_id").alias("seg_rank"), "memory_idx")
-    return search.merged(rows, ["query_id"]).select("rank", *_long("memory_idx", "segment_id"))
+    return search.merged(rows, ["query_id"], large=True).select("rank", *_long("memory_idx", "segment_id"))
 
 
 _HITS = PLAN + f", {_BENCH}, {bm25_cte('placed')}, {TOP}"

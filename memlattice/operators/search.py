@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlattice.functions.text import words
+from memlattice.operators.ranks import counted_before, ranked_in_cells
 
 K1, B = 1.2, 0.75
 
@@ -85,10 +86,13 @@ def attention(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """Softmax of the scaled dot product of a query vector with the vectors of each segment.
 
     queries: (query_id, q array<double>); vectors: (segment_id, vec_id, v). Every query is asked of every
-    vector (a stated, small query set against all rows); the sums by segment are combined map-side.
+    vector (a stated query set against all rows, of at most TOLD queries, which go to all tasks; more are an error); the
+    sums by segment are combined map-side.
     """
+    if queries.limit(TOLD + 1).count() > TOLD:
+        raise ValueError(f"more than {TOLD} queries at once")
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    logit = vectors.crossJoin(queries).select("query_id", "segment_id", "vec_id", (dot / F.sqrt(F.size("v").cast("double"))).alias("logit"))
+    logit = vectors.crossJoin(F.broadcast(queries)).select("query_id", "segment_id", "vec_id", (dot / F.sqrt(F.size("v").cast("double"))).alias("logit"))
     top = logit.groupBy("query_id", "segment_id").agg(F.max("logit").alias("top"))
     e = logit.join(top, ["query_id", "segment_id"]).withColumn("e", F.exp(F.col("logit") - F.col("top")))
     total = e.groupBy("query_id", "segment_id").agg(F.sum("e").alias("total"))
@@ -110,9 +114,13 @@ def effective_top_k(asked: Column, default: int) -> Column:
     return F.coalesce(asked, F.lit(default))
 
 
-def merged(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Segments in order of id, each in its own order; a memory keeps its first place. Adds rank, from 1."""
+def merged(rows: DataFrame, by: list[str], large: bool = False) -> DataFrame:
+    """Segments in order of id, each in its own order; a memory keeps its first place. Adds rank, from 1. large: lists too long for one task to put in order."""
     first = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*by, "memory_idx").orderBy("segment_id", "seg_rank"))).where("_k = 1").drop("_k")
+    if large:
+        local = ranked_in_cells(first, [*by, "segment_id"], "seg_rank", ["memory_idx"], "_own")
+        before = counted_before(first, by, "segment_id").drop("_n")
+        return local.join(before, [*by, "segment_id"]).withColumn("rank", (F.col("_own") + F.col("_before")).cast("bigint")).drop("_own", "_before")
     return first.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("segment_id", "seg_rank")).cast("bigint"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from memlattice import schema
 from memlattice.commands import CommandError, Engine
 from memlattice.functions import hashing, text
-from memlattice.operators import chunker, fusion, metrics, search, usage
+from memlattice.operators import chunker, fusion, metrics, ranks, search, usage
 from memlattice.plans import manifest, planner
 from memlattice.sources import readers, requests
 from memlattice.streaming import append
@@ -196,6 +196,24 @@ def test_dcg_variants(spark):
     assert (none["recall_any"], none["recall_all"]) == (0.0, 0.0)
 
 
+def test_ranks_in_cells(spark):
+    rnd = random.Random(11)
+    data = [(g, rnd.choice([1.0, 2.5, rnd.random() * 1e6, -rnd.random()]), i) for i, g in enumerate(rnd.choice("abc") for _ in range(3_000))] + [("one", 7.0, -1)] + [("same", 3.0, k) for k in range(5_000, 5_009)]
+    df = spark.createDataFrame(data, "g string, v double, i long")
+    got = {(r["g"], r["i"]): r["rank"] for r in ranks.ranked_in_cells(df, ["g"], "v", ["i"]).collect()}
+    median = {r["g"]: r["m"] for r in metrics.upper_median(df, "g", "v", "m").collect()}
+    for g in {x[0] for x in data}:
+        own = sorted((v, i) for h, v, i in data if h == g)
+        assert [got[(g, i)] for _, i in own] == list(range(1, len(own) + 1))
+        assert median[g] == own[len(own) // 2][0]
+    every = {r["i"]: r["rank"] for r in ranks.ranked_in_cells(df, [], "v", ["i"]).collect()}
+    assert [every[i] for _, i in sorted((v, i) for _, v, i in data)] == list(range(1, len(data) + 1))
+    assert ranks.ranked_in_cells(df.limit(0), [], "v", ["i"]).count() == 0
+    rows = df.select(F.lit(0).alias("query_id"), F.length("g").alias("segment_id"), F.col("i").alias("seg_rank"), (F.col("i") % 700).alias("memory_idx"))
+    key = lambda d: sorted((r["rank"], r["memory_idx"]) for r in d.collect())
+    assert key(search.merged(rows, ["query_id"], large=True)) == key(search.merged(rows, ["query_id"]))
+
+
 def test_lru(spark):
     e = spark.createDataFrame([("a", 0, 4, 1), ("a", 1, 4, 3), ("b", 0, 4, 2)], "session_id string, segment_id int, bytes long, last_access long")
     kept = lambda budget, safe: {(r["session_id"], r["segment_id"]) for r in manifest.kept_within(e, budget, safe).collect() if r["kept"]}
