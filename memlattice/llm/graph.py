@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlattice.llm._shared import written
+from memlattice.llm._shared import forget, written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -13,8 +13,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
 
     A large star ties each node's larger neighbours to its least neighbour, a small star ties its smaller
     ones and itself to the least. Both take the least neighbour by an aggregation with map-side combine and
-    a join, so that a node with very many links is no task of its own. The rounds grow with the logarithm
-    of the number of nodes.
+    a join of (node, neighbour) with (node, least). A node with very many links is 16 bytes a link in that join's larger
+    side, which adaptive execution splits where it exceeds its skew threshold. The rounds grow with the logarithm
+    of the number of nodes; a round's table goes when the next one is written.
     """
     edges = written(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), "links")
     before = None
@@ -24,9 +25,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x")).select(F.col("x.b").alias("a"), F.col("x.m").alias("b"))
-        edges = written(small.where("a <> b").distinct(), "stars")
+        old, edges = edges, written(small.where("a <> b").distinct(), "stars")
+        forget(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out.written_to = edges.written_to
+            return out
         before = now
     raise RuntimeError(f"components did not settle in {rounds} rounds")

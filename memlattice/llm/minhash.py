@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from memlattice.llm import _text
-from memlattice.llm._shared import written
+from memlattice.llm._shared import forget, written
 from memlattice.llm.graph import components
 
 ROWS, BANDS = 7, 64
@@ -253,21 +253,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     sets = _sets(docs, home.select("c").join(classes.select("c", "node", "id"), "c"), id_col, text, words)
     sliced = written(_slices(home.join(sizes, "c")), "slices")
     jobs = sliced.where("c <> centre").select("c", "job").unionByName(sliced.select(F.col("centre").alias("c"), "job").distinct())
-    roots = components(_compared(jobs, sets, percent))
+    links = _compared(jobs, sets, percent)
+    roots = components(links)
+    forget(links)
     # Buckets in several components, whose classes were not all compared with one another.
     placed = buckets.join(roots, F.col("c") == F.col("node"), "left").select("key", "c", "centre", F.coalesce("root", "c").alias("root"))
     placed = written(placed.join(sliced.select("c", "job"), "c"), "placed")
     split = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min("job").alias("i"), F.max("job").alias("j"))
     left = written(placed.join(split.where("a <> b and i <> j").select("key"), "key").select("c", "centre", "root").distinct(), "open")
+    groups, more = None, None
+    forget(buckets)
     if not left.isEmpty():
-        groups = components(left.select(F.col("centre").alias("a"), F.col("c").alias("b"))).select(F.col("node").alias("c"), F.col("root").alias("g"))
-        grouped = left.select("c", "root").distinct().join(groups, "c", "left").withColumn("g", F.coalesce("g", "c"))
+        groups = components(left.select(F.col("centre").alias("a"), F.col("c").alias("b")))
+        grouped = left.select("c", "root").distinct().join(groups.select(F.col("node").alias("c"), F.col("root").alias("g")), "c", "left").withColumn("g", F.coalesce("g", "c"))
         more = _compared(_blocks(grouped.join(sizes, "c"), percent), sets, percent)
         if not more.isEmpty():
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+            first, roots = roots, components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+            forget(first)
     named = classes.select("c", "node", "id").join(roots.select(F.col("node").alias("c"), "root"), "c", "left").select("node", "id", F.coalesce("root", "c").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    of_class = named.join(least, "root").select("node", "root", "component_id")
+    of_class = written(named.join(least, "root").select("node", "root", "component_id"), "classes")
+    forget(classes, sets, sliced, placed, left, groups, more, roots)
     out = rows.select("id", "n_shingles", "node").where("node is not null").join(of_class, "node")
     empty = rows.where("node is null").select("node", "id", "n_shingles", F.lit(None).cast("long").alias("root"), F.col("id").alias("component_id"))
     out = out.unionByName(empty)
