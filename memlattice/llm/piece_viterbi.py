@@ -7,15 +7,19 @@ paths that survive in the window come from one boundary, what lies before it can
 are committed; state is dropped up to there. Characters without a piece are committed as their UTF-8
 bytes' pieces, at a score of 10 below the least, as SentencePiece does.
 
-Scores are used as the model file has them. A file trained as BPE therefore gets the best-scoring
-segmentation of its pieces, which is not always the one in order of merges; decoding is the same for both.
+Scores are log probabilities of the pieces, from fit(): Spark counts the pieces of the library's own segmentation over all
+texts. The scores in a file trained as BPE are no probabilities but ranks of merges, so their sums say little; they are used
+where no others are given. Either way the ids are those of the best sum, which is not always the segmentation in order of
+merges; decoding is the same for all.
 
 Texts of a corpus share most words: since no piece goes from a non-blank into a blank (checked for each
 blank when the model is opened), every path passes the boundary before a blank, and ids of each stretch
 from there to the next are searched once and kept in a bounded cache.
 
 Defined cases: null and empty texts have no ids and decode to the empty text. White space is kept as it is.
-The character U+2581, which stands for a blank inside pieces, decodes as a blank.
+The character U+2581, which stands for a blank inside pieces, decodes as a blank. Repeated rows get the same ids; an empty
+table gives no rows, and with no text to count all pieces are equally likely. A model file that changes texts (by a
+normalizer other than writing blanks as U+2581) is refused with an error.
 """
 
 from __future__ import annotations
@@ -26,22 +30,27 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from memlattice.llm import _text
 
 BLANK = "▁"
 CACHE = 700_000
+PORTION = 4_096  # characters that are searched at a time
+SHORT = 4  # windows up to which a stretch is searched at once
 _END = ""  # in a node of the trie: (id, score) of the piece that ends there
 
 
 class Pieces:
     """The vocabulary of a model: scores, a trie, byte pieces, and the bytes of each id."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, scores: np.ndarray | None = None):
+        """scores: of each id; the file's own if not given."""
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
+        score_of = sp.get_score if scores is None else scores.__getitem__
         self.trie: dict = {}
         self.bytes: dict[int, int] = {}
         self.raw: list[bytes] = []
@@ -57,12 +66,15 @@ class Pieces:
                 node = self.trie
                 for c in piece:
                     node = node.setdefault(c, {})
-                node[_END] = (i, sp.get_score(i))
+                node[_END] = (i, float(score_of(i)))
                 self.raw.append(piece.replace(BLANK, " ").encode())
-                self.longest, least = max(self.longest, len(piece)), min(least, sp.get_score(i))
+                self.longest, least = max(self.longest, len(piece)), min(least, float(score_of(i)))
                 texts.append(piece)
         self.unknown, self.unknown_id = least - 10.0, sp.unk_id()
         self.dummy = len(sp.encode("a")) > 0 and sp.id_to_piece(sp.encode("a")[0]).startswith(BLANK)
+        sample = "Ａﬁé\u00a0ß  x\t"
+        if sp.normalize(sample) != BLANK * self.dummy + sample.replace(" ", BLANK):
+            raise ValueError(f"{path} normalizes texts, which this search doesn't")
         blanks = [c for c in "\t\n\x0b\x0c\r" if not any(c in p[1:] for p in texts)]
         if not any(BLANK in p.lstrip(BLANK) for p in texts):
             blanks.append(" ")
@@ -82,6 +94,7 @@ class StreamingViterbi:
         self.back: list[tuple[int, int]] = [(-1, -1)]  # where the piece that ends here begins, and its id
         self.at = 0  # the next boundary to search from
         self.far = 0  # the furthest that a beginning of a piece has reached
+        self.checked = 0  # where it was last looked whether the open paths have met
 
     def feed(self, text: str) -> list[int]:
         self.text += text
@@ -99,7 +112,7 @@ class StreamingViterbi:
             best.append(None)
             back.append((-1, -1))
         out: list[int] = []
-        j, n, committed, checked = self.at, len(text), 0, self.at
+        j, n, committed, checked = self.at, len(text), 0, self.checked
         while j < stop:
             score = best[j]
             if score is None:  # no path has a boundary here
@@ -108,7 +121,7 @@ class StreamingViterbi:
             if self.far <= j and j > committed:  # nothing before reaches further: all paths pass here
                 out += self._path(committed, j)
                 committed = checked = j
-            elif j - checked >= self.pieces.longest:  # paths may meet further back
+            elif j - checked >= max(self.pieces.longest, (checked - committed) // 2):  # paths may meet further back; the longer they don't, the rarer it is looked
                 meet, checked = self._meeting(j, max(self.far, j), committed), j
                 if meet > committed:
                     out += self._path(committed, meet)
@@ -132,7 +145,7 @@ class StreamingViterbi:
                 back[j + 1] = (j, -1)
             self.far = max(self.far, k, j + 1)
             j += 1
-        self.at = max(j, self.at)
+        self.at, self.checked = max(j, self.at), checked
         self._drop(committed)
         return out
 
@@ -166,12 +179,12 @@ class StreamingViterbi:
             self.text = self.text[upto:]
             self.best = [None if x is None else x - low for x in self.best[upto:]]
             self.back = [(-1, -1)] + [(a - upto, i) for a, i in self.back[upto + 1 :]]
-            self.at, self.far = max(0, self.at - upto), max(0, self.far - upto)
+            self.at, self.far, self.checked = max(0, self.at - upto), max(0, self.far - upto), max(0, self.checked - upto)
 
 
 class Codec:
-    def __init__(self, path: str):
-        self.pieces = Pieces(path)
+    def __init__(self, path: str, scores: np.ndarray | None = None):
+        self.pieces = Pieces(path, scores)
         self.cache = _text.IdCache(CACHE)
         # Blanks at which stretches can be cut; other white space reads like a letter.
         self.table = np.where(_text.SPACE, ord("a"), np.arange(256)).astype(np.uint8)
@@ -179,11 +192,52 @@ class Codec:
             self.table[ord(c)] = 32
 
     def search(self, text: str) -> list[int]:
-        run = StreamingViterbi(self.pieces)
-        return run.feed(text.replace(" ", BLANK)) + run.finish()
+        if len(text) <= SHORT * self.pieces.longest:
+            return self._at_once(text.replace(" ", BLANK))
+        run, out = StreamingViterbi(self.pieces), []
+        for i in range(0, len(text), PORTION):
+            out += run.feed(text[i : i + PORTION].replace(" ", BLANK))
+        return out + run.finish()
+
+    def _at_once(self, text: str) -> list[int]:
+        """The same search of a text of a few windows, with nothing committed before its end."""
+        trie, unknown, n = self.pieces.trie, self.pieces.unknown, len(text)
+        best: list[float | None] = [0.0] + [None] * n
+        back = [(0, 0)] * (n + 1)
+        for j in range(n):
+            score = best[j]
+            if score is None:
+                continue
+            node = trie
+            for k in range(j, n):
+                node = node.get(text[k])
+                if node is None:
+                    break
+                end = node.get(_END)
+                if end is not None:
+                    total, b = score + end[1], best[k + 1]
+                    if b is None or total > b:
+                        best[k + 1] = total
+                        back[k + 1] = (j, end[0])
+            if _END not in trie.get(text[j], ()):
+                b = best[j + 1]
+                if b is None or score + unknown > b:
+                    best[j + 1] = score + unknown
+                    back[j + 1] = (j, -1)
+        out: list[list[int]] = []
+        while n:
+            start, piece = back[n]
+            out.append([piece] if piece >= 0 else self.pieces.of_unknown(text[start]))
+            n = start
+        return [x for y in reversed(out) for x in y]
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin and the last's end)."""
+        lead = BLANK if self.pieces.dummy else ""
+        return self.by_stretch(buf, offsets, lambda texts, heads: [self.search(lead + t if h else t) for t, h in zip(texts, heads, strict=True)])
+
+    def by_stretch(self, buf: np.ndarray, offsets: np.ndarray, ids_of) -> tuple[np.ndarray, np.ndarray]:
+        """encode(), where ids_of(texts, heads) gives the ids of stretches; heads: whether a text begins with it."""
         _, ends, first = _text.spans(self.table[buf], offsets)
         # Stretches: from the end of a word (or a text's start) to the end of the next (or of the text).
         ends = np.union1d(ends, offsets[1:][offsets[1:] > offsets[:-1]])
@@ -192,8 +246,7 @@ class Codec:
         head = np.isin(starts, offsets[:-1])
         hashes = _text.word_hashes(buf, starts, ends) + head.astype(np.uint64)
         raw = buf.tobytes()
-        lead = BLANK if self.pieces.dummy else ""
-        make = lambda new: [self.search((lead if head[i] else "") + raw[starts[i] : ends[i]].decode()) for i in new]
+        make = lambda new: ids_of([raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)], head[new].tolist())
         ids, end = self.cache.ids(hashes, make)
         return ids, np.concatenate([[0], end])[first]
 
@@ -203,16 +256,44 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+def codec(path: str, scores: bytes | None = None) -> Codec:
+    """One codec, with its cache, for each worker process. scores: 32-bit floats, one for each id."""
+    return Codec(path, None if scores is None else np.frombuffer(scores, "<f4"))
+
+
+def fit(docs: DataFrame, path: str, text: str = "text") -> bytes:
+    """Scores for codec(): log probabilities of the pieces in the library's segmentation of all texts, 1/2 added to each count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import sentencepiece
+
+        sp, c = sentencepiece.SentencePieceProcessor(model_file=path), Codec(path)
+        blank, counts = sp.piece_to_id(BLANK), np.zeros(sp.get_piece_size(), np.int64)
+
+        def ids_of(texts: list[str], heads: list[bool]) -> list[list[int]]:
+            # The library puts a blank before each text: it is the stretch's own, or doesn't belong to it.
+            inner = [c.pieces.dummy and not h for h in heads]
+            ids = sp.encode([t[1:] if i and t[:1] == " " else t for t, i in zip(texts, inner, strict=True)], num_threads=1)
+            return [x[1:] if i and t[:1] != " " and x[:1] == [blank] else x for x, t, i in zip(ids, texts, inner, strict=True)]
+
+        for b in batches:
+            for _, _, buf, offsets in _text.blocks(b.column(0)):
+                counts += np.bincount(c.by_stretch(buf, offsets, ids_of)[0], minlength=len(counts))
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["id", "n"])
+
+    got = docs.select(text).mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # a row for each piece at most
+    counts = np.full(len(Pieces(path).raw), 0.5)
+    counts[got.column("id").to_numpy()] += got.column("n").to_numpy()
+    return np.log(counts / counts.sum()).astype("<f4").tobytes()
 
 
-def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", decode: bool = True) -> DataFrame:
+def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", decode: bool = True, scores: bytes | None = None) -> DataFrame:
     """(id_col, ids, n_ids, decoded): ids as little-endian unsigned 16-bit numbers; decoded is the text of the ids (null if not asked for)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = codec(path, scores)
         for b in batches:
             for lo, hi, buf, offsets in _text.blocks(b.column(1)):
                 ids, first = c.encode(buf, offsets)

@@ -29,7 +29,8 @@ def op2_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = piece_viterbi.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    out = piece_viterbi.encoded(docs, path, scores=piece_viterbi.fit(docs, path))
     return out.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), F.length("decoded").cast("bigint").alias("decoded_chars"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

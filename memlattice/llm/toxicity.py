@@ -91,20 +91,24 @@ def _discounted(n: np.ndarray) -> tuple[np.ndarray, float]:
 
 def _contexts(column: pa.Array) -> tuple[np.ndarray, ...]:
     """The distinct (word two before, word before, word) of all texts, as hashes; copies of a text add nothing."""
-    parts = []
+    parts: list[list[np.ndarray]] = [[] for _ in range(5)]
     for _, _, buf, offsets in _text.blocks(column):
         h, stem, first = _words(buf, offsets)
         v, g = _pairs(h, first)
         u = np.zeros_like(v)
         u[1:] = v[:-1]
         u[v == 0] = 0
-        _, at = np.unique(_text.chained(u, g), return_index=True)
-        parts.append((_text.chained(u, g)[at], v[at], h[at], g[at], stem[at]))
-    if not parts:
+        k, at = np.unique(_text.chained(u, g), return_index=True)
+        for held, x in zip(parts, (k, v[at], h[at], g[at], stem[at]), strict=True):
+            held.append(x)
+    if not parts[0]:
         return (np.zeros(0, np.uint64),) * 4
-    k, v, h, g, stem = [np.concatenate([p[i] for p in parts]) for i in range(5)]
-    _, at = np.unique(k, return_index=True)
-    return v[at], h[at], g[at], stem[at]
+    _, at = np.unique(np.concatenate(parts[0]), return_index=True)
+    out = []
+    for i in range(1, 5):  # a column at a time, and what it was made of goes
+        out.append(np.concatenate(parts[i])[at])
+        parts[i].clear()
+    return tuple(out)
 
 
 def _unigrams(counts: list[np.ndarray], shared: list[np.ndarray]) -> tuple[list[np.ndarray], list[float]]:

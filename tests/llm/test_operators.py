@@ -7,6 +7,7 @@ import hashlib
 import html.parser
 import itertools
 import math
+import pathlib
 import random
 import re
 import statistics
@@ -18,6 +19,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -366,10 +368,12 @@ def test_streaming_viterbi():
         assert got + run.finish() == full_viterbi(p, s)
 
 
-def test_pieces_round_trip(spark, documents, odd):
-    p = piece_viterbi.codec(PIECES).pieces
+@pytest.mark.parametrize("fitted", [False, True])
+def test_pieces_round_trip(spark, documents, odd, fitted):
+    scores = piece_viterbi.fit(documents, PIECES) if fitted else None
+    p = piece_viterbi.codec(PIECES, scores).pieces
     for docs in (documents, odd):
-        for d in docs.join(piece_viterbi.encoded(docs.dropDuplicates(["doc_id"]), PIECES), "doc_id").collect():
+        for d in docs.join(piece_viterbi.encoded(docs.dropDuplicates(["doc_id"]), PIECES, scores=scores), "doc_id").collect():
             assert d["decoded"] == (d["text"] or "")
             ids = np.frombuffer(d["ids"], "<u2").tolist()
             assert d["n_ids"] == len(ids)
@@ -378,6 +382,40 @@ def test_pieces_round_trip(spark, documents, odd):
     assert piece_viterbi.encoded(odd.limit(0), PIECES).count() == 0
 
 
+def test_piece_scores(spark, documents):
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = [r["text"] or "" for r in documents.collect()]
+    want = np.bincount([i for t in texts for i in sp.encode(t)], minlength=sp.get_piece_size()) + 0.5
+    got = np.exp(np.frombuffer(piece_viterbi.fit(documents, PIECES), "<f4"))
+    assert got.sum() == pytest.approx(1, abs=1e-4) and np.abs(got - want / want.sum()).sum() < 0.01
+    none = np.frombuffer(piece_viterbi.fit(documents.limit(0), PIECES), "<f4")
+    assert np.ptp(none) == 0
+
+    def borders(pieces, ids):
+        return set(np.cumsum([len(pieces.raw[i]) for i in ids]).tolist())
+
+    shares = []
+    for scores in (None, piece_viterbi.fit(documents, PIECES)):
+        c, both, either = piece_viterbi.codec(PIECES, scores), 0, 0
+        for t in texts:
+            x, y = borders(c.pieces, sp.encode(t)), borders(c.pieces, c.encode(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0].tolist())
+            both, either = both + len(x & y), either + len(x | y)
+        shares.append(both / either)
+    assert shares[1] > 0.8 > shares[0]
+
+
+def test_long_stretches_are_searched_in_portions(monkeypatch):
+    c = piece_viterbi.codec(PIECES)
+    text = "abcthere" * 3_000
+    whole = full_viterbi(c.pieces, text[:2_000])
+    monkeypatch.setattr(piece_viterbi, "PORTION", 100)
+    assert c.search(text[:2_000]) == whole
+    widest = []
+    monkeypatch.setattr(piece_viterbi.StreamingViterbi, "_drop", lambda self, upto, drop=piece_viterbi.StreamingViterbi._drop: (drop(self, upto), widest.append(len(self.text))))
+    c.search(text)
+    assert max(widest) <= 100 + 3 * c.pieces.longest
+
+
 # --- 4 ---
 
 
@@ -398,6 +436,46 @@ def test_lm_scores(spark, sf, documents):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+def plain_attention(m, own):
+    """log10 probability of a text's classes, position by position."""
+    w, total = m.w, 0.0
+    e = w["emb"][[lm_score.CLASSES, *own[:-1]]].astype(float)
+    for t in range(len(own)):
+        low = max(0, t // lm_score.BLOCK * lm_score.BLOCK - lm_score.BLOCK)
+        s = np.array([e[t] @ w["q"] @ (e[j] @ w["k"]) * lm_score.DIM**-0.5 + w["near"][t - j] for j in range(low, t + 1)])
+        a = np.exp(s - s.max())
+        z = (e[t] + (a / a.sum()) @ (e[low : t + 1] @ w["v"]) @ w["o"]) @ w["out"] + w["bias"]
+        total += z[own[t]] - z.max() - np.log(np.exp(z - z.max()).sum())
+    return total / math.log(10)
+
+
+def test_lm_score_by_hand(spark, documents):
+    """A text's score is that of its words' classes by attention, and of each word in its class by counts."""
+    model, vocabulary = lm_score.fit(documents, ~queries.fold(5, 1), BPE)
+    got = {r["doc_id"]: r["score"] for r in rows(lm_score.scored(documents, model, vocabulary))}
+    t = Tokenizer.from_file(BPE)
+    texts = {r["doc_id"]: WORD.findall((r["text"] or "").translate(LOWER)) for r in documents.collect()}
+    first = {w: (t.encode(w, add_special_tokens=False).ids or [0])[0] for ws in texts.values() for w in ws}
+    c = collections.Counter(w for i, ws in texts.items() if not held(i, 5, 1) for w in ws)
+    n = collections.Counter(i for i in c.elements() for i in [first[i]])
+    order = sorted(n, key=lambda i: (-n[i], i))
+    cls = {i: k if k < lm_score.OWN else lm_score.OWN + k % 16 for k, i in enumerate(order)}
+    cls |= {i: lm_score.OWN + i % 16 for i in set(first.values()) - set(cls)}
+    end = lm_score.CLASSES - 1
+    size, kinds = collections.Counter(), collections.Counter()
+    for w, k in c.items():
+        size[cls[first[w]]] += k
+        kinds[cls[first[w]]] += 1
+    size[end], kinds[end] = sum(not held(i, 5, 1) for i in texts), 1
+    for i, ws in texts.items():
+        if len(ws) > 200:
+            continue
+        own = [cls[first[w]] for w in ws] + [end]
+        counts = [c[w] for w in ws] + [size[end]]
+        within = sum(math.log10((k + 0.5) / (size[x] + 0.5 * (kinds[x] + 1))) for k, x in zip(counts, own, strict=True))
+        assert got[i] == pytest.approx(plain_attention(model.attention, own) + within, rel=1e-4)
+
+
 def test_rare_words_are_joined(spark, sf, documents, monkeypatch):
     whole = {r["doc_id"]: r for r in rows(queries.op4_attention_lm(spark, sf))}
     monkeypatch.setattr(lm_score, "HEAD", 500)
@@ -839,6 +917,34 @@ def test_spotsigs_pairs(spark):
 # --- pipeline ---
 
 
+def test_pipeline_filters_decide_by_their_operators(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    ids = lambda df: {r["doc_id"] for r in df.select("doc_id").collect()}
+    every = ids(docs)
+    kept = corpus_pipeline.language_id(spark, docs, sf)
+    told = {r["doc_id"] for r in rows(langid.identify(docs, langid.fit(docs, F.lit(True)))) if not r["lang_rejected"]}
+    assert ids(kept) == told and kept.columns == docs.columns
+    letters = {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")}
+    assert told <= letters and len(told) > 0.99 * len(letters)
+    out = every - ids(corpus_pipeline.toxic(spark, docs, sf))
+    marks = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").collect()}
+    toxic, clean = {i for i, m in marks.items() if m and i in every}, {i for i, m in marks.items() if not m and i in every}
+    assert len(out & toxic) > 0.85 * len(toxic) and len(out & clean) < 0.02 * len(clean)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"), F.lit(True))
+    assert out == {r["doc_id"] for r in rows(toxicity.score(docs, model)) if r["toxic_score"] >= toxicity.THRESHOLD}
+
+
+def test_scratch_tables_go(spark, documents):
+    folder = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.iterdir())
+    minhash.near_duplicates(documents, 2).count()
+    new = {x.name.split("-")[0] for x in set(folder.iterdir()) - before}
+    assert new <= {"signed", "classes", "blocks"}
+
+
 def test_pipeline(spark, sf, odd, documents, tmp_path):
     import corpus_pipeline
 
