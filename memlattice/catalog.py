@@ -21,6 +21,7 @@ SQL: dict[str, str] = {}
 SOFT = schema.soft_limit(schema.CONTEXT)
 PASSAGE = "that the of and this from with"
 SLICE = 600
+REFINED = 200_000  # tokens of a one-shot context when whole documents are refined
 
 
 def query(name: str, sql: str | None = None):
@@ -464,8 +465,8 @@ def _materialise(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
 
 @query("q_refine")
 def q_refine(spark, sf):
-    items = readers.table(spark, sf, "documents").select(F.col("doc_id").alias("memory_idx"), "text")
-    out = search.refine(passages(spark, sf), items, keep=3, passes=schema.RERANK_PASSES, segment_size=200, materialise=_materialise(spark))
+    items = readers.table(spark, sf, "documents").select(F.col("doc_id").alias("memory_idx"), F.col("source").alias("group"), "text")
+    out = search.refine(passages(spark, sf), items, keep=3, passes=schema.RERANK_PASSES, segment_size=200, materialise=_materialise(spark), context=REFINED)
     return out.select("query_id", "rank", F.col("memory_idx").alias("doc_id"), "passes")
 
 

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlattice.functions.text import words
+from memlattice.functions.text import token_estimate, words
 from memlattice.operators.ranks import counted_before, ranked_in_cells
+from memlattice.plans import planner
 
 K1, B = 1.2, 0.75
 
@@ -161,26 +162,47 @@ def distinct_segments(hits: DataFrame, by: list[str]) -> DataFrame:
     return hits.groupBy(*by).agg(F.count_distinct("segment_id").alias("segments"))
 
 
-def refine(queries: DataFrame, items: DataFrame, keep: int, passes: int, segment_size: int, materialise) -> DataFrame:
-    """(query_id, rank, item, passes): rerank passes over ever fewer items.
+def _oneshot(chosen: DataFrame, items: DataFrame, context: int) -> DataFrame:
+    """Memories of a one-shot search for each query: its chosen items in their original order, those of a group led by a header without item.
 
-    In each pass a query's items are dealt over segments of segment_size, in their original order, and
-    ranked within each; the first `keep` of each segment go on to the next pass. A query is done when its
-    items come from one segment. materialise(df) writes a pass so that the next
-    does not repeat it. items: (memory_idx, text).
+    (session_id: the query, segment_id, memory_idx: the place, item, text), planned by `context` tokens.
+    """
+    own = chosen.join(items, "memory_idx").select("query_id", "group", F.col("memory_idx").alias("item"), "text")
+    heads = own.groupBy("query_id", "group").agg(F.min("item").alias("_at")).select("query_id", "group", F.lit(None).cast("bigint").alias("item"), F.concat(F.lit("session "), F.col("group").cast("string")).alias("text"), "_at")
+    places = own.join(heads.select("query_id", "group", "_at"), ["query_id", "group"]).unionByName(heads)
+    order = Window.partitionBy("query_id").orderBy("_at", "group", F.asc_nulls_first("item"))
+    rows = places.select(F.col("query_id").alias("session_id"), (F.row_number().over(order) - 1).cast("bigint").alias("memory_idx"), "item", "text", token_estimate(F.col("text")).alias("tokens"))
+    return planner.member_rows(rows, context=context, oneshot=True)
+
+
+def refine(queries: DataFrame, items: DataFrame, keep: int, passes: int, segment_size: int, materialise, context: int) -> DataFrame:
+    """(query_id, rank, item, passes): a first ranking, refined by one-shot searches over ever fewer items.
+
+    First, items lie in segments of segment_size in their original order, and the best `keep` of each are a query's ranking.
+    While that comes from several segments, its items, with a header for each of their groups, are planned anew by tokens and
+    searched once more: of each segment as many hits are taken as there are headers, and `keep` more; headers are then dropped.
+    A query is done when its hits come from one segment, after `passes` passes, or when a pass would get the items of an
+    earlier one. The last pass's order leads; what only the first ranking has follows. materialise(df) writes a pass so that
+    the next does not repeat it. items: (memory_idx, group, text).
     """
     pool = items.withColumn("segment_id", F.expr(f"cast(memory_idx div {segment_size} as int)")).withColumn("session_id", F.lit(0).cast("bigint"))
-    scored, done = bm25(queries, pool), None
+    best = limited(ranked(bm25(queries, pool), ["query_id", "session_id", "segment_id"]), keep)
+    first = materialise(merged(best, ["query_id"]).select("query_id", "rank", "memory_idx", "segment_id"))
+    current, last, seen = first, first.limit(0).withColumn("passes", F.lit(0).cast("bigint")), None
     for n in range(1, passes + 1):
-        hits = materialise(merged(limited(ranked(scored, ["query_id", "session_id", "segment_id"]), keep), ["query_id"]))
-        many = distinct_segments(hits, ["query_id"])
-        ends = F.lit(True) if n == passes else F.col("segments") <= 1
-        ended = hits.join(many.where(ends).select("query_id"), "query_id", "left_semi").select("query_id", "rank", "memory_idx", F.lit(n).cast("bigint").alias("passes"))
-        done = ended if done is None else done.unionByName(ended)
-        left = hits.join(many.where("segments > 1").select("query_id"), "query_id", "left_semi").select("query_id", "memory_idx")
-        if n == passes or left.isEmpty():
-            return done
-        place = (F.row_number().over(Window.partitionBy("query_id").orderBy("memory_idx")) - 1) / segment_size
-        own = left.join(items, "memory_idx").withColumn("segment_id", place.cast("int")).withColumn("session_id", F.col("query_id"))
-        scored = bm25(queries, own, own=True)  # a session for each query
-    return done
+        sets = current.groupBy("query_id").agg(F.count_distinct("segment_id").alias("_segments"), F.sort_array(F.collect_set("memory_idx")).alias("_set"))
+        sets = sets.where("_segments > 1").select("query_id", F.sha1(F.array_join(F.transform("_set", lambda i: i.cast("string")), ",")).alias("_set"))
+        sets = materialise(sets if seen is None else sets.join(seen, ["query_id", "_set"], "left_anti"))
+        if sets.isEmpty():
+            break
+        seen = sets if seen is None else seen.unionByName(sets)
+        own = materialise(_oneshot(current.join(sets, "query_id", "left_semi").select("query_id", "memory_idx"), items, context))
+        take = own.groupBy(F.col("session_id").alias("query_id")).agg(F.least(F.count("*"), F.count_if(F.col("item").isNull()) + keep).alias("_take"))
+        order = ranked(bm25(queries, own, own=True), ["query_id", "segment_id"]).join(take, "query_id")
+        hits = limited(order, F.col("_take")).join(own.select(F.col("session_id").alias("query_id"), "memory_idx", "item"), ["query_id", "memory_idx"]).where(F.col("item").isNotNull())
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy("segment_id", "seg_rank"))
+        current = materialise(hits.select("query_id", place.cast("bigint").alias("rank"), F.col("item").alias("memory_idx"), "segment_id"))
+        last = last.join(sets, "query_id", "left_anti").unionByName(current.withColumn("passes", F.lit(n).cast("bigint")))
+    made = last.groupBy("query_id").agg(F.max("passes").alias("passes"))
+    out = union_in_order(last, first, ["query_id"], "memory_idx").join(made, "query_id", "left")
+    return out.select("query_id", "rank", "memory_idx", F.coalesce("passes", F.lit(0)).cast("bigint").alias("passes"))
