@@ -1,6 +1,6 @@
 """Language identification: averaged hashed subword embeddings under a linear softmax.
 
-Subwords are the byte n-grams (2 to 5) of each word with a blank at either side, A-Z in lower case, hashed
+Subwords are the byte n-grams (of SIZES bytes) of each word with a blank at either side, A-Z in lower case, hashed
 into BUCKETS rows. A text is the mean of its subwords' embeddings; a linear softmax over it gives the
 languages. Embeddings and softmax are trained by stochastic gradient descent in numpy. As the softmax is
 linear, the trained model is kept as one vector of language scores for each bucket (at most BUCKETS x
@@ -19,7 +19,7 @@ Every text is scored whole.
 
 Defined cases: a null text, or one without any letter, gives `und` with score 0 and is rejected. With no
 labelled texts at all there is no language to learn, and every text gives `und`. Very long texts are scored
-in blocks. Rows repeated are scored alike.
+in blocks. Rows repeated are scored alike; an empty table gives no rows; columns of the input keep their names and values.
 """
 
 from __future__ import annotations

@@ -210,6 +210,7 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "t
     return docs.select(id_col, text).mapInArrow(run, f"id {kind}, part long, n long, full_before long, rank long, tail_before long, ids binary")
 
 
+GROUP = 1_000
 PARTS = 10_000  # rows of offsets (of about 600 bytes) up to which they are sent to the executors; beyond, they are joined
 
 
@@ -217,20 +218,20 @@ def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text
     """(id_col, start, length, doc_tokens, sequence_id, offset, ids): ids of the piece, as little-endian unsigned 32-bit numbers."""
     spark, cells = docs.sparkSession, window // grain
     kind = docs.schema[id_col].dataType.simpleString()
-    spark_codec = spark.conf.get("spark.sql.parquet.compression.codec")
-    spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
-    try:
-        rows = written(tokenized(docs, path, id_col, text, window, grain, end), "tokens")
-    finally:
-        spark.conf.set("spark.sql.parquet.compression.codec", spark_codec)
+    rows = written(tokenized(docs, path, id_col, text, window, grain, end), "tokens", "zstd")
     rest = F.col("n") % window
     measure = {"full": F.expr(f"n div {window}"), "tails": rest % grain} | {f"k{i}": (F.floor(rest / grain) == i).cast("long") for i in range(cells)}
     parts = written(rows.groupBy("part").agg(*[F.sum(c).alias(k) for k, c in measure.items()]), "parts")
     total = parts.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in measure]).first()
     plan = plan_for(np.array([total[f"k{i}"] for i in range(cells)], np.int64), total["full"], total["tails"], window, grain)
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task that read the input
-    shift = lambda k: F.coalesce(F.sum(k).over(before), F.lit(0))
-    offsets = parts.select("part", shift("full").alias("_full"), shift("tails").alias("_tails"), F.array(*[shift(f"k{i}") for i in range(cells)]).alias("_ranks"))
+    # A row for each task that read the input: summed within groups of them, and over the groups.
+    grouped = parts.withColumn("_group", F.expr(f"part div {GROUP}"))
+    within, over = Window.partitionBy("_group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    sums = grouped.groupBy("_group").agg(*[F.sum(k).alias(k) for k in measure])
+    sums = sums.select("_group", *[F.coalesce(F.sum(k).over(over), F.lit(0)).alias(f"_{k}") for k in measure])
+    shifted = grouped.select("part", "_group", *[F.coalesce(F.sum(k).over(within), F.lit(0)).alias(k) for k in measure]).join(sums, "_group")
+    shift = lambda k: F.col(k) + F.col(f"_{k}")
+    offsets = shifted.select("part", shift("full").alias("_full"), shift("tails").alias("_tails"), F.array(*[shift(f"k{i}") for i in range(cells)]).alias("_ranks"))
     offsets = F.broadcast(offsets) if parts.count() <= PARTS else offsets
     placed = rows.join(offsets, "part").select(
         "id", "n", (F.col("full_before") + F.col("_full")).alias("full_before"),

@@ -631,6 +631,37 @@ def test_language(spark, sf, documents, odd):
     assert langid.identify(odd.limit(0), None).count() == 0
 
 
+def plain_language(model, text):
+    folded = b" " + bytes(int(langid._FOLD[b]) for b in text.encode()) + b" "
+    total, support, n = np.zeros(len(model.languages)), 0.0, 0
+    for size in langid.SIZES:
+        for i in range(len(folded) - size + 1):
+            g = folded[i : i + size]
+            if b" " in g[1:-1] or g == b"  ":
+                continue
+            h = g[0]
+            for b in g[1:]:
+                h = h * 0x01000193 % 2**32 ^ b
+            bucket = (h ^ size * 0x9E3779B1 % 2**32) * 0x85EBCA6B % 2**32 >> 32 - langid.BITS
+            total, support, n = total + model.scores[bucket], support + model.support[bucket], n + 1
+    z = (total / max(n, 1) + model.bias) / model.temperature
+    p = np.exp(z - z.max())
+    p /= p.sum()
+    best = int(p.argmax())
+    return model.languages[best], p[best], bool(p[best] < model.threshold or support / max(n, 1) < model.least)
+
+
+def test_language_by_hand(spark, documents, odd):
+    model = langid.fit(documents, F.lit(True))
+    for docs in (documents, odd.where("length(text) < 1000")):
+        for r in rows(langid.identify(docs, model)):
+            if any(c.isalpha() for c in r["text"] or "") and len(r["text"]) < 3_000:
+                lang, score, rejected = plain_language(model, r["text"])
+                assert r["lang_pred"] == lang and r["lang_score"] == pytest.approx(score, rel=1e-4) and r["lang_rejected"] == rejected
+    seven = langid.fit(documents.repartition(7), F.lit(True))
+    assert np.array_equal(model.scores, seven.scores) and (model.threshold, model.least) == (seven.threshold, seven.least)
+
+
 def test_rare_languages_are_drawn_and_copies_are_not(spark):
     copies = [("copied text", "xx")] * 3_000
     docs = spark.createDataFrame(copies + [(f"many words {i}", "en") for i in range(3_000)] + [(f"few {i}", "qq") for i in range(3)], "text string, lang string")
