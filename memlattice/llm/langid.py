@@ -64,9 +64,11 @@ class Model:
 
 
 def subwords(buf: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each n: buckets of the n-grams, and where each text's begin. An n-gram lies in one text and holds a blank only at its ends."""
-    folded = np.full(len(buf) + 2, 32, np.uint8)
-    folded[1:-1] = _FOLD[buf]
+    """For each n: buckets of the n-grams, and where each text's begin. A blank stands before and behind every text; an n-gram holds one only at its ends, so it lies in one text."""
+    texts = len(offsets) - 1
+    folded = np.full(len(buf) + texts + 1, 32, np.uint8)
+    folded[np.arange(1, len(buf) + 1) + np.repeat(np.arange(texts), np.diff(offsets))] = _FOLD[buf]
+    begin = offsets + np.arange(texts + 1)  # the blank before each text
     blank = folded == 32
     run = folded.astype(np.uint32)
     inside = np.ones(len(folded), bool)
@@ -75,19 +77,11 @@ def subwords(buf: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
         if m <= 0:
             return
         run = run[:m] * np.uint32(0x01000193) ^ folded[n - 1 :].astype(np.uint32)
-        if n > 2:
-            inside = inside[:m] & ~blank[n - 2 : n - 2 + m]  # the byte before the last
-        ok = inside[:m].copy()
-        if n == 2:
-            ok &= ~(blank[:m] & blank[1 : 1 + m])
-        cut = offsets[1:-1]
-        for k in range(2, n + 1):  # those across a cut, which have 2 or more bytes on either side of it, or one
-            at = cut + 1 - (k - 1)
-            ok[at[(at >= 0) & (at < m)]] = False
+        inside = inside[:m] & (~blank[n - 2 : n - 2 + m] if n > 2 else ~(blank[:m] & blank[1 : 1 + m]))  # the byte before the last
         if n in SIZES:
-            at = np.flatnonzero(ok)
+            at = np.flatnonzero(inside)
             h = (run[at] ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
-            yield h >> np.uint32(32 - BITS), np.searchsorted(at, np.concatenate([[0], offsets[1:]]))
+            yield h >> np.uint32(32 - BITS), np.searchsorted(at, begin)
 
 
 def _logits(model: Model, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
