@@ -706,6 +706,39 @@ def q_usage_totals(spark, sf):
     return usage.totals(usage_log(spark, sf), ["user_id"], "tokens", "event_id")
 
 
+_NESTED = f"""CASE event_id % 5 WHEN 0 THEN '{{"type":"assistant","message":{{"id":"m","usage":{{"input_tokens":' || {_TOKENS} || ',"output_tokens":3,"cache_read_input_tokens":2}}}}}}'
+  WHEN 1 THEN '{{"usage":{{"prompt_tokens":' || {_TOKENS} || ',"completion_tokens":2}}}}' WHEN 2 THEN '{{"result":{{"content":[{{"usage":{{"input_tokens":1}}}},{{"usage":"none"}}]}}}}'
+  WHEN 3 THEN CASE WHEN user_id % 2 = 0 THEN '{{"usage":{{"total_tokens":' || {_TOKENS} || '}}}}' ELSE '{{"usage":{{"output_tokens":5,"usage":{{"input_tokens":7}}}}}}' END ELSE '{{"text":"usage"}}' END"""
+
+
+@query("q_usage_nested", f"""WITH u AS (SELECT user_id, unnest(json_extract({_NESTED}, '$..usage')) AS u FROM events),
+n AS (SELECT user_id, CAST(json_extract_string(u, '$.input_tokens') AS BIGINT) AS i, CAST(json_extract_string(u, '$.output_tokens') AS BIGINT) AS o, CAST(json_extract_string(u, '$.prompt_tokens') AS BIGINT) AS p,
+  CAST(json_extract_string(u, '$.completion_tokens') AS BIGINT) AS c, CAST(json_extract_string(u, '$.total_tokens') AS BIGINT) AS t, CAST(json_extract_string(u, '$.cache_read_input_tokens') AS BIGINT) AS r FROM u WHERE json_type(u) = 'OBJECT')
+SELECT user_id, CAST(sum(coalesce(i, p)) AS BIGINT) AS input_tokens, CAST(sum(coalesce(o, c)) AS BIGINT) AS output_tokens,
+  CAST(CASE WHEN count(t) > 0 THEN sum(t) ELSE coalesce(sum(coalesce(i, p)), 0) + coalesce(sum(coalesce(o, c)), 0) + coalesce(sum(r), 0) END AS BIGINT) AS total_reported_tokens FROM n GROUP BY user_id""")
+def q_usage_nested(spark, sf):
+    rows = readers.table(spark, sf, "events").select("user_id", F.expr(_NESTED).alias("body"))
+    return usage.nested_totals(rows, ["user_id"]).select("user_id", "input_tokens", "output_tokens", "total_reported_tokens")
+
+
+@query("q_context_text", """WITH m AS (SELECT conv_id, turn, turn // 3 AS s, role || ': ' || text AS text FROM conversations)
+SELECT conv_id, string_agg(block, chr(10) || chr(10) ORDER BY s) AS context FROM (SELECT conv_id, s, 'part ' || s || chr(10) || string_agg(text, chr(10) ORDER BY turn) AS block FROM m WHERE turn % 4 < 2 GROUP BY conv_id, s) GROUP BY conv_id""")
+def q_context_text(spark, sf):
+    t = readers.table(spark, sf, "conversations")
+    part = F.expr("turn div 3")
+    m = t.select("conv_id", "turn", part.alias("part"), F.concat(F.lit("part "), part.cast("string")).alias("head"), F.concat("conv_id", F.lit("_"), F.col("turn").cast("string")).alias("id"), text.memory_text(F.col("role"), F.col("text")).alias("text"))
+    return readers.context_text(m, m.where("turn % 4 < 2"), ["conv_id"], "turn", "part", "head")
+
+
+@query("q_header_changes", """WITH m AS (SELECT conv_id, turn, (turn // 2) % 2 AS s, text FROM conversations), o AS (SELECT *, lag(s) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM m),
+r AS (SELECT conv_id, turn, true AS is_header, 'part ' || s AS text FROM o WHERE b IS NULL OR b <> s UNION ALL SELECT conv_id, turn, false, text FROM m)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, is_header DESC) - 1 AS pos, is_header, text FROM r""")
+def q_header_changes(spark, sf):
+    part = F.expr("(turn div 2) % 2")
+    m = readers.table(spark, sf, "conversations").select("conv_id", "turn", part.alias("part"), F.concat(F.lit("part "), part.cast("string")).alias("head"), "text")
+    return readers.with_headers(m, ["conv_id"], "turn", "part", "head")
+
+
 @query("q_subagent_tokens", f"SELECT parent, CAST(sum(t) AS BIGINT) AS tokens FROM (SELECT user_id AS parent, event_type, arg_max({_TOKENS}, event_id) AS t FROM events GROUP BY user_id, event_type) GROUP BY parent")
 def q_subagent_tokens(spark, sf):
     return usage.subagent_tokens(usage_log(spark, sf).select(F.col("user_id").alias("parent"), F.col("event_type").alias("message_id"), F.col("event_id").alias("seq"), "tokens"))

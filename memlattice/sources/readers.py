@@ -87,6 +87,30 @@ def conversation_memories(turns: DataFrame) -> DataFrame:
     return both.select("session_id", idx.cast("bigint").alias("memory_idx"), "id", "text")
 
 
+def with_headers(messages: DataFrame, by: list[str], position: str, session: str, header: str) -> DataFrame:
+    """(by, pos, is_header, text): a header before each run of messages of one session, also where a session comes back; pos from 0. messages: by, position, session, header, text."""
+    w = Window.partitionBy(*by).orderBy(position)
+    before = F.lag(F.struct(session)).over(w)
+    opens = messages.withColumn("_opens", before.isNull() | ~before[session].eqNullSafe(F.col(session)))
+    heads = opens.where("_opens").select(*by, F.col(position).alias("_p"), F.lit(True).alias("is_header"), F.col(header).alias("text"))
+    both = heads.unionByName(opens.select(*by, F.col(position).alias("_p"), F.lit(False).alias("is_header"), "text"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("_p", F.desc("is_header"))) - 1
+    return both.select(*by, place.cast("bigint").alias("pos"), "is_header", "text")
+
+
+def context_text(messages: DataFrame, selected: DataFrame, by: list[str], position: str, session: str, header: str, item: str = "id") -> DataFrame:
+    """(by, context): the selected messages in their order, a block for each run of one session, led by its header. selected: by, item."""
+    w = Window.partitionBy(*by).orderBy(position)
+    before = F.lag(F.struct(session)).over(w)
+    runs = messages.withColumn("_run", F.sum(F.when(before.isNull() | ~before[session].eqNullSafe(F.col(session)), 1).otherwise(0)).over(w))
+    chosen = runs.join(selected.select(*by, item).distinct(), [*by, item], "left_semi")
+    lines = lambda order, text: F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda x: x["t"])
+    heads = runs.groupBy(*by, "_run").agg(F.min_by(header, position).alias("_head"))
+    blocks = chosen.groupBy(*by, "_run").agg(F.array_join(lines(position, "text"), "\n").alias("_body")).join(heads, [*by, "_run"])
+    blocks = blocks.withColumn("_block", F.concat_ws("\n", "_head", "_body"))
+    return blocks.groupBy(*by).agg(F.array_join(lines("_run", "_block"), "\n\n").alias("context"))
+
+
 def haystack(entries: DataFrame) -> DataFrame:
     """(question_id, session_pos, turn_pos, id, text) of evaluation entries with sessions of turns, headers first (turn_pos -1)."""
     s = entries.select("question_id", F.posexplode(F.arrays_zip("haystack_session_ids", "haystack_dates", "haystack_sessions")).alias("session_pos", "s"))

@@ -299,5 +299,25 @@ def test_usage(spark):
     assert (u["input_tokens"], u["total_tokens"]) == (3, 7)
 
 
+def test_agent_tokens(spark):
+    say = lambda parent, mid, n: {"parent_tool_use_id": parent, "message": {"id": mid, "role": "assistant", "content": [], "usage": {"input_tokens": n, "output_tokens": 1, "other": 9}}}
+    back = lambda *ids, n: {"message": {"role": "user", "content": [{"type": "tool_result", "tool_use_id": i} for i in ids]}, "tool_use_result": {"totalTokens": n}}
+    call = lambda i, name, parent=None: {"parent_tool_use_id": parent, "message": {"id": "c", "role": "assistant", "content": [{"type": "tool_use", "name": name, "id": i}]}}
+    logs = {
+        "new": [{"type": "system", "subtype": "task_started", "tool_use_id": "t1"}, {"type": "system", "subtype": "task_started", "task_id": "t2"}, call("t9", "Task"), say("t1", "m", 5), say("t1", "m", 7), say("t2", "m", 1), say("t9", "m", 100), back("t1", "t2", n=20), back("t9", n=50)],
+        "old": [call("a", "Agent"), call("b", "Read"), call("c", "Task", "a"), say("a", "m1", 2), say("a", None, 3), say("c", "m1", 50), back("a", n=4), back("b", n=40)],
+        "none": [say(None, "m", 5)],
+    }
+    rows = [(s, i, json.dumps(e)) for s, es in logs.items() for i, e in enumerate(es)] + [("none", 9, "not json")]
+    got = {r["sample"]: r["tokens"] for r in usage.agent_tokens(spark.createDataFrame(rows, "sample string, seq int, body string"), "sample", "seq").collect()}
+    assert got == {"new": 8 + 2 + 20, "old": 3 + 4 + 4, "none": 0}
+
+
+def test_nested_usage(spark):
+    bodies = ['{"usage":{"input_tokens":1,"usage":{"completion_tokens":2.9}},"a":[{"usage":{"prompt_tokens":4,"input_tokens":3}}]}', "broken", None, '{"usage":[{"usage":{"output_tokens":true}}]}']
+    got = usage.nested_totals(spark.createDataFrame([("k", b) for b in bodies], "k string, body string"), ["k"]).first()
+    assert (got["input_tokens"], got["output_tokens"], got["prompt_tokens"], got["total_tokens"], got["total_reported_tokens"]) == (4, 2, 4, None, 6)
+
+
 def test_limits():
     assert schema.soft_limit(700) == 595 and schema.soft_limit(1) == 1
