@@ -158,6 +158,19 @@ def q_parse_requests(spark, sf):
     return requests.validated(rows, "search").select("event_id", "ok", "code", "field")
 
 
+_MEMORY = """CASE event_id % 9 WHEN 0 THEN '{"text":"x","id":"' || event_id || '"}' WHEN 1 THEN '{"text":"x","id":null}' WHEN 2 THEN '{"id":"a"}' WHEN 3 THEN '{"text":7}' WHEN 4 THEN '{"text":"x","id":true}'
+  WHEN 5 THEN '{"text":"x","kind":1}' WHEN 6 THEN '{"text":"x","id":"' || repeat('i', CAST(4000 + event_id % 200 AS INT)) || '"}' WHEN 7 THEN '[]' ELSE '{"text":null}' END"""
+
+
+@query("q_parse_add_memory", f"""SELECT event_id, field IS NULL AS ok, CASE WHEN field IS NOT NULL THEN 'INVALID_REQUEST' END AS code, field FROM (
+SELECT event_id, CASE WHEN json_type(body) <> 'OBJECT' THEN 'body' WHEN len([k for k in json_keys(body) if k NOT IN ('id', 'text')]) > 0 THEN [k for k in json_keys(body) if k NOT IN ('id', 'text')][1]
+  WHEN json_type(body, '$.text') IS NULL OR json_type(body, '$.text') <> 'VARCHAR' THEN 'text' WHEN json_type(body, '$.id') NOT IN ('VARCHAR', 'NULL') THEN 'id'
+  WHEN strlen(json_extract_string(body, '$.id')) > 4096 THEN 'id' END AS field FROM (SELECT event_id, {_MEMORY} AS body FROM events))""")
+def q_parse_add_memory(spark, sf):
+    rows = readers.table(spark, sf, "events").select("event_id", F.expr(_MEMORY).alias("body"))
+    return requests.validated(rows, "add-memory").select("event_id", "ok", "code", "field")
+
+
 @query("q_byte_limits", "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, strlen(text) <= 4096 AS within, length(text) <= 4096 AS within_chars FROM documents")
 def q_byte_limits(spark, sf):
     d = readers.table(spark, sf, "documents")
@@ -683,11 +696,15 @@ def q_parse_sizes(spark, sf):
     return _literals(spark, "text", SIZES).select("text", text.size_bytes(F.col("text")).cast("bigint").alias("bytes"))
 
 
-_TAGGED = "CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN 'So <Answer> ' || text || ' </ANSWER> <answer>no</answer>' WHEN 2 THEN 'Let me ' || text ELSE '' END"
+_STARTS, _PARTS = text.PROCEDURAL_STARTS, text.PROCEDURAL_PARTS
+_QUOTED = [p.replace("'", "''") for p in (*_STARTS, *_PARTS)]
+_SAID = "CASE conv_id % " + str(2 * len(_QUOTED)) + " " + " ".join(f"WHEN {i} THEN '{p.upper()}' || text WHEN {i + len(_QUOTED)} THEN 'so {p}'" for i, p in enumerate(_QUOTED)) + " END"
+_TAGGED = f"CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN 'So <Answer> ' || text || ' </ANSWER> <answer>no</answer>' WHEN 2 THEN {_SAID} ELSE '' END"
+_PROCEDURAL = " OR ".join([f"starts_with(s, '{p}')" for p in _QUOTED[: len(_STARTS)]] + [f"contains(s, '{p}')" for p in _QUOTED[len(_STARTS) :]])
 
 
 @query("q_answer_extract", f"""SELECT conv_id, turn, CASE WHEN regexp_matches(t, '(?is)<answer>.*?</answer>') THEN trim(regexp_extract(t, '(?is)<answer>(.*?)</answer>', 1)) END AS answer,
- s = '' OR (length(s) <= 800 AND (starts_with(s, 'let me ') OR contains(s, 'look at the '))) AS procedural
+ s = '' OR (length(s) <= 800 AND ({_PROCEDURAL})) AS procedural
 FROM (SELECT conv_id, turn, t, lower(trim(regexp_replace(t, '\\s+', ' ', 'g'))) AS s FROM (SELECT conv_id, turn, {_TAGGED} AS t FROM conversations))""")
 def q_answer_extract(spark, sf):
     t = readers.table(spark, sf, "conversations").select("conv_id", "turn", F.expr(_TAGGED).alias("t"))

@@ -49,7 +49,15 @@ def _rules(command: str, body: Column) -> list[tuple[Column, str, Column]]:
     if command == "oneshot-search":
         rules += _string(body, "system", MAX_TEXT_BYTES, False)
         entry = F.from_json(F.get_json_object(body, "$.memories"), "array<string>")
-        bad = lambda m: F.json_object_keys(m).isNull() | (F.size(F.array_except(F.json_object_keys(m), F.array(F.lit("id"), F.lit("text")))) > 0) | ~F.coalesce(F.array_contains(F.json_object_keys(m), "text"), F.lit(False))
+
+        def bad(m: Column) -> Column:
+            """A memory is an object of a text and perhaps an id, both of the kinds and lengths that add-memory takes."""
+            told = lambda f: F.try_variant_get(F.try_parse_json(m), f"$['{f}']", "string")
+            strange = (F.size(F.array_except(F.json_object_keys(m), F.array(F.lit("id"), F.lit("text")))) > 0) | ~_has(m, "text")
+            text = (_kind(m, "text") != "STRING") | (F.octet_length(told("text")) > MAX_TEXT_BYTES)
+            name = _has(m, "id") & (~_kind(m, "id").isin("STRING", "VOID") | F.coalesce(F.octet_length(told("id")) > MAX_ID_BYTES, F.lit(False)))
+            return F.json_object_keys(m).isNull() | strange | text | name
+
         first = F.array_position(F.transform(entry, lambda m: F.coalesce(bad(m), F.lit(True))), F.lit(True))
         rules += [
             (~F.coalesce(F.startswith(_kind(body, "memories"), F.lit("ARRAY")), F.lit(False)), "must be an array", F.lit("memories")), (F.size(entry) == 0, "requires a memory", F.lit("memories")),

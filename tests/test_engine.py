@@ -235,7 +235,7 @@ def test_requests(spark):
         "add-memory": [('{"id":"e","text":"m"}', True), ('{"id":null,"text":"m"}', True), ('{"text":"m","metadata":1}', False), (json.dumps({"text": "m", "id": "x" * 4097}), False), ('{"id":"a"}', False), ("", False)],
         "create-session": [("{}", True), ('{"kv_persist":true}', True), ('{"kv-persist":true}', True), ('{"kv_persist":"yes"}', False), ('{"kv_persist":true,"kv-persist":true}', False)],
         "search": [('{"query":"q","top_k":0}', True), ('{"query":"q","top_k":2147483648}', False), ('{"query":"q","top_k":1.5}', False), ("[]", False)],
-        "oneshot-search": [('{"query":"q","memories":[{"text":"a"},{"id":"b","text":"c"}]}', True), ('{"query":"q","memories":{}}', False), ('{"query":"q","memories":["x"]}', False), ('{"query":"q","memories":[{"text":"a","file":"f"}]}', False)],
+        "oneshot-search": [('{"query":"q","memories":[{"text":"a"},{"id":"b","text":"c"}]}', True), ('{"query":"q","memories":{}}', False), ('{"query":"q","memories":["x"]}', False), ('{"query":"q","memories":[{"text":"a","file":"f"}]}', False), ('{"query":"q","memories":[{"text":7}]}', False), ('{"query":"q","memories":[{"text":"a","id":7}]}', False), ('{"query":"q","memories":[{"text":"a","id":null}]}', True), (json.dumps({"query": "q", "memories": [{"text": "a", "id": "x" * 4097}]}), False), ('{"query":"q","memories":[]}', False), ('{"query":"q","memories":[{"text":"a"}],"system":7}', False)],
     }
     for command, bodies in cases.items():
         df = spark.createDataFrame([(i, b) for i, (b, _) in enumerate(bodies)], "i int, body string")
