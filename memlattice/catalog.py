@@ -553,6 +553,22 @@ def q_session_rank(spark, sf):
     return metrics.parent_ranks(ranking(spark, sf).join(sources, "doc_id"), "source").select("query_id", "rank", F.col("source").alias("session_id"))
 
 
+@query("q_session_eval", _RANKING + f""", f AS (SELECT query_id, source, min(rank) AS first FROM ranking JOIN documents USING (doc_id) GROUP BY ALL),
+sr AS (SELECT query_id, source, row_number() OVER (PARTITION BY query_id ORDER BY first, source) AS rank FROM f), sg AS (SELECT DISTINCT query_id, source FROM gold JOIN documents USING (doc_id)),
+sn AS (SELECT query_id, count(*) AS g FROM sg GROUP BY query_id), sh AS (SELECT query_id, sr.rank FROM sr JOIN sg USING (query_id, source)),
+sk AS (SELECT ks.query_id, CAST(ks.k AS BIGINT) AS k, coalesce(any_value(sn.g), 0) AS g, count(sh.rank) AS h, coalesce(sum(CASE WHEN sh.rank = 1 THEN 1.0 ELSE 1 / log2(sh.rank) END), 0) AS a
+  FROM ks LEFT JOIN sn USING (query_id) LEFT JOIN sh ON sh.query_id = ks.query_id AND sh.rank <= ks.k GROUP BY ks.query_id, ks.k)
+SELECT query_id, k, CASE WHEN h > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS recall_any, CASE WHEN g > 0 AND h = g THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS recall_all,
+  CASE WHEN g = 0 THEN 0.0::DOUBLE ELSE round(CAST(a / {_IDEAL_A} AS DOUBLE), 6) END AS ndcg FROM sk""")
+def q_session_eval(spark, sf):
+    """Recall and gain of sessions (sources): each counts where its first document is ranked, and is right if it holds a right document."""
+    sources = readers.table(spark, sf, "documents").select("doc_id", "source")
+    asked = passages(spark, sf)
+    order = metrics.parent_ranks(ranking(spark, sf).join(sources, "doc_id"), "source")
+    right = gold(spark, sf).join(sources, "doc_id").select("query_id", "source").distinct()
+    return metrics.recall(asked, order, right, "source").join(metrics.ndcg(asked, order, right, "source", "a"), ["query_id", "k"])
+
+
 @query("q_full_permutation", f"""WITH qs AS (SELECT min(item_id) AS query_id, arg_min(text, item_id) AS query FROM benchmark), rows_ AS (SELECT 'all' AS session_id, 'all' AS segment_id, doc_id AS memory_idx, text FROM documents), {bm25_cte('rows_')},
 r AS (SELECT memory_idx AS doc_id, row_number() OVER (ORDER BY score DESC, memory_idx) AS rank FROM sc),
 u AS (SELECT doc_id, 0 AS t, rank AS p FROM r UNION ALL SELECT doc_id, 1, doc_id FROM documents ANTI JOIN r USING (doc_id))
