@@ -680,6 +680,16 @@ def q_code_search(spark, sf):
     return files.join(ranges, ["query_id", "doc_id"]).select("query_id", "rank", "doc_id", "ranges")
 
 
+@query("q_chunk_locations", _BLOCK_HITS + " SELECT query_id, rank, doc_id, start_line, end_line FROM hits")
+def q_chunk_locations(spark, sf):
+    """Hits that carry only a chunk's id, some of an unknown one, with the lines of their chunk."""
+    place = text.chunk_id(F.col("doc_id").cast("string"), F.col("start_line"), F.col("end_line")).alias("chunk_id")
+    hits = block_hits(spark, sf).select("query_id", "rank", place)
+    hits = hits.unionByName(hits.where("rank = 1").withColumn("chunk_id", F.concat(F.lit("gone-"), "chunk_id")))
+    chunks = chunker.blocks(spaced(spark, sf), "nearest").select(place, "doc_id", "start_line", "end_line")
+    return fusion.located(hits, chunks).select("query_id", "rank", "doc_id", "start_line", "end_line")
+
+
 @query("q_reciprocal_score", _BLOCK_HITS + " SELECT query_id, doc_id AS id, rank, round(1.0::DOUBLE / (rank + 1), 6) AS score FROM hits WHERE doc_id IS NOT NULL")
 def q_reciprocal_score(spark, sf):
     return block_hits(spark, sf).where(F.col("doc_id").isNotNull()).select("query_id", F.col("doc_id").alias("id"), "rank", F.round(fusion.reciprocal(F.col("rank")), 6).alias("score"))
@@ -744,6 +754,11 @@ _NESTED = f"""CASE event_id % 5 WHEN 0 THEN '{{"type":"assistant","message":{{"i
   WHEN 3 THEN CASE WHEN user_id % 2 = 0 THEN '{{"usage":{{"total_tokens":' || {_TOKENS} || '}}}}' ELSE '{{"usage":{{"output_tokens":5,"usage":{{"input_tokens":7}}}}}}' END ELSE '{{"text":"usage"}}' END"""
 
 
+@query("q_usage_overall", f"SELECT count(*) AS samples, CAST(sum(n) AS BIGINT) AS events, CAST(sum(t) AS BIGINT) AS total FROM (SELECT user_id, count(*) AS n, sum({_TOKENS}) AS t FROM events GROUP BY user_id)")
+def q_usage_overall(spark, sf):
+    return usage.overall(usage.totals(usage_log(spark, sf), ["user_id"], "tokens", "event_id"), ["events", "total"])
+
+
 @query("q_usage_nested", f"""WITH u AS (SELECT user_id, unnest(json_extract({_NESTED}, '$..usage')) AS u FROM events),
 n AS (SELECT user_id, CAST(json_extract_string(u, '$.input_tokens') AS BIGINT) AS i, CAST(json_extract_string(u, '$.output_tokens') AS BIGINT) AS o, CAST(json_extract_string(u, '$.prompt_tokens') AS BIGINT) AS p,
   CAST(json_extract_string(u, '$.completion_tokens') AS BIGINT) AS c, CAST(json_extract_string(u, '$.total_tokens') AS BIGINT) AS t, CAST(json_extract_string(u, '$.cache_read_input_tokens') AS BIGINT) AS r FROM u WHERE json_type(u) = 'OBJECT')

@@ -133,6 +133,11 @@ def first_present(*columns: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])
 
 
+def int_id(x: Column) -> Column:
+    """The integer that a text is; null for other texts, whose rows are dropped."""
+    return F.btrim(x).try_cast("int")
+
+
 def short_sha(x: Column, digits: int) -> Column:
     return F.substring(F.sha1(x), 1, digits)
 

@@ -41,6 +41,11 @@ def ranges_as_text(ranges: DataFrame, by: list[str]) -> DataFrame:
     return folded.select(*by, range_text(F.col("r")).alias("ranges"))
 
 
+def located(hits: DataFrame, chunks: DataFrame, chunk: str = "chunk_id") -> DataFrame:
+    """hits with the location of their chunk; hits of unknown chunks are dropped. chunks: chunk and its location, one row a chunk."""
+    return hits.join(chunks, chunk).drop(chunk)
+
+
 def reciprocal(rank: Column) -> Column:
     return 1 / (rank + 1)
 

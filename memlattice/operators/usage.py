@@ -103,6 +103,11 @@ def totals(rows: DataFrame, by: list[str], value: str, seq: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").cast("bigint").alias("events"), F.sum(value).cast("bigint").alias("total"), F.max_by(value, seq).cast("bigint").alias("last"))
 
 
+def overall(samples: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: the sums of columns over all samples, and their number."""
+    return samples.agg(F.count("*").cast("bigint").alias("samples"), *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in columns])
+
+
 def subagent_tokens(rows: DataFrame) -> DataFrame:
     """(parent, tokens): of each (parent, message) the last value counts. rows: parent, message_id, seq, tokens."""
     last = rows.groupBy("parent", "message_id").agg(F.max_by("tokens", "seq").alias("tokens"))

@@ -19,6 +19,13 @@ def _kind(body: Column, field: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(F.try_parse_json(body), f"$['{field}']", "variant"))
 
 
+def coerced_int(body: Column, field: str) -> Column:
+    """A field as an integer: a number without fraction, or a text of one; null for anything else, booleans too."""
+    kind, told = _kind(body, field), F.try_variant_get(F.try_parse_json(body), f"$['{field}']", "string")
+    whole = (kind == "BIGINT") | ((kind == "STRING") & told.rlike(r"\A\s*[+-]?[0-9]+\s*\z"))
+    return F.when(whole, F.btrim(told).try_cast("bigint"))
+
+
 def _has(body: Column, field: str) -> Column:
     return F.array_contains(F.json_object_keys(body), field)
 

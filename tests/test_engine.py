@@ -11,7 +11,7 @@ from memlattice.commands import CommandError, Engine
 from memlattice.functions import hashing, text
 from memlattice.operators import chunker, fusion, metrics, ranks, search, usage
 from memlattice.plans import manifest, planner
-from memlattice.sources import readers, requests
+from memlattice.sources import readers, requests, sinks
 from memlattice.streaming import append
 
 
@@ -319,5 +319,45 @@ def test_nested_usage(spark):
     assert (got["input_tokens"], got["output_tokens"], got["prompt_tokens"], got["total_tokens"], got["total_reported_tokens"]) == (4, 2, 4, None, 6)
 
 
+def test_answers_and_judgements(spark):
+    rows = spark.createDataFrame([("a", 1, None, "top old"), ("a", 2, None, "top new"), ("a", 3, "p", "inner"), ("b", 1, "p", "x"), ("b", 2, "p", "y")], "k string, seq int, parent string, text string")
+    assert {r["k"]: r["text"] for r in usage.latest_answer(rows, "k").collect()} == {"a": "top new", "b": "y"}
+    judged = spark.createDataFrame([("m", 3.0, None), ("m", None, {"x": 1.0, "y": 0.5})], "k string, total_score double, scores map<string,double>")
+    got = usage.judged(judged, "k").first()
+    assert (got["samples"], got["total"], got["average"]) == (2, 4.5, 2.25)
+    total = usage.overall(judged.selectExpr("1 AS n"), ["n"]).first()
+    assert (total["samples"], total["n"]) == (2, 2) and usage.overall(judged.limit(0).selectExpr("1 AS n"), ["n"]).first()["n"] == 0
+
+
+def test_small_rules(spark, tmp_path):
+    one = lambda c, *xs: spark.range(1).select(c(*[F.lit(x) for x in xs])).first()[0]
+    assert one(lambda k: search.effective_top_k(k, 5), 0) == 0 and one(lambda k: search.effective_top_k(k.cast("int"), 5), None) == 5
+    assert [one(sinks.fetch_count, *x) for x in ((10, 2, 3), (4, 2, 3))] == [5, 4]
+    assert one(text.first_present, "", "b") == "b" and one(lambda a, b: text.first_present(a.cast("string"), b), None, "") is None
+    assert one(lambda t: text.time_text(t.cast("timestamp")), "2024-05-06 07:08:09") == "2024-05-06 07:08:09" and one(lambda t: text.time_text(t.cast("timestamp")), None) == "unknown time"
+    assert one(text.chunk_text, "f.py", 3, 9, "body") == "// f.py:3-9\nbody"
+    assert one(text.dashed_repository, "a/b.c_d-e") == "a-b-c_d-e"
+    assert [one(text.int_id, x) for x in (" 7 ", "x", "7.5", "99999999999")] == [7, None, None, None]
+    bodies = ['{"n":3}', '{"n":"4"}', '{"n":true}', '{"n":1.5}', '{"n":"x"}', "{}"]
+    got = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, b string").select("i", requests.coerced_int(F.col("b"), "n").alias("n")).orderBy("i").collect()
+    assert [r["n"] for r in got] == [3, 4, None, None, None, None]
+    (tmp_path / "a.txt").write_text("x\ny\n")
+    (tmp_path / "b.txt").write_text("z")
+    assert sorted(r["text"] for r in readers.whole_texts(spark, [str(tmp_path / "a.txt"), str(tmp_path / "b.txt")]).collect()) == ["x\ny\n", "z"]
+    held = spark.createDataFrame([(5,), (None,), (7,)], "snapshot_bytes long")
+    assert manifest.resident_bytes(held).first()["bytes"] == 12 and manifest.resident_bytes(held.limit(0)).first()["bytes"] == 0
+    hits, chunks = spark.createDataFrame([(1, "a"), (2, "?")], "rank int, chunk_id string"), spark.createDataFrame([("a", "f", 1), ("b", "g", 2)], "chunk_id string, file string, line int")
+    assert [tuple(r) for r in fusion.located(hits, chunks).collect()] == [(1, "f", 1)]
+
+
+def test_windowed_counts(spark, tmp_path):
+    rows = spark.createDataFrame([("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:50:00", "a", 2.0), ("2024-01-01 01:10:00", "b", 4.0)], "t string, event_type string, value double").selectExpr("CAST(t AS timestamp) AS ts", "event_type", "value")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = append.windowed_counts(spark, spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
+    q = stream.writeStream.format("memory").queryName("windowed").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r["event_type"], r["n"], r["total"]) for r in spark.table("windowed").collect()) == [("a", 2, 3.0), ("b", 1, 4.0)]
+
+
 def test_limits():
     assert schema.soft_limit(700) == 595 and schema.soft_limit(1) == 1
