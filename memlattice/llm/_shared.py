@@ -9,8 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from memlattice.shipping import shared_folder, ship
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH = 2_000  # rows that go to Python at a time, unless the session says otherwise: texts are long, and Spark's 10,000 take 100 MB and more
+
+
+def prepare(spark: SparkSession) -> None:
+    """Before Python workers read texts: the package is shipped, and batches are of BATCH rows where the session has Spark's default."""
     ship(spark)
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, str(BATCH))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

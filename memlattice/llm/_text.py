@@ -197,6 +197,16 @@ def one_thread() -> None:
                 return
 
 
+def trimmed(run):
+    """run, a generator over batches, giving memory back to the system when a task has ended: a worker lives on for other stages."""
+
+    def whole(batches):
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def give_back() -> None:
     """Returns memory that a training has freed to the system, where the C library can."""
     gc.collect()

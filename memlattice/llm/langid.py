@@ -202,7 +202,7 @@ def calibrate(docs: DataFrame, learn: Column, label: str, text: str, model: Mode
                 found[i] = np.zeros(0, np.int64)
 
     rows = docs.where(learn & F.col(label).isNotNull() & F.col(text).isNotNull()).select(text, label)
-    counts = rows.mapInArrow(run, "kind int, cell long, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n")).collect()  # some thousand cells
+    counts = rows.mapInArrow(_text.trimmed(run), "kind int, cell long, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n")).collect()  # some thousand cells
     limits = []
     for i in range(2):
         cells = sorted((r["cell"], r["n"]) for r in counts if r["kind"] == i)
@@ -281,4 +281,4 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: lis
             langs, score, rejected = predict(told.value, b.column(b.schema.names.index(text)))
             yield pa.RecordBatch.from_arrays([*[b.column(b.schema.names.index(c)) for c in kept], pa.array(langs, pa.string()), pa.array(score), pa.array(rejected)], names=[*kept, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(_text.trimmed(run), schema)

@@ -112,7 +112,7 @@ def signed(docs: DataFrame, id_col: str, text: str, words: int) -> DataFrame:
                     band.append(bands(signature(x)) if len(x) else None)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(band, pa.list_(pa.int64()))], names=["id", "n_shingles", "node", "bands"])
 
-    return docs.select(id_col, text).mapInArrow(run, f"id {kind}, n_shingles long, node binary, bands array<long>")
+    return docs.select(id_col, text).mapInArrow(_text.trimmed(run), f"id {kind}, n_shingles long, node binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, words: int) -> DataFrame:
@@ -139,7 +139,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, words: int
                     ids.append(lo + i), nodes.append(node), sets.append(x.astype("<u8").tobytes())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], names=["id", "node", "shingles"])
 
-    rows = docs.select(id_col, text).mapInArrow(run, f"id {kind}, node binary, shingles binary")
+    rows = docs.select(id_col, text).mapInArrow(_text.trimmed(run), f"id {kind}, node binary, shingles binary")
     # One row of each class: its first id's. Repeated rows of that id have the same set.
     wanted = wanted.select("c", F.col("node").alias("_node"), F.col("id").alias("_id"))
     rows = rows.join(wanted, (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_id")))
@@ -205,7 +205,7 @@ def _compared(jobs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 held += [np.frombuffer(batch.column(2)[k].as_buffer().to_pybytes(), "<u8") for k in range(i, j)]
         yield from links(c, held)
 
-    return written(rows.mapInArrow(run, "a long, b long"), "linked")
+    return written(rows.mapInArrow(_text.trimmed(run), "a long, b long"), "linked")
 
 
 def _slices(home: DataFrame) -> DataFrame:
@@ -298,7 +298,7 @@ def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes, pa.binary())], names=[*b.schema.names, name])
 
     key = name + "key"  # the id without null, so that the join and what follows it share one shuffle
-    tagged = docs.mapInArrow(run, schema).withColumn(key, F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    tagged = docs.mapInArrow(_text.trimmed(run), schema).withColumn(key, F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     first = first.select(F.col("_set").alias(name), F.coalesce(F.col("_id").cast("string"), F.lit("")).alias(key))
     some = tagged.where(F.col(name).isNotNull()).join(first, [name, key], "left_semi")
     return some.dropDuplicates([name, key]).unionByName(tagged.where(F.col(name).isNull())).select(*docs.columns)

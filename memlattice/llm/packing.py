@@ -188,7 +188,7 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "t
         part, encode = TaskContext.get().partitionId(), encoder(path)
         full, tails, ranks = 0, 0, np.zeros(window // grain, np.int64)
         for b in batches:
-            for lo, hi, buf, offsets in _text.blocks(b.column(1), 2 << 20):
+            for lo, hi, buf, offsets in _text.blocks(b.column(1)):
                 ids, first = encode.encode(buf, offsets)
                 n = np.diff(first) + 1
                 ids = np.insert(ids, first[1:], np.uint16(end)).astype("<u2")
@@ -207,7 +207,7 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "t
                 full, tails = full + int(q.sum()), tails + int(t.sum())
                 ranks += np.bincount(k, minlength=window // grain)
 
-    return docs.select(id_col, text).mapInArrow(run, f"id {kind}, part long, n long, full_before long, rank long, tail_before long, ids binary")
+    return docs.select(id_col, text).mapInArrow(_text.trimmed(run), f"id {kind}, part long, n long, full_before long, rank long, tail_before long, ids binary")
 
 
 GROUP = 1_000
@@ -260,4 +260,4 @@ def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text
                     at, cols, size = [], [[] for _ in range(6)], 0
             yield batch(at, cols)
 
-    return placed.mapInArrow(run, f"`{id_col}` {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return placed.mapInArrow(_text.trimmed(run), f"`{id_col}` {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

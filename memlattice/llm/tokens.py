@@ -12,6 +12,7 @@ Only for tokenizers that split like word_bpe_49k.json (checked when the file is
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -19,13 +20,15 @@ import numpy as np
 
 from memlattice.llm import _text
 
-CACHE = 1_200_000  # pieces, of about 30 bytes with their ids
+CACHE = 600_000  # pieces, of about 30 bytes with their ids
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # fixed value: the split of the tokenizer file
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
+_SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 _SIGN = np.zeros(256, bool)
-_SIGN[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
+_SIGN[list(_SIGNS)] = True
+_RUN = re.compile(rb"[A-Za-z]+(?![A-Za-z\x80-\xff])")
 
 
 def _byte_characters() -> dict[int, int]:
@@ -60,7 +63,7 @@ class Encoder:
             s = b.decode("utf-8")
             if max(b) < 0xCA and s.isalpha() and "İ" not in s and unicodedata.is_normalized("NFC", s):
                 out[i] = [t.id for t in self.model.tokenize(s.lower().encode().decode("latin-1").translate(self.map))]
-            elif max(b) < 127 and _SIGN[np.frombuffer(b, np.uint8)].all():
+            elif not b.translate(None, _SIGNS):
                 out[i] = [t.id for t in self.model.tokenize(s)]
             else:
                 slow.append(i)
@@ -69,9 +72,18 @@ class Encoder:
                 out[i] = e.ids
         return out
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of separate texts, without the cache."""
-        return self._encode_pieces(words)
+    def first_ids(self, words: list[bytes]) -> list[int]:
+        """The first id of each word, 0 for one without ids. A word that begins with ASCII letters is split behind them, unless a letter of another kind may follow."""
+        out, others = [0] * len(words), []
+        for i, b in enumerate(words):
+            run = _RUN.match(b)
+            if run:
+                out[i] = self.model.tokenize(run[0].lower().decode())[0].id
+            else:
+                others.append(i)
+        for i, ids in zip(others, self._encode_pieces([words[i] for i in others]), strict=True):
+            out[i] = ids[0] if ids else 0
+        return out
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin and the last's end)."""

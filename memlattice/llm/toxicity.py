@@ -270,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
         _text.give_back()
         yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
-    got = found.mapInArrow(run, "model binary").first()
+    got = found.mapInArrow(_text.trimmed(run), "model binary").first()
     none = pa.array([], pa.string())
     return pickle.loads(got[0]) if got else train(none, none, prior)
 
@@ -292,4 +292,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
             p, x = scores(told.value, b.column(b.schema.names.index(text)))
             yield pa.RecordBatch.from_arrays([*[b.column(b.schema.names.index(c)) for c in kept], pa.array(p), pa.array(x[:, 0]), pa.array(x[:, 1])], names=[*kept, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(_text.trimmed(run), schema)

@@ -614,6 +614,15 @@ def test_tokens_equal_the_tokenizer():
             assert ids[first[i - lo] : first[i - lo + 1]].tolist() == t.encode(texts[i], add_special_tokens=False).ids, texts[i]
 
 
+def test_first_ids_equal_the_tokenizer():
+    t = Tokenizer.from_file(BPE)
+    t.encode_special_tokens = True
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("aBéthe.,'s-dn’t<|1&İΣß́x☃") for _ in range(rnd.randint(1, 12))) for _ in range(3_000)] + ["don't", "word,", "Wordé", "é", "a\u0301b"]
+    got = tokens.encoder(BPE).first_ids([w.encode() for w in words])
+    assert got == [(t.encode(w, add_special_tokens=False).ids or [0])[0] for w in words]
+
+
 # --- 6 ---
 
 
