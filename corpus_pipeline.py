@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlattice.llm import langid, minhash, packing, toxicity
-from memlattice.llm._shared import table
-from memlattice.shipping import shared_folder, ship
+from memlattice.llm._shared import prepare, table
+from memlattice.shipping import shared_folder
 
 
 def _new_names(docs: DataFrame, *names: str) -> tuple[str, ...]:
@@ -27,7 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rejected: documents without a letter (so also null and empty texts), and unsure ones. Repeated rows are decided alike. Columns
     and their order are those of docs, whatever their names; an empty table gives an empty one.
     """
-    ship(spark)
+    prepare(spark)
     names = _new_names(docs, "language", "likely", "rejected")
     out = langid.identify(docs, langid.fit(docs, F.lit(True)), names=names)
     return out.where(~F.col(names[2])).select(*docs.columns)
@@ -51,7 +51,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts are linked with nothing and all stay. Repeated rows are copies. Columns and their order are those of
     docs, whatever their names; an empty table gives an empty one.
     """
-    ship(spark)
+    prepare(spark)
     return minhash.deduplicated(docs, words=5, percent=80)
 
 
@@ -61,7 +61,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text is its end token alone. Repeated rows are packed as often as they occur; null ids are kept as they are.
     Only doc_id and text are read; an empty table gives no pieces.
     """
-    ship(spark)
+    prepare(spark)
     out = packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
