@@ -133,13 +133,17 @@ class SortedTable:
         self.values = {k: v[order] for k, v in values.items()}
         self.nbytes = self.keys.nbytes + sum(v.nbytes for v in self.values.values())
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and whether the key is there."""
-        if not len(self.keys):
+    @staticmethod
+    def find_in(own: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in sorted keys, and whether the key is there."""
+        if not len(own):
             return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.searchsorted(self.keys, keys)
-        at[at == len(self.keys)] = 0
-        return at, self.keys[at] == keys
+        at = np.searchsorted(own, keys)
+        at[at == len(own)] = 0
+        return at, own[at] == keys
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.find_in(self.keys, keys)
 
     def get(self, name: str, keys: np.ndarray, default=0) -> np.ndarray:
         at, hit = self.find(keys)

@@ -89,26 +89,32 @@ def _discounted(n: np.ndarray) -> tuple[np.ndarray, float]:
     return n - cut, float(cut.sum())
 
 
-def _contexts(column: pa.Array) -> tuple[np.ndarray, ...]:
-    """The distinct (word two before, word before, word) of all texts, as hashes; copies of a text add nothing."""
-    parts: list[list[np.ndarray]] = [[] for _ in range(5)]
+def _trigrams(column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+    """By block of texts: hashes of (word two before, word before, word), of the word before, the word, both, and the word's stem."""
     for _, _, buf, offsets in _text.blocks(column):
         h, stem, first = _words(buf, offsets)
         v, g = _pairs(h, first)
         u = np.zeros_like(v)
         u[1:] = v[:-1]
         u[v == 0] = 0
-        k, at = np.unique(_text.chained(u, g), return_index=True)
-        for held, x in zip(parts, (k, v[at], h[at], g[at], stem[at]), strict=True):
-            held.append(x)
-    if not parts[0]:
-        return (np.zeros(0, np.uint64),) * 4
-    _, at = np.unique(np.concatenate(parts[0]), return_index=True)
-    out = []
-    for i in range(1, 5):  # a column at a time, and what it was made of goes
-        out.append(np.concatenate(parts[i])[at])
-        parts[i].clear()
-    return tuple(out)
+        yield _text.chained(u, g), v, h, g, stem
+
+
+def _contexts(column: pa.Array) -> list[np.ndarray]:
+    """The distinct (word two before, word before, word) of all texts, as hashes; copies of a text add nothing. Read twice, so that only what stays is held."""
+    keys = [x[0] for x in _trigrams(column)]
+    size = np.cumsum([0, *map(len, keys)])
+    new = np.zeros(int(size[-1]), bool)
+    if len(new):
+        keys = np.concatenate(keys)
+        new[np.unique(keys, return_index=True)[1]] = True
+    del keys
+    parts: list[list[np.ndarray]] = [[], [], [], []]
+    for i, (_, *columns) in enumerate(_trigrams(column)):
+        mine = new[size[i] : size[i + 1]]
+        for held, x in zip(parts, columns, strict=True):
+            held.append(x[mine])
+    return [np.concatenate(p) if p else np.zeros(0, np.uint64) for p in parts]
 
 
 def _unigrams(counts: list[np.ndarray], shared: list[np.ndarray]) -> tuple[list[np.ndarray], list[float]]:
@@ -126,9 +132,11 @@ def fit_counts(texts: list[pa.Array]) -> tuple[_text.SortedTable, _text.SortedTa
     """texts: those of the toxic and of the ordinary class. Tables of words, of pairs and of stems."""
     grams, before, word, count, stem = [], [], [], [], []
     for column in texts:
-        v, h, g, p = _contexts(column)
-        g, at, n = np.unique(g, return_index=True, return_counts=True)
-        grams.append(g), before.append(v[at]), word.append(h[at]), count.append(n.astype(np.float64)), stem.append(p[at])
+        found = _contexts(column)
+        g, at, n = np.unique(found.pop(2), return_index=True, return_counts=True)
+        grams.append(g), count.append(n.astype(np.float64))
+        for held in (before, word, stem):
+            held.append(found.pop(0)[at])
     vocabulary, where, inverse = np.unique(np.concatenate(word), return_index=True, return_inverse=True)
     stems, of_word = np.unique(np.concatenate(stem)[where], return_inverse=True)
     split = np.split(inverse, [len(word[0])])
@@ -141,20 +149,26 @@ def fit_counts(texts: list[pa.Array]) -> tuple[_text.SortedTable, _text.SortedTa
     uni, weights = _unigrams(contexts, [(p / types)[of_word] for p in each])
     small = lambda x: x.astype(np.float32)
     stem_table = _text.SortedTable(stems, toxic=small(np.log(weights[0] * each[0] / types)), ordinary=small(np.log(weights[1] * each[1] / types)))
-    pool, at = np.unique(np.concatenate(grams), return_index=True)
-    pv, pw = np.concatenate(before)[at], np.concatenate(word)[at]
-    heads, inverse = np.unique(pv, return_inverse=True)
-    w_at, v_at = np.searchsorted(vocabulary, pw), np.searchsorted(heads, vocabulary)
+    del stem, inverse, split, where
+    # Only pairs that a class knows from enough contexts are held; the others count for the words that they begin with.
+    pool = np.unique(np.concatenate([g[n >= LEAST] for g, n in zip(grams, count, strict=True)]))
+    heads = np.unique(np.concatenate(before))
+    v_at = np.searchsorted(heads, vocabulary)
     v_at[v_at == len(heads)] = 0
-    bi, weights, keep = [], [], np.zeros(len(pool), bool)
+    pv, pw, lefts, lams, behinds, weights = np.zeros_like(pool), np.zeros_like(pool), [], [], [], []
     for c in range(2):
-        n = _text.SortedTable(grams[c], n=count[c]).get("n", pool, 0.0)
-        left = _discounted(n)[0]
-        behind = np.maximum(np.bincount(inverse, weights=n, minlength=len(heads)), 1)
-        lam = 1 - np.bincount(inverse, weights=left, minlength=len(heads)) / behind
-        bi.append(np.log(left / behind[inverse] + lam[inverse] * uni[c][w_at]))
-        weights.append(small(np.log(np.where(heads[v_at] == vocabulary, lam[v_at], 1.0))) if len(heads) else small(np.zeros(len(vocabulary))))
-        keep |= left > 0
+        left = _discounted(count[c])[0]
+        head = np.searchsorted(heads, before[c])
+        behinds.append(np.maximum(np.bincount(head, weights=count[c], minlength=len(heads)), 1))
+        lams.append(1 - np.bincount(head, weights=left, minlength=len(heads)) / behinds[c])
+        del head
+        at, hit = _text.SortedTable.find_in(grams[c], pool)
+        lefts.append(np.where(hit, left[at], 0.0) if len(left) else np.zeros(len(pool)))
+        pv[hit], pw[hit] = before[c][at[hit]], word[c][at[hit]]
+        weights.append(small(np.log(np.where(heads[v_at] == vocabulary, lams[c][v_at], 1.0))) if len(heads) else small(np.zeros(len(vocabulary))))
+    inverse, w_at = np.searchsorted(heads, pv), np.searchsorted(vocabulary, pw)
+    bi = [np.log(lefts[c] / behinds[c][inverse] + lams[c][inverse] * uni[c][w_at]) for c in range(2)]
+    keep = (lefts[0] > 0) | (lefts[1] > 0)
     # A word below the cutoff in both classes has the probability of an unseen word of its stem; it is known only if it weighs as a context.
     own = (contexts[0] >= LEAST) | (contexts[1] >= LEAST) | (weights[0] != 0) | (weights[1] != 0)
     table = _text.SortedTable(vocabulary[own], toxic=small(np.log(uni[0][own])), ordinary=small(np.log(uni[1][own])), toxic_weight=weights[0][own], ordinary_weight=weights[1][own])
@@ -222,7 +236,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 def train(toxic: pa.Array, ordinary: pa.Array, prior: float) -> Model:
     """A fifth of either class calibrates; prior: the share of toxic texts among all labelled."""
-    parts = [[column.filter(pa.array(np.arange(len(column)) % 5 == 0)), column.filter(pa.array(np.arange(len(column)) % 5 != 0))] for column in (toxic, ordinary)]
+    parts = [[column.take(pa.array(np.flatnonzero((np.arange(len(column)) % 5 == 0) == k))) for k in (True, False)] for column in (toxic, ordinary)]
     uni, bi, stems = fit_counts([parts[0][1], parts[1][1]])
     model = Model(uni, bi, stems, np.zeros(3), prior)
     if not len(toxic) or not len(ordinary):
@@ -263,11 +277,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(batches, pa.schema([("_mark", pa.bool_()), ("_text", pa.string())]))
-        t = t.take(pa.array(np.argsort([hash_order(x) for x in t.column(1).to_pylist()], kind="stable"), pa.int64()))
-        mark, column = np.array(t.column(0).to_pylist(), bool), t.column(1).combine_chunks()
-        model = pickle.dumps(train(column.filter(pa.array(mark)), column.filter(pa.array(~mark)), prior))
-        del t, column
-        _text.give_back()
+        order = np.argsort([hash_order(x.as_py()) for x in t.column(1)], kind="stable")
+        mark = np.array(t.column(0).to_pylist(), bool)[order]
+        classes = [t.column(1).take(pa.array(order[mark == k], pa.int64())).combine_chunks() for k in (True, False)]
+        del t
+        model = pickle.dumps(train(*classes, prior))
+        del classes
         yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
     got = found.mapInArrow(_text.trimmed(run), "model binary").first()
