@@ -14,7 +14,7 @@ of WINDOW words (every word lies in one or two), there without the first SLIGHT
 which the text's language or subject can make up, and without immediate repetitions. A logistic calibration of the
 two numbers, fitted on a part of the learning rows whose counts the models didn't see, gives a score between 0 and 1.
 
-The models are fitted on a sample: at most SAMPLE toxic texts and ORDINARY times as many ordinary ones, up to BYTES
+The models are fitted on a sample: at most SAMPLE toxic texts and ORDINARY * SAMPLE ordinary ones, up to BYTES
 bytes of text, the first in order of a hash of the id (so that no partitioning changes them). One task counts and
 calibrates; only the tables of expressions beyond the cutoff reach the driver and the executors. All texts are scored
 whole.
@@ -268,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     toxic, other = n.get(True, 0), n.get(False, 0)
     order = [F.xxhash64(id_col), F.col(id_col)]
     first = lambda mark, k: known.where(F.col("_mark") == mark).orderBy(*order).limit(k)
-    drawn = first(True, most).unionByName(first(False, ORDINARY * min(most, max(toxic, most // 8))))
+    drawn = first(True, most).unionByName(first(False, ORDINARY * most))
     sofar = F.sum("_bytes").over(Window.orderBy(*order))  # over the few drawn rows
     drawn = drawn.withColumn("_sofar", sofar).where(F.col("_sofar") <= BYTES).select(id_col, "_mark")
     found = docs.where(learn & F.col(text).isNotNull()).select(id_col, text).join(F.broadcast(drawn), id_col)
