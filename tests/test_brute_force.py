@@ -120,3 +120,33 @@ def test_refine_takes_terms_of_every_length(spark, tmp_path):
     spark.createDataFrame([(7, "my cat")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = sorted((r["query_id"], r["rank"], r["doc_id"], r["passes"]) for r in catalog.q_refine(spark, str(tmp_path)).collect())
     assert got == [(7, *x) for x in plain_refine("my cat", texts, 3, 2, 200, catalog.REFINED)] and len(got) == 2
+
+
+def test_refine_writes_texts_for_no_query(spark, tmp_path):
+    """Texts are long and queries many: what the passes write must stay below the texts, however many queries ask for them."""
+    rnd = random.Random(7)
+    items = [(i, "st"[i % 2], " ".join([f"w{rnd.randrange(10**9)}" for _ in range(1_500)] + rnd.choices(["cat", "dog", "hat", "red"], k=4))) for i in range(60)]
+    asked = [(q, " ".join(rnd.sample(["cat", "dog", "hat", "red"], 2))) for q in range(12)]
+    written = []
+
+    def write(df):
+        path = f"{tmp_path}/pass-{len(written)}"
+        df.write.parquet(path)
+        written.append(sum(p.stat().st_size for p in (tmp_path / path).glob("*.parquet")))
+        return spark.read.schema(df.schema).parquet(path)
+
+    rows = spark.createDataFrame(items, "memory_idx long, group string, text string")
+    got = collections.defaultdict(list)
+    for r in search.refine(spark.createDataFrame(asked, "query_id long, query string"), rows, 3, 2, 6, write, 60_000).collect():
+        got[r["query_id"]].append((r["rank"], r["memory_idx"], r["passes"]))
+    for q, query in asked:
+        assert sorted(got[q]) == plain_refine(query, items, 3, 2, 6, 60_000)
+    assert sum(written) < sum(len(t) for _, _, t in items) / 3
+
+
+def test_refine_plans_as_many_segments_as_it_takes(spark):
+    """A pass of more than a stored session's segments is done whole."""
+    items = [(i, "s", f"cat {'red ' * (i % 4)}w{i} " + "dog " * 9) for i in range(2_000)]
+    rows = spark.createDataFrame(items, "memory_idx long, group string, text string")
+    got = search.refine(spark.createDataFrame([(0, "cat red")], "query_id long, query string"), rows, 4, 1, 8, catalog._materialise(spark), 60).collect()
+    assert sorted((r["rank"], r["memory_idx"], r["passes"]) for r in got) == plain_refine("cat red", items, 4, 1, 8, 60)
