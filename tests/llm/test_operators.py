@@ -1004,3 +1004,20 @@ def test_pipeline(spark, sf, odd, documents, tmp_path):
             if name == "packing":
                 assert {r["doc_id"] for r in rows(out.select("doc_id"))} == {r["doc_id"] for r in rows(docs.select("doc_id"))}
             docs = out
+
+
+def test_lm_gradients_against_differences():
+    rng = np.random.default_rng(2)
+    m = lm_score.Attention({k: v.astype(np.float64) for k, v in lm_score.Attention.fresh(np.full(lm_score.CLASSES, 1 / lm_score.CLASSES)).w.items()})
+    x, pad, _, _ = lm_score.laid_out(rng.integers(0, lm_score.CLASSES, 90).astype(np.int16), np.array([0, 50, 90]))
+    logits, kept = m.forward(x, pad)
+    d = rng.normal(size=logits.shape)
+    g = m.backward(d, kept)
+    for name, w in m.w.items():
+        at = np.unravel_index(np.abs(g[name]).argmax(), w.shape)
+        before, ends = w[at], []
+        for step in (1e-5, -1e-5):
+            w[at] = before + step
+            ends.append((m.forward(x, pad)[0] * d).sum())
+        w[at] = before
+        assert abs((ends[0] - ends[1]) / 2e-5 - g[name][at]) < 1e-4 * abs(g[name][at]), name
