@@ -118,6 +118,7 @@ def signed(docs: DataFrame, id_col: str, text: str, words: int) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, words: int) -> DataFrame:
     """(c, shingles) for the wanted classes (c, node, id), from the row of docs that has the id."""
     kind = docs.schema[id_col].dataType.simpleString()
+    wanted = written(wanted, "wanted")  # read three times
     told = None
     if wanted.count() <= IN_MEMORY:
         heads = wanted.select(F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long").alias("head")).toArrow().column(0).to_numpy()
@@ -141,9 +142,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, words: int
 
     rows = docs.select(id_col, text).mapInArrow(_text.trimmed(run), f"id {kind}, node binary, shingles binary")
     # One row of each class: its first id's. Repeated rows of that id have the same set.
-    wanted = wanted.select("c", F.col("node").alias("_node"), F.col("id").alias("_id"))
-    rows = rows.join(wanted, (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_id")))
-    return written(rows.select("c", "shingles").dropDuplicates(["c"]), "sets")
+    first = wanted.select("c", F.col("node").alias("_node"), F.col("id").alias("_id"))
+    rows = rows.join(first, (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_id")))
+    sets = written(rows.select("c", "shingles").dropDuplicates(["c"]), "sets")
+    forget(wanted)
+    return sets
 
 
 def forest(sets: list[np.ndarray], percent: int, columns: int = 4_096) -> np.ndarray:

@@ -23,7 +23,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from memlattice.llm import _text, graph, langid, lm_score, minhash, packing, piece_viterbi, quality, queries, spotsigs, tokens, toxicity, url_filter, warc
+from memlattice.llm import _shared, _text, graph, langid, lm_score, minhash, packing, piece_viterbi, quality, queries, spotsigs, tokens, toxicity, url_filter, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -332,6 +332,30 @@ def test_components(spark):
     assert all(got.get(x, x) == root(x) for x in parent)
 
 
+def test_few_links_take_few_tables(spark, monkeypatch):
+    """The driver's work for few links doesn't grow with their chains; beyond the bound, stars give the same."""
+    chain = [(i, i + 1) for i in range(0, 400, 2)] + [(i + 1, i + 2) for i in range(398, -1, -2)] + [(1000, -5), (7, 7), (None, 3)]
+    links = spark.createDataFrame(chain, "a long, b long")
+    tables = []
+    monkeypatch.setattr(graph, "written", lambda df, label: tables.append(label) or _shared.written(df, label))
+    got = {r["node"]: r["root"] for r in rows(graph.components(links))}
+    assert got == {i: 0 for i in range(1, 401)} | {1000: -5}
+    assert len(tables) == 2
+    assert rows(graph.components(links.limit(0))) == []
+    monkeypatch.setattr(graph, "ALONE", 0)
+    assert {r["node"]: r["root"] for r in rows(graph.components(links))} == got
+    assert len(tables) > 8
+
+
+def test_reachable_by_hand():
+    nodes, roots = graph.reachable(np.array([9, 9, 9, 4, -3]), np.array([1, 2, 3, 5, 4]))
+    assert dict(zip(nodes.tolist(), roots.tolist(), strict=True)) == {-3: -3, 1: 1, 2: 1, 3: 1, 4: -3, 5: -3, 9: 1}
+    rng = np.random.default_rng(6)
+    order = rng.permutation(20_000)
+    nodes, roots = graph.reachable(order[:-1], order[1:])
+    assert nodes.tolist() == list(range(20_000)) and not roots.any()
+
+
 def test_circulant_signature():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 2**63, 1000).astype(np.uint64)
