@@ -57,7 +57,7 @@ def _rooted(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, root) for every node of a link; root is the least node reachable. Roots themselves are left out. Nodes are longs.
 
-    A round of stars is some ten jobs however few its links, and the driver holds plans, threads and broadcasts of all of them; so up
+    A round of stars is several shuffles however few its links, and the driver holds plans, threads and broadcasts of all of them; so up
     to ALONE links are left to one task. Beyond, a large star ties each node's larger neighbours to its least neighbour, a small star
     ties its smaller ones and itself to the least. Both take the least neighbour by an aggregation with map-side combine and
     a join of (node, neighbour) with (node, least). A node with very many links is 16 bytes a link in that join's larger
