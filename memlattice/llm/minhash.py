@@ -36,7 +36,8 @@ from memlattice.llm._shared import forget, written
 from memlattice.llm.graph import components
 
 ROWS, BANDS = 7, 64
-IN_MEMORY = 2_000_000  # candidate classes of 8 bytes that are sent to the executors; beyond, they are joined
+IN_MEMORY = 600_000  # candidate classes of 24 bytes, or rows of jobs of 16, that are sent to the executors; beyond, they are joined
+MARKS = 27  # 1 << MARKS bits are sent instead of more candidate classes: 16 MB
 BLOCK = 1 << 20  # bytes of sets in a block
 ROW = 2_048  # bytes that a set counts for besides its shingles, so that a block holds BLOCK / ROW sets at most
 
@@ -115,36 +116,73 @@ def signed(docs: DataFrame, id_col: str, text: str, words: int) -> DataFrame:
     return docs.select(id_col, text).mapInArrow(_text.trimmed(run), f"id {kind}, n_shingles long, node binary, bands array<long>")
 
 
+def _named(wanted: DataFrame) -> DataFrame:
+    """(one, two, c): 16 bytes that name a class and the id of its first row."""
+    half = [F.conv(F.hex(F.substring("node", at, 8)), 16, -10).cast("long") for at in (1, 9)]
+    return wanted.select(half[0].bitwiseXOR(F.xxhash64("id")).alias("one"), half[1].alias("two"), "c")
+
+
+def _marks(wanted: DataFrame) -> np.ndarray:
+    """1 << MARKS bits, those set that the names of wanted point to."""
+    words = wanted.groupBy(F.shiftrightunsigned("one", 70 - MARKS).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(one & 63 AS int)))").alias("bits")).toArrow()
+    out = np.zeros(1 << MARKS - 6, np.int64)
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    return out.view(np.uint64)
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, words: int) -> DataFrame:
-    """(c, shingles) for the wanted classes (c, node, id), from the row of docs that has the id."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    wanted = written(wanted, "wanted")  # read three times
-    told = None
-    if wanted.count() <= IN_MEMORY:
-        heads = wanted.select(F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long").alias("head")).toArrow().column(0).to_numpy()
-        told = docs.sparkSession.sparkContext.broadcast(np.unique(heads.astype(np.int64).view(np.uint64)))
+    """(c, shingles) for the wanted classes (c, node, id), from the row of docs that has the id; rows may be repeated.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Up to IN_MEMORY classes are looked up where texts are read, so their sets are not shuffled. Beyond, bits of fixed size
+    leave out nearly all other rows there, and a join decides.
+    """
+    wanted = written(_named(wanted), "wanted")  # read twice
+    few = wanted.count() <= IN_MEMORY
+    if few:
+        names = np.array([x.to_numpy() for x in wanted.toArrow().columns], np.int64)
+        told = names[:, np.argsort(names[0].view(np.uint64))]
+    else:
+        told = _marks(wanted)
+    told = docs.sparkSession.sparkContext.broadcast(told)
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, two, number = told.value[0].view(np.uint64), told.value[1].view(np.uint64), told.value[2]
+        seen = np.zeros(len(one), bool)
         for b in batches:
-            for lo, hi, buf, offsets in _text.blocks(b.column(1)):
-                ids, nodes, sets = [], [], []
-                for i, x in enumerate(shingle_sets(buf, offsets, words)):
-                    if not len(x):
-                        continue
-                    node = node_of(x)
-                    if told is not None:
-                        head = np.uint64(int.from_bytes(node[:8], "big"))
-                        at = int(np.searchsorted(told.value, head))
-                        if at == len(told.value) or told.value[at] != head:
-                            continue
-                    ids.append(lo + i), nodes.append(node), sets.append(x.astype("<u8").tobytes())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], names=["id", "node", "shingles"])
-
-    rows = docs.select(id_col, text).mapInArrow(_text.trimmed(run), f"id {kind}, node binary, shingles binary")
-    # One row of each class: its first id's. Repeated rows of that id have the same set.
-    first = wanted.select("c", F.col("node").alias("_node"), F.col("id").alias("_id"))
-    rows = rows.join(first, (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_id")))
-    sets = written(rows.select("c", "shingles").dropDuplicates(["c"]), "sets")
+            for x, first, second in named(b):
+                c, sets = [], []
+                for i in range(len(x)):
+                    at = int(np.searchsorted(one, first[i]))
+                    while at < len(one) and one[at] == first[i] and two[at] != second[i]:
+                        at += 1
+                    if at < len(one) and one[at] == first[i] and not seen[at]:
+                        seen[at] = True
+                        c.append(number[at]), sets.append(x[i].astype("<u8").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(sets, pa.binary())], names=["c", "shingles"])
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x, first, second in named(b):
+                at = np.flatnonzero(told.value[first >> np.uint64(70 - MARKS)] >> (first & np.uint64(63)) & np.uint64(1))
+                sets = pa.array([x[i].astype("<u8").tobytes() for i in at], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(first[at].view(np.int64)), pa.array(second[at].view(np.int64)), sets], names=["one", "two", "shingles"])
+
+    def named(b: pa.RecordBatch) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+        """Blocks of sets that are not empty, with both halves of their names."""
+        ids = b.column(2).to_numpy().view(np.uint64)
+        for lo, hi, buf, offsets in _text.blocks(b.column(1)):
+            sets = list(shingle_sets(buf, offsets, words))
+            there = np.array([i for i, x in enumerate(sets) if len(x)], np.int64)
+            sets = [sets[i] for i in there]
+            names = np.frombuffer(b"".join(map(node_of, sets)), ">u8").astype(np.uint64).reshape(-1, 2)
+            yield sets, names[:, 0] ^ ids[lo:hi][there], names[:, 1].copy()
+
+    rows = docs.select(id_col, text, F.xxhash64(id_col).alias("_id"))
+    if few:
+        sets = written(rows.mapInArrow(_text.trimmed(looked_up), "c long, shingles binary"), "sets")
+    else:
+        rows = rows.mapInArrow(_text.trimmed(marked), "one long, two long, shingles binary")
+        sets = written(rows.join(wanted, ["one", "two"]).select("c", "shingles"), "sets")
     forget(wanted)
     return sets
 
@@ -181,8 +219,13 @@ def forest(sets: list[np.ndarray], percent: int, columns: int = 4_096) -> np.nda
 
 
 def _compared(jobs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of a spanning forest for each job; jobs: (c, job)."""
-    rows = jobs.join(sets, "c").select("job", "c", "shingles")
+    """Links (a, b) of a spanning forest for each job; jobs: (c, job). A repeated row of sets counts once.
+
+    Sets are far larger than jobs, so they are shuffled by job only, unless there are more than IN_MEMORY rows of jobs.
+    """
+    jobs = written(jobs, "jobs")  # counted, then read
+    few = jobs.count() <= IN_MEMORY
+    rows = sets.join(F.broadcast(jobs) if few else jobs, "c").select("job", "c", "shingles")
     rows = rows.repartition("job").sortWithinPartitions("job", "c")
 
     def links(c: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -204,11 +247,15 @@ def _compared(jobs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 if keys[i] != job:
                     yield from links(c, held)
                     job, c, held = keys[i], [], []
-                c += ids[i:j].tolist()
-                held += [np.frombuffer(batch.column(2)[k].as_buffer().to_pybytes(), "<u8") for k in range(i, j)]
+                for k in range(i, j):
+                    if not c or c[-1] != ids[k]:
+                        c.append(int(ids[k]))
+                        held.append(np.frombuffer(batch.column(2)[k].as_buffer().to_pybytes(), "<u8"))
         yield from links(c, held)
 
-    return written(rows.mapInArrow(_text.trimmed(run), "a long, b long"), "linked")
+    out = written(rows.mapInArrow(_text.trimmed(run), "a long, b long"), "linked")
+    forget(jobs)
+    return out
 
 
 def _slices(home: DataFrame) -> DataFrame:

@@ -290,6 +290,41 @@ def test_blocks_leave_no_link_out(spark, monkeypatch):
         assert [got[k] for k in range(len(roots))] == roots
 
 
+@pytest.mark.parametrize("few", [600_000, 3, 0])
+def test_classes_beyond_memory_are_joined(spark, odd, monkeypatch, few):
+    """The same with marks, of which nearly all are set, and joins; rows of an id and a text are repeated."""
+    docs = spark.createDataFrame(passage_texts() * 2, "doc_id long, text string").repartition(5)
+    _, roots = plain_components(passage_texts(), 2)
+    monkeypatch.setattr(minhash, "IN_MEMORY", few)
+    monkeypatch.setattr(minhash, "MARKS", 8)
+    got = collections.Counter((r["doc_id"], r["component_id"]) for r in rows(minhash.near_duplicates(docs, 2)))
+    assert got == {(k, r): 2 for k, r in enumerate(roots)}
+    texts = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    got = {(r["doc_id"], r["component_id"]) for r in rows(minhash.near_duplicates(odd, 2))}
+    assert {(1, 1), (2, 1), (13, 1), (6, 6), (7, 6), (3, 3), (None, None)} <= got and len(got) == len(set(i for i, _ in texts))
+
+
+def test_sets_are_shuffled_once(spark, monkeypatch):
+    """Whatever Spark would broadcast by itself: sets go to disk where texts are read, and from there to the comparisons."""
+    plans = collections.defaultdict(list)
+
+    def noted(df, label):
+        plans[label].append(df._jdf.queryExecution().executedPlan().toString())
+        return _shared.written(df, label)
+
+    monkeypatch.setattr(minhash, "written", noted)
+    monkeypatch.setattr(minhash, "BLOCK", 3_000)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        minhash.near_duplicates(spark.createDataFrame(passage_texts(), "doc_id long, text string"), 2).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans["linked"]) == 2
+    for plan, most in [(plans["sets"][0], 0), *[(x, 1) for x in plans["linked"]]]:
+        assert plan.count("Exchange hashpartitioning") <= most, plan
+
+
 def test_forest():
     rng = np.random.default_rng(8)
     sets = [np.unique(rng.integers(0, 40, rng.integers(1, 40)).astype(np.uint64)) for _ in range(80)]
