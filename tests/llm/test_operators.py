@@ -604,6 +604,44 @@ def test_attention_gradients():
             assert g[k].reshape(-1)[i] == pytest.approx((up - down) / 2e-5, rel=2e-3, abs=2e-3), k
 
 
+def test_attention_of_wanted_positions():
+    """Logits and gradients of some positions are those of all, with padding and the other positions left out."""
+    rng = np.random.default_rng(9)
+    m = lm_score.Attention.fresh(np.full(lm_score.CLASSES, 1 / lm_score.CLASSES))
+    x, pad, target, _ = lm_score.laid_out(rng.integers(0, lm_score.CLASSES, 100).astype(np.int16), np.array([0, 1, 65, 100]))
+    wanted = np.flatnonzero(target[1:].ravel() >= 0)
+    every, kept = m.forward(x, pad)
+    some, kept_some = m.forward(x, pad, wanted)
+    assert len(some) == 100 and np.allclose(some, every.reshape(-1, lm_score.CLASSES)[wanted], atol=1e-5)
+    d = np.zeros_like(every)
+    d.reshape(-1, lm_score.CLASSES)[wanted] = part = rng.normal(size=some.shape).astype(np.float32)
+    whole, own = m.backward(d, kept), m.backward(part, kept_some)
+    assert all(np.allclose(whole[k], own[k], rtol=1e-3, atol=1e-3) for k in m.w)
+
+
+@pytest.mark.parametrize("by", [1, 60, 300])
+def test_exponentials_of_any_size(by):
+    z = np.random.default_rng(3).normal(size=(4, 5, 128)) * by
+    y, total, c = lm_score._exp(z.astype(np.float32))
+    want = z - z.max(2, keepdims=True)
+    want -= np.log(np.exp(want).sum(2, keepdims=True))
+    got = z.max(2, keepdims=True) - c - np.log(total)
+    assert np.isfinite(y).all() and got == pytest.approx(want.max(2, keepdims=True), abs=1e-2)
+
+
+def test_a_task_hands_on_each_word_once():
+    hashes = np.array([5, 7, 5 + (9 << 44), 7, 5, 6 + (9 << 44), 6 + (9 << 44)], np.uint64)
+    one, of = lm_score._distinct(hashes)
+    assert sorted(hashes[one].tolist()) == sorted(set(hashes.tolist())) and (hashes[one][of] == hashes).all()
+    told, texts = lm_score._Counts(), ["a b a \u00e9", "B c", "", "a \u00e9 c c"]
+    for t in texts:
+        buf = np.frombuffer(t.encode(), np.uint8)
+        told.add(*lm_score._lower_words(buf, np.array([0, len(buf)]))[:3])
+    got = [x for b in told.taken(2) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    assert sorted(got) == sorted((w.encode(), n) for w, n in {"a": 3, "b": 2, "\u00e9": 2, "c": 3}.items())
+    assert list(told.taken()) == []
+
+
 def test_lm_odd(spark, odd):
     for docs, learn in ((odd, F.lit(True)), (odd, F.lit(False)), (odd.limit(0), F.lit(True))):
         model, vocabulary = lm_score.fit(docs, learn, BPE)
