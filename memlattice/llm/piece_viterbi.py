@@ -12,9 +12,10 @@ texts. The scores in a file trained as BPE are no probabilities but ranks of mer
 where no others are given. Either way the ids are those of the best sum, which is not always the segmentation in order of
 merges; decoding is the same for all.
 
-Texts of a corpus share most words: since no piece goes from a non-blank into a blank (checked for each
-blank when the model is opened), every path passes the boundary before a blank, and ids of each stretch
-from there to the next are searched once and kept in a bounded cache.
+Texts of a corpus share most words. Where two characters stand side by side in no piece (looked up by the last byte of
+one and the first of the other), every path passes the boundary between them: before blanks, and mostly between
+letters, digits and signs. Ids of each stretch from one such boundary to the next are searched once and kept in a bounded
+cache. The library's segmentation in fit() is cut at blanks only (no piece goes from a non-blank into one; checked when the model is opened).
 
 Defined cases: null and empty texts have no ids and decode to the empty text. White space is kept as it is.
 The character U+2581, which stands for a blank inside pieces, decodes as a blank. Repeated rows get the same ids; an empty
@@ -79,6 +80,14 @@ class Pieces:
         if not any(BLANK in p.lstrip(BLANK) for p in texts):
             blanks.append(" ")
         self.separators = blanks
+        # Bytes that a stretch can't be cut between: within a character, or last and first of two that stand side by side in a piece.
+        self.inside = np.zeros((256, 256), bool)
+        self.inside[:, 0x80:0xC0] = True
+        written = lambda c: (c, " ") if c == BLANK else (c,)
+        for a, b in {p[i : i + 2] for p in texts for i in range(len(p) - 1)}:
+            for x in written(a):
+                for y in written(b):
+                    self.inside[x.encode()[-1], y.encode()[0]] = True
 
     def of_unknown(self, c: str) -> list[int]:
         return [self.bytes[b] for b in c.encode()] if self.bytes else [self.unknown_id]
@@ -234,14 +243,18 @@ class Codec:
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin and the last's end)."""
         lead = BLANK if self.pieces.dummy else ""
-        return self.by_stretch(buf, offsets, lambda texts, heads: [self.search(lead + t if h else t) for t, h in zip(texts, heads, strict=True)])
+        pairs = buf[:-1].astype(np.uint16) << 8 | buf[1:]
+        ends = np.flatnonzero(~self.pieces.inside.ravel().take(pairs)) + 1
+        return self.by_stretch(buf, offsets, ends, lambda texts, heads: [self.search(lead + t if h else t) for t, h in zip(texts, heads, strict=True)])
 
-    def by_stretch(self, buf: np.ndarray, offsets: np.ndarray, ids_of) -> tuple[np.ndarray, np.ndarray]:
-        """encode(), where ids_of(texts, heads) gives the ids of stretches; heads: whether a text begins with it."""
-        _, ends, first = _text.spans(self.table[buf], offsets)
-        # Stretches: from the end of a word (or a text's start) to the end of the next (or of the text).
+    def at_blanks(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where words end."""
+        return _text.spans(self.table[buf], offsets)[1]
+
+    def by_stretch(self, buf: np.ndarray, offsets: np.ndarray, ends: np.ndarray, ids_of) -> tuple[np.ndarray, np.ndarray]:
+        """encode(), cut at these ends and those of texts, where ids_of(texts, heads) gives the ids of stretches; heads: whether a text begins with it."""
         ends = np.union1d(ends, offsets[1:][offsets[1:] > offsets[:-1]])
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        starts = np.concatenate([[0], ends])[:-1].astype(np.int64)
         first = np.searchsorted(starts, offsets)
         head = np.isin(starts, offsets[:-1])
         hashes = _text.word_hashes(buf, starts, ends) + head.astype(np.uint64)
@@ -278,7 +291,7 @@ def fit(docs: DataFrame, path: str, text: str = "text") -> bytes:
 
         for b in batches:
             for _, _, buf, offsets in _text.blocks(b.column(0)):
-                counts += np.bincount(c.by_stretch(buf, offsets, ids_of)[0], minlength=len(counts))
+                counts += np.bincount(c.by_stretch(buf, offsets, c.at_blanks(buf, offsets), ids_of)[0], minlength=len(counts))
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["id", "n"])
 

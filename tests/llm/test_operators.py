@@ -478,6 +478,37 @@ def test_long_stretches_are_searched_in_portions(monkeypatch):
 # --- 4 ---
 
 
+def test_stretches_end_where_no_piece_goes_on():
+    """Words and what follows them are searched once each, not in every pairing; ids are those of a search of the whole text."""
+    p = piece_viterbi.Codec(PIECES)
+    words, tails = ["house", "garden", "Stra\u00dfe", "\u6f22\u5b57", "x\u2581 \u2581y"], ["0", "12", "345;", ")!", "\t", "\n \u2581", "\U0001f600", "  "]
+    texts = [f"{w}{t} {w} {t}{w}" for w in words for t in tails]
+    buf = np.frombuffer("".join(texts).encode(), np.uint8)
+    ids, first = p.encode(buf, np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])]))
+    for t, i, j in zip(texts, first[:-1], first[1:], strict=True):
+        whole = p.search(piece_viterbi.BLANK * p.pieces.dummy + t)
+        score = lambda ids: sum(scores.get(x, p.pieces.unknown) for x in ids)
+        scores = {}
+        stack = [p.pieces.trie]
+        while stack:
+            for k, v in stack.pop().items():
+                if k == "":
+                    scores[v[0]] = v[1]
+                else:
+                    stack.append(v)
+        assert ids[i:j].tolist() == whole or score(ids[i:j].tolist()) == pytest.approx(score(whole))
+        assert p.decode(ids[i:j].tolist()).decode() == t.replace(piece_viterbi.BLANK, " ")
+    digits = [f"{w}{k}" for w in ("house", "garden", "river") for k in range(1000)]
+    p.cache.clear()
+    p.encode(np.frombuffer(" ".join(digits).encode(), np.uint8), np.array([0, len(" ".join(digits))]))
+    assert len(p.cache.keys) < 50  # before: one for each of 3,000 words
+
+
+def test_pieces_of_texts_without_any():
+    ids, first = piece_viterbi.codec(PIECES).encode(np.zeros(0, np.uint8), np.array([0, 0, 0]))
+    assert len(ids) == 0 and first.tolist() == [0, 0, 0]
+
+
 def test_lm_scores(spark, sf, documents):
     got = rows(queries.op4_attention_lm(spark, sf))
     texts = {r["doc_id"]: WORD.findall((r["text"] or "").translate(LOWER)) + [None] for r in documents.collect()}
